@@ -26,6 +26,13 @@ def op2_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_index import substring_dedup
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -35,5 +42,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_shard_bytes, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_shard_bytes, op8_substring_dedup, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL["op8_substring_dedup"] = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i+12], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+least AS (SELECT s, min(doc_id) AS first FROM win GROUP BY s),
+cut AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS k FROM win JOIN least USING (s) WHERE first < doc_id),
+word AS (SELECT doc_id, unnest(ws) AS t, unnest(range(1, len(ws) + 1)) AS k FROM w),
+kept AS (SELECT doc_id, string_agg(t, ' ' ORDER BY k) AS kept, count(*) AS n FROM word ANTI JOIN cut USING (doc_id, k) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""

@@ -26,6 +26,12 @@ def op2_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import private_data
+
+    return private_data(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("found")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import held_out, score, train
 
@@ -69,7 +75,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_shard_bytes, op4_toxicity, op6_similar_vectors, op7_near_dedup, op8_substring_dedup, op9_benchmark_leaks, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_shard_bytes, op3_private_data, op4_toxicity, op6_similar_vectors, op7_near_dedup, op8_substring_dedup, op9_benchmark_leaks, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
 ORACLE_SQL["op8_substring_dedup"] = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),

@@ -40,6 +40,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import line_dedup
+
+    out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    return out.select("doc_id", "n_lines", "n_removed", F.array_join(F.transform("removed", lambda x: x.cast("string")), ",").alias("removed"))
+
+
 def op6_similar_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embed_dedup import similar_vectors
 
@@ -75,7 +82,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_shard_bytes, op3_private_data, op4_toxicity, op6_similar_vectors, op7_near_dedup, op8_substring_dedup, op9_benchmark_leaks, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_shard_bytes, op3_private_data, op4_toxicity, op5_line_dedup, op6_similar_vectors, op7_near_dedup, op8_substring_dedup, op9_benchmark_leaks, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
 ORACLE_SQL["op8_substring_dedup"] = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -94,3 +101,14 @@ reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b
 comp AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
 SELECT e.vec_id, CAST((SELECT count(*) FROM links WHERE a = e.vec_id) AS BIGINT) AS n_links, component_id, e.vec_id = component_id AS kept FROM embeddings e JOIN comp ON a = e.vec_id
 """
+ORACLE_SQL["op5_line_dedup"] = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL),
+w AS (SELECT * FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+d AS (SELECT line, length(line) AS n, min({'d': doc_id, 'p': pos}) AS first FROM w GROUP BY line),
+near AS (SELECT DISTINCT b.line FROM d a JOIN d b ON b.n = a.n WHERE a.n >= 10 AND a.first < b.first AND (left(a.line, a.n // 2) = left(b.line, a.n // 2) OR right(a.line, a.n - a.n // 2) = right(b.line, a.n - a.n // 2)) AND levenshtein(a.line, b.line) <= 1
+    UNION SELECT DISTINCT CASE WHEN a.first < b.first THEN b.line ELSE a.line END FROM d a JOIN d b ON b.n = a.n + 1
+    WHERE a.n >= 10 AND (left(a.line, a.n // 2) = left(b.line, a.n // 2) OR right(a.line, a.n - a.n // 2) = right(b.line, a.n - a.n // 2)) AND levenshtein(a.line, b.line) <= 1),
+cut AS (SELECT w.doc_id, w.pos FROM w JOIN d USING (line) LEFT JOIN near USING (line) WHERE near.line IS NOT NULL OR d.first < {'d': w.doc_id, 'p': w.pos}),
+gone AS (SELECT doc_id, count(*) AS n, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS removed FROM cut GROUP BY doc_id)
+SELECT t.doc_id, CAST(coalesce(len(string_split(text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(removed, '') AS removed FROM documents t LEFT JOIN gone USING (doc_id)
+"""

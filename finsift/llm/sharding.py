@@ -42,7 +42,8 @@ def shard(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col:
     # a shard is a run of the order, so its rows before are known from its first one
     first = _placed(ranged.select("__part", *order), n_shards, order).groupBy("shard").agg(F.min("__rank").alias("__first"))
     out = rows.join(F.broadcast(first), "shard")  # n_shards rows
-    return out.withColumn("slot", F.col("__rank") - F.col("__first")).drop("__tie", "__part", "__rank", "__first")
+    out = out.withColumn("slot", F.col("__rank") - F.col("__first"))
+    return out.select(*[c for c in base.columns if c != "__tie"], "shard", "slot")
 
 
 def _placed(ranged: DataFrame, n_shards: int, order: list) -> DataFrame:

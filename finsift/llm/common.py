@@ -3,6 +3,7 @@ lineage, vectorised word hashing and distributed connected components."""
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -48,11 +49,21 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
 
 
 def discard(*frames: DataFrame) -> None:
-    """Delete the files behind frames made by :func:`staged` once nothing reads them."""
+    """Delete the files behind frames made by :func:`staged` once nothing reads them,
+    and have the driver's cleaner drop the shuffles that nothing refers to."""
     for df in frames:
         path = getattr(df, "_finsift_path", None)
         if path:
             remove(df.sparkSession, path)
+    if frames:
+        clean(frames[0].sparkSession)
+
+
+def clean(spark: SparkSession) -> None:
+    """Spark deletes the files of a shuffle when the driver's collector finds it
+    unused; between large steps that is not left to chance."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -8,7 +8,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, gram_hashes, partitions, remove, stage_path, staged, without, word_hashes
@@ -139,48 +139,56 @@ class FingerprintIndex:
         self.levels = []
 
 
-def _filter(shared: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of fixed size of the low bits of the shared fingerprints."""
-    rows = shared.select(F.expr(f"fp & {(1 << bits) - 1}L").alias("b")).groupBy((F.col("b") / 32768).cast("int").alias("page")).agg(F.bitmap_construct_agg(F.expr("cast(b % 32768 as int)")).alias("bits"))
+def _filter(numbers: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of fixed size of the low bits of a column of numbers."""
+    low = F.col(numbers.columns[0]).bitwiseAND(F.lit((1 << bits) - 1))
+    rows = numbers.select(low.alias("b")).groupBy((F.col("b") / 32768).cast("int").alias("page")).agg(F.bitmap_construct_agg((F.col("b") % 32768).cast("int")).alias("bits"))
     out = np.zeros((1 << bits) // 8, np.uint8)
     for page, data in rows.toLocalIterator():
         out[page * 4096 : page * 4096 + len(data)] = np.frombuffer(data, np.uint8)
     return out
 
 
-def _suspects(docs: DataFrame, bitmap, window: int, gram: int, bits: int) -> DataFrame:
-    """(doc_id, x, at, h, g): every window whose anchor passes the filter, with two
-    independent hashes of its words."""
+def _passes(have: np.ndarray, x: np.ndarray, bits: int) -> np.ndarray:
+    b = x & np.uint64((1 << bits) - 1)
+    return (have[b >> np.uint64(3)] >> (b & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _suspects(docs: DataFrame, shared, firsts, window: int, gram: int, bits: int) -> DataFrame:
+    """(doc_id, at, h, g): every window whose anchor passes the filter of shared
+    fingerprints, of rows that pass the filter of first copies, with two
+    independent hashes of its words.  ``at`` is its first word, below 32 bits of
+    the text's name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have, low = bitmap.value, np.uint64((1 << bits) - 1)
         for whole in batches:
-            for batch, texts in _chunks(whole, "text"):
+            own_row = whole.column("r").to_numpy().view(np.uint64)
+            for batch, texts in _chunks(whole.filter(pa.array(_passes(firsts.value, own_row, bits))), "text"):
                 first, anchor, words, doc = _windows(texts, window, gram)
-                b = anchor & low
-                first = first[(have[b >> np.uint64(3)] >> (b & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+                first = first[_passes(shared.value, anchor, bits)]
                 own = doc[first]
                 h = g = np.empty(0, np.uint64)
                 if len(first):
                     flat = np.zeros(len(words), np.int64)
                     h, g = gram_hashes(words, flat, window, 1)[0][first], gram_hashes(words, flat, window, 2)[0][first]
-                at = first - np.searchsorted(doc, own)
+                name = batch.column("x").to_numpy().view(np.uint64)[own] << np.uint64(32)
+                at = (first - np.searchsorted(doc, own)).astype(np.uint64) | name
                 n = len(texts)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("x"), _lists(at, own, n), _lists(h, own, n), _lists(g, own, n)], names=["doc_id", "x", "at", "h", "g"])
+                g = (g >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(at, own, n), _lists(h, own, n), _lists(g, own, n, pa.int32())], names=["doc_id", "at", "h", "g"])
 
-    out = docs.select("doc_id", "x", "text").mapInArrow(run, "doc_id long, x long, at array<long>, h array<long>, g array<long>")
-    out = out.where(F.size("at") > 0).select("doc_id", "x", F.explode(F.arrays_zip("at", "h", "g")).alias("w"))
-    return out.select("doc_id", "x", F.col("w.at").cast("int").alias("at"), "w.h", "w.g")
+    out = docs.select("doc_id", "x", "r", "text").mapInArrow(run, "doc_id long, at array<long>, h array<long>, g array<int>")
+    return out.where(F.size("at") > 0).select("doc_id", F.inline(F.arrays_zip("at", "h", "g")))
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = 3, bits: int = FILTER_BITS) -> DataFrame:
-    """(doc_id, x, cut, whole) for the rows that lose words: ``cut`` lists the first
-    words of the windows that also start in a document with a smaller id, or
-    ``whole`` says that an equal text came earlier.
+    """(doc_id, name, cut, whole) for the rows that lose words: ``cut`` lists the
+    first words of the windows that also start in a document with a smaller id,
+    or ``whole`` says that an equal text came earlier; name is 32 bits of x.
 
-    ``docs`` has doc_id, text, x and y (hashes of the text).  Batches, in the
-    order of a hash of the text, pass through the index; then the windows at
-    shared anchors are compared in full by 128 bits.
+    ``docs`` has doc_id, text, x and y (hashes of the text).  Batches, dealt by a
+    hash of the text, pass through the index; then the windows at shared anchors
+    are compared in full, by 96 bits, among the first copies of all texts.
     """
     spark = docs.sparkSession
     index = FingerprintIndex(spark)
@@ -188,16 +196,19 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ba
     every = shared[0]
     for s in shared[1:]:
         every = every.union(s)
-    bitmap = spark.sparkContext.broadcast(_filter(every, bits))
+    fps = spark.sparkContext.broadcast(_filter(every, bits))
     index.drop()
+    texts = staged(docs.groupBy("x", "y").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "texts")
+    row = F.xxhash64("first", "x")
+    firsts = spark.sparkContext.broadcast(_filter(texts.select(row.alias("r")), bits))
     discard(*shared)
-    found = _suspects(docs, bitmap, window, gram, bits)
-    least = found.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count_if(F.col("doc_id").isNull()).alias("unnamed")).where("first < last or unnamed > 0")
-    late = found.join(least.select("h", "g", "first"), ["h", "g"]).where("first < doc_id or (doc_id is null and first is not null)")
-    copies = docs.groupBy("x", "y").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copied = docs.select("doc_id", "x", "y").join(copies, ["x", "y"]).where("first < doc_id or (doc_id is null and first is not null)")
-    lost = late.select("doc_id", "x", "at", F.lit(False).alias("whole")).union(copied.select("doc_id", "x", F.lit(None).cast("int"), F.lit(True)))
-    return lost.groupBy("doc_id", "x").agg(F.collect_list("at").alias("cut"), F.bool_or("whole").alias("whole"))
+    found = _suspects(docs.withColumn("r", F.xxhash64("doc_id", "x")), fps, firsts, window, gram, bits)
+    found = found.withColumn("first", F.min("doc_id").over(Window.partitionBy("h", "g")))
+    earlier = F.col("first").isNotNull() & (F.col("doc_id").isNull() | (F.col("first") < F.col("doc_id")))
+    late = found.where(earlier).select("doc_id", F.shiftrightunsigned("at", 32).alias("name"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("at"), F.lit(False).alias("whole"))
+    copied = docs.select("doc_id", "x", "y").join(texts.where("n > 1"), ["x", "y"]).where(earlier)
+    lost = late.union(copied.select("doc_id", F.col("x").bitwiseAND(F.lit(0xFFFFFFFF)).alias("name"), F.lit(None).cast("int"), F.lit(True)))
+    return lost.groupBy("doc_id", "name").agg(F.collect_list("at").alias("cut"), F.bool_or("whole").alias("whole"))
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, batches: int = 3) -> DataFrame:
@@ -216,8 +227,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, batches: int = 3) ->
     base = without(docs, "n_words", "n_removed", "kept_text", "kept_sha256", "x", "y", "cut", "whole")
     named = base.withColumn("x", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("y", F.xxhash64(F.lit(1), F.coalesce("text", F.lit(""))))
     lost = repeated_windows(named.select("doc_id", "text", "x", "y"), window, GRAM, batches)
-    lost = lost.select(F.col("doc_id").alias("__id"), F.col("x").alias("__x"), "cut", "whole")
-    joined = named.join(lost, named["doc_id"].eqNullSafe(lost["__id"]) & (named["x"] == lost["__x"]), "left").drop("x", "y", "__id", "__x")
+    lost = lost.select(F.col("doc_id").alias("__id"), F.col("name").alias("__x"), "cut", "whole")
+    joined = named.join(lost, named["doc_id"].eqNullSafe(lost["__id"]) & (named["x"].bitwiseAND(F.lit(0xFFFFFFFF)) == lost["__x"]), "left").drop("x", "y", "__id", "__x")
     names = base.columns
     schema = base.withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "kept_text": F.lit(""), "kept_sha256": F.lit("")}).schema
 

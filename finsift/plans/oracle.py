@@ -60,13 +60,13 @@ found0 AS (SELECT i.stock_code, i.year, i.indicator, value AS actual, median, ma
 found AS (SELECT *, abs(signed) AS multiple, CASE WHEN zero_mad OR abs(signed) > 5 THEN 'extreme' WHEN abs(signed) > 2 THEN 'abnormal' ELSE 'normal' END AS severity FROM found0),
 outl AS (SELECT * FROM found WHERE severity <> 'normal'),
 cr AS (SELECT stock_code, year, CASE WHEN Net_Profit > 0 THEN CAST(Operating_Cash_Flow AS DOUBLE) / CAST(Net_Profit AS DOUBLE) END AS r, {_ratio("Operating_Cash_Inflow", "Revenue_Total")} AS q FROM w),
-cq AS (SELECT stock_code, year, '净现比/收现比' AS check_name, round(r, 6) AS value, 0.6 AS threshold FROM cr WHERE r < 0.6 AND q < 0.6),
-cqs AS (SELECT *, CASE WHEN value < 0 THEN 5.0::DOUBLE ELSE {_clamp("round((0.6::DOUBLE - value) / 0.2::DOUBLE * 2, 6)")} END AS severity FROM cq),
-dh AS (SELECT stock_code, year, '存贷双高' AS check_name, round(a * b, 6) AS value, 0.3 AS threshold FROM (SELECT stock_code, year, {_ratio("Monetary_Funds", "Total_Assets")} AS a, {_ratio("Interest_Debt", "Total_Assets")} AS b FROM w) WHERE a > 0.3 AND b > 0.3),
-dhs AS (SELECT *, CASE WHEN value > 0.3 THEN 5.0::DOUBLE WHEN value >= 0.1 THEN round(2 + (value - 0.1::DOUBLE) / 0.2::DOUBLE, 6) ELSE 1.0::DOUBLE END AS severity FROM dh),
+cq AS (SELECT stock_code, year, '净现比/收现比' AS check_name, r, round(r, 6) AS value, 0.6 AS threshold FROM cr WHERE r < 0.6 AND q < 0.6),
+cqs AS (SELECT *, CASE WHEN r < 0 THEN 5.0::DOUBLE ELSE {_clamp("round((0.6::DOUBLE - r) / 0.2::DOUBLE * 2, 6)")} END AS severity FROM cq),
+dh AS (SELECT stock_code, year, '存贷双高' AS check_name, a * b AS r, round(a * b, 6) AS value, 0.3 AS threshold FROM (SELECT stock_code, year, {_ratio("Monetary_Funds", "Total_Assets")} AS a, {_ratio("Interest_Debt", "Total_Assets")} AS b FROM w) WHERE a > 0.3 AND b > 0.3),
+dhs AS (SELECT *, CASE WHEN r > 0.3 THEN 5.0::DOUBLE WHEN r >= 0.1 THEN round(2 + (r - 0.1::DOUBLE) / 0.2::DOUBLE, 6) ELSE 1.0::DOUBLE END AS severity FROM dh),
 gp AS (SELECT stock_code, year, '母子资金分离度' AS check_name, {_ratio("(Monetary_Funds - parent_funds)", "Total_Assets")} AS g, 0.15 AS threshold FROM w WHERE n % 4 <> 0),
-gps AS (SELECT stock_code, year, check_name, round(g, 6) AS value, threshold, CASE WHEN round(g, 6) > 0.3 THEN 5.0 WHEN round(g, 6) > 0.15 THEN 3.0 ELSE 0.0 END AS severity FROM gp WHERE g > 0.15),
-anom AS (SELECT stock_code, year, check_name, value, CAST(threshold AS DOUBLE) AS threshold, CAST(severity AS DOUBLE) AS severity FROM (SELECT * FROM cqs UNION ALL SELECT * FROM dhs UNION ALL SELECT * FROM gps)),
+gps AS (SELECT stock_code, year, check_name, round(g, 6) AS value, threshold, CASE WHEN g > 0.3 THEN 5.0 WHEN g > 0.15 THEN 3.0 ELSE 0.0 END AS severity FROM gp WHERE g > 0.15),
+anom AS (SELECT stock_code, year, check_name, value, CAST(threshold AS DOUBLE) AS threshold, CAST(severity AS DOUBLE) AS severity FROM (SELECT * EXCLUDE r FROM cqs UNION ALL SELECT * EXCLUDE r FROM dhs UNION ALL SELECT * FROM gps)),
 paths0 AS (SELECT stock_code, year, indicator, 'C' AS source FROM outl UNION ALL SELECT stock_code, year, check_name, 'B+' FROM anom),
 paths1 AS (SELECT *, CAST(stock_code AS INT) + year AS k FROM paths0),
 paths AS (SELECT *, CASE WHEN k % 3 = 0 THEN '经营恶化' WHEN k % 3 = 1 THEN NULL ELSE '战略备货' END AS p1, CASE WHEN k % 2 = 0 THEN '行业特性' ELSE '经营改善' END AS p2, k % 5 = 0 AS vague, k % 7 = 0 AS conflict FROM paths1),

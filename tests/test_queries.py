@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 
 from finsift.plans.oracle import ORACLE_SQL
@@ -14,7 +15,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def plain(df):
     def one(x):
-        if x is None or x != x:
+        if pd.isna(x):
             return ""
         if isinstance(x, float) or hasattr(x, "dtype") and x.dtype.kind == "f":
             return repr(float(x) + 0.0)

@@ -112,3 +112,12 @@ cut AS (SELECT w.doc_id, w.pos FROM w JOIN d USING (line) LEFT JOIN near USING (
 gone AS (SELECT doc_id, count(*) AS n, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS removed FROM cut GROUP BY doc_id)
 SELECT t.doc_id, CAST(coalesce(len(string_split(text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(removed, '') AS removed FROM documents t LEFT JOIN gone USING (doc_id)
 """
+ORACLE_SQL["op2_shard_bytes"] = r"""
+WITH RECURSIVE step AS (SELECT i AS n, i AS c, 0 AS k FROM range(256) t(i) UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM step WHERE k < 8),
+crc AS (SELECT list(CAST(c AS BIGINT) ORDER BY n) AS t FROM step WHERE k = 8),
+b AS (SELECT doc_id, list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST('0x' || h AS BIGINT))) AS bytes, coalesce(octet_length(encode(text)), 0) + 1 AS size FROM documents),
+c AS (SELECT doc_id, CAST(size AS BIGINT) AS size, CASE WHEN bytes IS NOT NULL THEN xor(list_reduce(bytes, lambda a, x: xor(t[CAST((xor(a, x) & 255) + 1 AS INT)], a >> 8)), 4294967295) END AS text_crc32 FROM b, crc),
+p AS (SELECT *, sum(size) OVER (ORDER BY doc_id) AS e, sum(size) OVER () AS total FROM c),
+s AS (SELECT *, CAST(least(7, ((2 * e - size) * 8) // (2 * total)) AS INT) AS shard FROM p)
+SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INT) AS grown_shard FROM s
+"""

@@ -7,8 +7,10 @@ import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -154,17 +156,47 @@ def gram_hashes(words: np.ndarray, doc: np.ndarray, n: int, seed: int = 0) -> tu
 # -------------------------------------------------------- connected components
 
 
-def connected_components(edges: DataFrame, tag: str = "cc") -> DataFrame:
+#: Links that one task takes on: 16 bytes each.  More are solved in rounds.
+LOCAL_LINKS = 1_000_000
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes of all links of a task with their components."""
+    a, b = [], []
+    for batch in batches:
+        a.append(batch.column("a").to_numpy())
+        b.append(batch.column("b").to_numpy())
+    if not a:
+        return
+    ids, node = np.unique(np.concatenate(a + b), return_inverse=True)
+    x, y = node[: len(node) // 2], node[len(node) // 2 :]
+    low = np.arange(len(ids))
+    while True:
+        new = low.copy()
+        least = np.minimum(low[x], low[y])
+        for at in (x, y, low[x], low[y]):
+            np.minimum.at(new, at, least)
+        new = new[new]
+        if (new == low).all():
+            break
+        low = new
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[low])], names=["node", "component"])
+
+
+def connected_components(edges: DataFrame, tag: str = "cc", local: int = LOCAL_LINKS) -> DataFrame:
     """(node, component) of the graph whose links are the columns ``a`` and ``b``
     (long); component is the least node that can be reached.
 
-    Large-star and small-star steps alternate until no link changes, so rounds
-    grow with the logarithm of a component's diameter.  Each step is an
+    ``local`` links or fewer, counted first, are solved by one task in memory.
+    Beyond that large-star and small-star steps alternate until no link changes,
+    so rounds grow with the logarithm of a component's diameter.  Each step is an
     aggregation with partial sums and a join that the engine may split at a hot
     node; neighbours are never gathered in one place.  Each round is written to
     the shared folder.
     """
     e = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), tag)
+    if e.count() <= local:
+        return e.coalesce(1).mapInArrow(_forest, "node long, component long")
     old = None
     while True:
         # large star: each node's larger neighbours are tied to its least neighbour

@@ -22,9 +22,9 @@ BANDS, ROWS = 12, 4
 DF_BITS = 18
 #: Random triples of the sampler; each sample draws from them by its own hash.
 TRIPLES_BITS = 14
-#: Members of its class that stand in for a bucket's first before what is left is
-#: compared with all members.
-TURNS = 2
+#: Rounds at most in which one member stands in for a bucket's main class; they end
+#: when one connects less than a tenth of the texts still apart.
+TURNS = 16
 
 
 def shingles(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -48,8 +48,9 @@ def shingles(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def document_frequencies(docs: DataFrame, n: int, bits: int = DF_BITS) -> tuple[int, np.ndarray]:
-    """Documents with a shingle, and for each of 2**bits groups of shingles the mean
-    number of documents that hold one of its shingles, over all texts.
+    """Documents with a shingle, and for each of 2**bits groups of shingles how often
+    a document holds one of its shingles, over all texts.  As in a count-min sketch
+    a group's count is never below that of any of its shingles.
 
     Each task adds up its own counts in an array of fixed size and emits it once.
     """
@@ -81,8 +82,9 @@ def document_frequencies(docs: DataFrame, n: int, bits: int = DF_BITS) -> tuple[
 
 
 def idf_table(n_docs: int, df: np.ndarray) -> np.ndarray:
-    """Smoothed inverse document frequency of each group of shingles."""
-    return (1 + np.log((1 + n_docs) / (1 + df))).clip(min=1e-3).astype(np.float64)
+    """Inverse document frequency of each group of shingles, from 2 for one that no
+    document holds to 1 for one as frequent as documents."""
+    return 1 + (np.log((1 + n_docs) / (1 + df)) / np.log(2 + n_docs)).clip(0, 1)
 
 
 def _weights(h: np.ndarray, times: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -155,9 +157,9 @@ def _similarity(a: tuple, b: tuple) -> float:
     return float(least / (a[1].sum() + b[1].sum() - least))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, idf, n: int, least: float) -> DataFrame:
-    """(a, b, s) of the pairs (a, b) of text numbers whose weighted Jaccard
-    similarity is ``least`` or more.  ``texts``: (node, text), one row a number."""
+def verified(pairs: DataFrame, texts: DataFrame, idf, n: int) -> DataFrame:
+    """(a, b, s) of the pairs (a, b) of text numbers, s being their weighted Jaccard
+    similarity.  ``texts``: (node, text), one row a number."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
     both = pairs.join(left, "a").join(right, "b")
@@ -176,7 +178,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, n: int, least: float) -> D
         for batch in batches:
             a, b = batch.column("a"), batch.column("b")
             s = np.array([_similarity(of(x.as_py(), ta.as_py().encode()), of(y.as_py(), tb.as_py().encode())) for x, y, ta, tb in zip(a, b, batch.column("ta"), batch.column("tb"), strict=True)], float)
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(s)], names=["a", "b", "s"]).filter(pa.array(s >= least))
+            yield pa.RecordBatch.from_arrays([a, b, pa.array(s)], names=["a", "b", "s"])
 
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, s double")
 
@@ -186,9 +188,9 @@ def classes(docs: DataFrame, least: float = 0.8, n: int = 5, bands: int = BANDS,
     y hashes of the text; class_id is the least doc_id of the class.
 
     Equal texts are one node.  In a bucket of a band every text is compared with
-    the bucket's first; those it doesn't match are compared, in TURNS rounds, with
-    another member of the first's class, and what is still apart with all members
-    of other classes.  So no link between classes is lost, and members of one
+    the bucket's first; those outside the class that most of the bucket is in are
+    compared, in rounds, with one member of that class, and what is still apart at
+    the end with all members of other classes.  So no link between classes is lost, and members of one
     class are not compared with each other again.
     """
     spark = docs.sparkSession
@@ -206,22 +208,35 @@ def classes(docs: DataFrame, least: float = 0.8, n: int = 5, bands: int = BANDS,
     # a row whose text first came with this id; rows of equal id and text are one
     texts = docs.select(F.col("doc_id").alias("node"), "x", "y", "text").join(nodes.join(wanted, "node", "left_semi").select("node", "x", "y"), ["node", "x", "y"]).dropDuplicates(["node", "x", "y"]).select("node", "text")
     texts = staged(texts, "texts")
-    links = staged(verified(pairs, texts, idf, n, least), "links")
+    scored = staged(verified(pairs, texts, idf, n), "scored")
+    links = scored.where(F.col("s") >= least).select("a", "b")
+    members = members.join(scored.select(F.col("a").alias("node"), F.col("b").alias("head"), "s"), ["node", "head"], "left")
+    comp = staged(connected_components(links, "near"), "comp")
+    apart = None
     for turn in range(TURNS + 1):
-        comp = staged(connected_components(links, "near"), "comp")
         placed = members.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        heads = comp.select(F.col("node").alias("head"), F.col("component").alias("hc"))
-        placed = placed.join(heads, "head", "left").withColumn("hc", F.coalesce("hc", "head"))
-        out = placed.where("component <> hc").select("bucket", F.col("node").alias("a"), F.col("total").alias("ta"), F.col("component").alias("ca"))
-        rest = placed.where("node <> head").select("bucket", F.col("node").alias("b"), F.col("total").alias("tb"), F.col("component").alias("cb"), "hc")
-        if turn < TURNS:  # against one more member of the class of the bucket's first
-            own = rest.where("cb = hc").groupBy("bucket").agg(F.min_by(F.struct("b", "tb", "cb", "hc"), F.xxhash64("b", F.lit(turn))).alias("m"))
+        placed = staged(placed, "placed")
+        # the class that has most of a bucket; buckets of one class are finished
+        parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+        main = parts.groupBy("bucket").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("hc"), F.count("*").alias("parts")).where("parts > 1")
+        placed = placed.join(main.select("bucket", "hc"), "bucket")
+        out = staged(placed.where("component <> hc").select("bucket", F.col("node").alias("a"), F.col("total").alias("ta"), F.col("component").alias("ca"), F.col("s").alias("sa")), "apart")
+        before, apart = apart, out.select("a").distinct().count()
+        if not apart:
+            break
+        last = turn == TURNS or (before is not None and before - apart < before / 10)
+        rest = placed.select("bucket", F.col("node").alias("b"), F.col("total").alias("tb"), F.col("component").alias("cb"), F.col("s").alias("sb"), "hc")
+        if not last:  # against one more member of the bucket's main class
+            own = rest.where("cb = hc").groupBy("bucket").agg(F.min_by(F.struct("b", "tb", "cb", "sb", "hc"), F.xxhash64("b", "bucket", F.lit(turn))).alias("m"))
             rest = own.select("bucket", "m.*")
         cross = out.join(rest, "bucket").where("ca <> cb and (cb = hc or a < b)").where(F.least("ta", "tb") >= least * F.greatest("ta", "tb"))
-        more = staged(verified(cross.select("a", "b").distinct(), texts, idf, n, least), "links")
+        # 1 less similarity is a distance: two texts are no nearer than their distances to the first differ
+        cross = cross.where(F.coalesce(F.abs(F.col("sa") - F.col("sb")) <= 1 - least + 1e-9, F.lit(True)))
+        more = staged(verified(cross.select("a", "b").distinct(), texts, idf, n).where(F.col("s") >= least).select("a", "b"), "links")
         links = links.unionByName(more)
-        discard(comp)
-    comp = connected_components(links, "near")
+        comp = staged(connected_components(links, "near"), "comp")
+        if last:
+            break
     out = nodes.join(comp, "node", "left").select("x", "y", F.coalesce("component", "node").alias("class_id"))
     return docs.select("doc_id", "x", "y").join(out, ["x", "y"])
 

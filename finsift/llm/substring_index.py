@@ -19,7 +19,7 @@ WINDOW, GRAM = 13, 3
 #: Bits of the filter that says which windows need a full comparison: its size in
 #: memory is fixed.  A fuller filter lets more windows through and changes no result.
 FILTER_BITS = 26
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 
 def _chunks(batch: pa.RecordBatch, name: str, limit: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:

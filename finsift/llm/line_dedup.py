@@ -16,8 +16,10 @@ SHORTEST = 10
 def _lines(docs: DataFrame) -> DataFrame:
     """(at, x, y, line): a row for each line that has a word; ``at`` orders rows by
     document and place, x and y name the line's text."""
-    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64("text").alias("t"), "pos")
-    rows = docs.where("text is not null").select("doc_id", "text", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "t", "pos")
+    # the text is hashed and left behind before its lines become rows
+    whole = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("t"), F.split("text", "\n", -1).alias("lines"))
+    rows = whole.select("doc_id", "t", F.posexplode("lines").alias("pos", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     return rows.select(place.alias("at"), F.xxhash64("line").alias("x"), F.xxhash64(F.lit(1), "line").alias("y"), "line")
 
 
@@ -25,7 +27,7 @@ def _edge(i: Column, length: Column, m: Column) -> Column:
     return F.floor(i * length / m).cast("int")
 
 
-def _blocks(line: Column, n: Column, length: Column, m: Column, of: list[Column] | None = None) -> Column:
+def _blocks(line: Column, n: Column, length: Column, m: Column) -> Column:
     """For a line of n characters as a neighbour of lines of ``length``: for each of m
     blocks, a hash of all before the block and all after it."""
 
@@ -44,8 +46,24 @@ def _both(line: Column, m) -> Column:
     return F.concat(_blocks(line, n, n, m(n)), _blocks(line, n, n - 1, m(n - 1)))
 
 
+def _halves(lines: DataFrame) -> DataFrame:
+    """(x, y, key): what :func:`_both` gives for two blocks, in plain expressions."""
+    sized = lines.withColumn("n", F.char_length("line")).where(F.col("n") >= SHORTEST)
+    line, n = F.col("line"), F.col("n")
+
+    def of(length: Column) -> list[Column]:
+        half = F.floor(length / 2).cast("int")
+        return [F.xxhash64(length, F.lit(0), F.substring(line, n - length + half + 1, length - half)), F.xxhash64(length, F.lit(1), F.substring(line, F.lit(1), half))]
+
+    own, less = of(n), of(n - 1)
+    keys = F.array(*own, *[F.when(n > SHORTEST, k) for k in less])
+    return sized.select("x", "y", F.explode(keys).alias("key")).where("key is not null")
+
+
 def _shared(keys: DataFrame) -> DataFrame:
-    """The rows of ``keys`` (key, x, ...) whose key two different lines have."""
+    """The rows of ``keys`` (key, x, ...) whose key two different lines have.  The
+    keys are written down, for making them costs more than reading them twice."""
+    keys = staged(keys, "keys")
     found = keys.groupBy("key").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo <> hi").select("key")
     return keys.join(found, "key")
 
@@ -63,8 +81,7 @@ def near_lines(lines: DataFrame) -> DataFrame:
     within it.
     """
     line = F.col("line")
-    halves = lines.select("x", "y", F.explode(_both(line, lambda n: F.lit(2))).alias("b")).select("x", "y", "b.key")
-    some = _shared(halves).select("x", "y").distinct()
+    some = _shared(_halves(lines)).select("x", "y").distinct()
     texts = lines.join(some, ["x", "y"]).groupBy("x", "y").agg(F.min("at").alias("first"), F.first("line").alias("line"))
     texts = staged(texts, "texts")
     root = lambda n: F.greatest(F.lit(2), F.ceil(F.sqrt(n)).cast("int"))

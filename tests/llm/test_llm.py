@@ -427,6 +427,23 @@ def test_leaks_whole_and_edited(spark):
     assert {r["doc_id"] for r in clean.collect()} == set(range(62)) - {7, 8} and clean.columns == docs(spark, texts).columns
 
 
+def test_leaks_edited_alike_in_many_documents(spark):
+    rng = random.Random(15)
+    items = [words(rng, 40, 4000) for _ in range(4)]
+    edited = items[0].split()
+    edited[4::5] = [f"other{i}" for i in range(8)]
+    once = items[1].split()[:38]
+    for at in range(34, 3, -2):  # one n-gram is left
+        once.insert(at, "added")
+    texts = [words(rng, 80, 4000) for _ in range(200)]
+    texts[20:120] = [words(rng, 20, 4000) + " " + " ".join(edited) + " " + words(rng, 20, 4000) for _ in range(100)]
+    texts[150] = " ".join(once)
+    want = {(i, 0): 0.6 for i in range(20, 120)} | {(150, 1): (38 - 16) / 40}
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["score"] for r in decontam.find_leaks(docs(spark, texts), bench).collect()}
+    assert set(found) == set(want) and all(found[k] >= want[k] - 1e-9 for k in want)
+
+
 def test_decontamination_on_odd_and_empty_input(spark, odd, empty):
     bench = spark.createDataFrame([(1, "a b c d e f g"), (None, "null id here"), (1, "a b c d e f g")], "item_id long, text string")
     assert decontam.decontaminate(odd, bench).count() == 7

@@ -127,6 +127,9 @@ def discovered(found: DataFrame) -> DataFrame:
     """(doc_id, x, k, s, e) of identifiers that contexts give away, from rows
     (doc_id, x, __base, __other).
 
+    A seed is of its kind wherever it stands as a word of its own, so also where no
+    base form finds it, as beside another number that the form takes with it, and
+    a sign that closes a sentence is not part of it.
     Pattern and instance form a two-sided graph.  A pattern's confidence for a
     kind is the share of its instances known to be of that kind; an instance's is
     1 less the product of its patterns' doubts.  An instance that two patterns
@@ -138,7 +141,9 @@ def discovered(found: DataFrame) -> DataFrame:
     other = found.select("doc_id", "x", F.explode("__other").alias("m")).select("doc_id", "x", F.lit(None).cast("int").alias("k"), "m.s", "m.e", F.lower("m.m").alias("instance"), _patterns("m").alias("p"))
     mentions = staged(base.unionByName(other), "mentions")
     edges = staged(mentions.select("k", "instance", F.explode("p").alias("pattern")).distinct(), "edges")
-    known = edges.where("k is not null").select("instance", "k").distinct()
+    seeds = staged(mentions.where("k is not null").select("instance", "k").distinct(), "seeds")
+    known = seeds
+    bare = F.regexp_replace("instance", "[.,;]$", "")  # no seed ends in one of these
     fits = [F.when((F.col("k") == i) & F.col("instance").rlike(LOOSE[k]), True) for i, k in enumerate(KINDS)]
     for _ in range(ROUNDS):
         rows = edges.select("instance", "pattern").distinct()
@@ -149,9 +154,12 @@ def discovered(found: DataFrame) -> DataFrame:
         sure = open_.groupBy("instance", "k").agg((1 - F.exp(F.sum(F.log1p(-F.col("c"))))).alias("c"), F.count("*").alias("n")).where((F.col("c") >= SURE) & (F.col("n") >= 2))
         sure = sure.where(F.coalesce(*fits, F.lit(False)))
         best = sure.groupBy("instance").agg(F.max_by("k", F.struct("c", -F.col("k"))).alias("k"))
-        known = staged(edges.where("k is not null").select("instance", "k").union(best.select("instance", "k")).distinct(), "known")
-    new = known.join(edges.where("k is not null").select("instance").distinct(), "instance", "left_anti")
-    return mentions.where("k is null").drop("k", "p").join(new, "instance").select("doc_id", "x", "k", "s", "e")
+        # seeds are found below, by their own kind
+        best = staged(best.withColumn("bare", bare).join(seeds.select(F.col("instance").alias("bare")), "bare", "left_anti").select("instance", "k"), "known")
+        known = seeds.union(best)
+    rest = mentions.where("k is null").select("doc_id", "x", "s", "e", "instance")
+    again = rest.withColumn("e", F.col("e") - F.char_length("instance") + F.char_length(bare)).withColumn("instance", bare)
+    return rest.join(best, "instance").unionByName(again.join(seeds, "instance")).select("doc_id", "x", "k", "s", "e")
 
 
 def private_data(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -158,6 +158,13 @@ def test_contexts_give_away_unseen_identifiers(spark):
     assert got[12] == "email:21:45" and got[13] == "" and got[14] == ""
 
 
+def test_seeds_are_found_beside_other_numbers(spark):
+    cards = ["4111111111111111", "4012888888881881"]
+    texts = [f"paid with {cards[0]} today", f"numbers 7536784127813050 {cards[0]} here", cards[1], f"{cards[1]} 7536784127813050", f"7536784127813050 {cards[0]}."]
+    got = [r["spans"] for r in pii.private_data(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert got == ["card:10:26", "card:25:41", "card:0:16", "card:0:16", "card:17:33"]
+
+
 def test_private_data_on_odd_and_empty_input(odd, empty):
     assert pii.private_data(odd).count() == 11 and pii.private_data(empty).count() == 0
 

@@ -16,13 +16,14 @@ from .common import discard, staged, without
 #: Labelled rows that the final weights are fitted on, at most; terms are mined
 #: from all of them.
 SAMPLE = 20_000
-#: Terms of the lexicon at most, by evidence; letters of a term that count.
-TERMS, LETTERS = 5000, 32
+#: Letters of a term that count.
+LETTERS = 32
 #: Shortest term that may be misspelled, and shortest stem.
 FUZZY_FROM, STEM_FROM, STEM_TO = 5, 4, 8
 #: Words on either side of a find that are looked at.
 CONTEXT = 8
-REMEMBERED = 400_000
+#: Words, and states of the automaton, that are remembered at most.
+REMEMBERED, STATES = 400_000, 50_000
 _STRIP = ".,;:!?()[]{}<>|/\\*#%&$=+~^`\"'«»“”„‘’‹›…-–—_"
 _QUOTES = frozenset("\"«»“”„‘’‹›")
 #: Fixed words that introduce what somebody else said, in the languages of the corpus.
@@ -68,12 +69,16 @@ class Lexicon:
                     node = self.next[node][c]
                     self.fuzzy[node] |= far
                 getattr(self, kind)[node] = t
+        self._forget()
+        self.cache: dict[str, tuple | None] = {}
+
+    def _forget(self) -> None:
+        """Begin with no states but the first; others are made again when needed."""
         self.ids: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
         self.ends: list[tuple | None] = []
         self.start = self._state({(0, 0)})
-        self.cache: dict[str, tuple | None] = {}
 
     def __getstate__(self):
         return self.terms, self.stems, self.clean
@@ -115,6 +120,8 @@ class Lexicon:
         """(edits, whether by a stem, term) of the nearest term, or None."""
         if word in self.cache:
             return self.cache[word]
+        if len(self.sets) >= STATES:
+            self._forget()
         state, best = self.start, None
         for c in word[:LETTERS]:
             to = self.moves[state].get(c)
@@ -205,13 +212,25 @@ def held_out(name: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(name).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _uncovered(rows: DataFrame, name: str, stems: DataFrame, proper: bool) -> DataFrame:
+    """``rows`` less those whose word ``name`` begins with a stem; with ``proper``,
+    with one shorter than the word."""
+    begins = F.array_distinct(F.transform(F.sequence(F.lit(STEM_FROM), F.lit(STEM_TO)), lambda k: F.substring(name, F.lit(1), k)))
+    if proper:
+        begins = F.filter(begins, lambda b: F.length(b) < F.length(name))
+    begun = rows.select(F.col(name).alias("__word"), F.explode(begins).alias("__stem"))
+    covered = begun.join(stems.select(F.col("stem").alias("__stem")), "__stem", "left_semi").select(F.col("__word").alias(name)).distinct()
+    return rows.join(covered, name, "left_anti")
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from the labelled rows that aren't held out.
 
     Equal texts count once.  A word is a term, and a beginning that several words
     share a stem, when toxic rows hold it more often than chance allows among as
     many words as there are (a log-likelihood ratio above twice the logarithm of
-    their number, plus 4) and at least half of the rows with it are toxic.
+    their number, plus 4) and at least half of the rows with it are toxic.  All such
+    words that begin with no stem are in the lexicon; only they reach the driver.
     """
     spark = docs.sparkSession
     labels = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
@@ -239,14 +258,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     least = 2 * np.log(max(2, counts.count())) + 4
     strong = (F.col("pos") > 0) & (F.col("pos") >= F.col("n") * 0.5) & (ratio > least)
     odds = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.col("n") - F.col("pos") + 0.5) / (n - pos + 1))
-    terms = {r["word"]: r["odds"] for r in counts.where((F.length("word") >= 3) & strong).select("word", odds.alias("odds"), ratio.alias("g")).orderBy(F.desc("g"), "word").limit(TERMS).collect()}
     begun = counts.where(F.length("word") >= STEM_FROM).select("pos", "n", F.explode(F.transform(F.sequence(F.lit(STEM_FROM), F.least(F.lit(STEM_TO), F.length("word"))), lambda k: F.substring("word", F.lit(1), k))).alias("stem"))
     begun = begun.groupBy("stem").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"), F.count_if(F.col("pos") > 0).alias("words")).where("words >= 4 and pos >= n * 0.9").where(strong)
-    stems: dict[str, float] = {}
-    for r in sorted(begun.select("stem", odds.alias("odds"), ratio.alias("g")).orderBy(F.desc("g"), "stem").limit(TERMS).collect(), key=lambda r: (len(r["stem"]), r["stem"])):
-        if not any(r["stem"][:k] in stems for k in range(STEM_FROM, len(r["stem"]))):
-            stems[r["stem"]] = r["odds"]
-    terms = {t: w for t, w in terms.items() if not any(t[:k] in stems for k in range(STEM_FROM, len(t) + 1))}
+    begun = staged(begun.select("stem", odds.alias("odds")), "stems")
+    stems = {r["stem"]: r["odds"] for r in _uncovered(begun, "stem", begun, True).collect()}
+    found = counts.where((F.length("word") >= 3) & strong).select("word", odds.alias("odds"))
+    terms = {r["word"]: r["odds"] for r in _uncovered(found, "word", begun, False).collect()}
     first = Lexicon(terms, stems, set())
     shared = spark.sparkContext.broadcast(first)
 
@@ -254,7 +271,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         for batch in batches:
             yield batch.filter(pa.array([shared.value.near(w) for w in batch.column("word").to_pylist()], pa.bool_()))
 
-    # words near a term of which fewer than half the rows are toxic: TERMS times a few hundred at most
+    # words near a term of which fewer than half the rows are toxic
     clean = {r["word"] for r in counts.where("pos < n * 0.5").select("word").mapInArrow(misspelled, "word string").toLocalIterator()}
     lex = Lexicon(terms, stems, clean)
     chosen = spark.sparkContext.broadcast(lex)
@@ -266,7 +283,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     some = docs.select("doc_id", "text").join(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", "toxic"), "doc_id")
     fit = some.mapInArrow(numbers, "toxic int, f array<double>").collect()  # ``sample`` rows
-    discard(counts)
+    discard(counts, begun)
     x, y = np.array([r["f"] for r in fit]), np.array([r["toxic"] for r in fit], float)
     return Model(lex, _logistic(x, y))
 

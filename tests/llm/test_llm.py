@@ -218,6 +218,22 @@ def test_toxicity_learns_and_holds_out(spark):
     assert model.score("a w1 wirthless thing") > model.score("a w1 thing") and 0 <= model.score("") <= 1
 
 
+def test_toxicity_learns_all_terms(spark):
+    rng = random.Random(16)
+    terms = list({"".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=4)) for _ in range(5600)})  # more than 5000 qualify
+    toxic = [[] for _ in range(340)]
+    for t in terms:
+        for i in rng.sample(range(340), 12):
+            toxic[i].append(t)
+    texts = [" ".join(t) for t in toxic] + [" ".join(f"w{rng.randrange(300)}" for _ in range(10)) for _ in range(3000)]
+    table = docs(spark, texts)
+    labels = spark.createDataFrame([(i, int(i < 340)) for i in range(len(texts))], "doc_id long, toxic int")
+    trained = {r[0] for r in labels.where(~toxicity.held_out()).collect()}
+    often = {t for t in terms if sum(t in set(toxic[i]) for i in trained if i < 340) >= 6}
+    model = toxicity.train(table, labels)
+    assert len(often) > 5000 and often <= set(model.lex.terms)
+
+
 def test_toxicity_on_odd_and_empty_input(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.train(odd, none)

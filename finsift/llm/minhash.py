@@ -3,23 +3,23 @@ over TF-IDF shingles, bands, and verification by weighted Jaccard similarity."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, gram_hashes, mix, staged, without, word_hashes
+from .common import WORD, connected_components, discard, gram_hashes, mix, staged, without, word_hashes
 from .substring_index import _chunks, _lists
 
 #: BANDS bands of ROWS samples: a pair of weighted similarity 0.8 meets in one with
 #: probability 0.9982, one of 0.5 with 0.54 and one of 0.1 with 0.0012.
 BANDS, ROWS = 12, 4
-#: Document frequencies are kept for 2**DF_BITS groups of shingles, by the low
-#: bits of the shingle's hash, so that the table has one size for any corpus.
-DF_BITS = 18
+#: Bytes of text of a piece, and for each bucket in which shingles are counted
+#: (about two million shingles).
+PIECE, BUCKET = 4 << 20, 12 << 20
 #: Random triples of the sampler; each sample draws from them by its own hash.
 TRIPLES_BITS = 14
 #: Rounds at most in which one member stands in for a bucket's main class; they end
@@ -47,50 +47,84 @@ def shingles(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return own[at], h[at], np.diff(np.concatenate((at, [len(h)])))
 
 
-def document_frequencies(docs: DataFrame, n: int, bits: int = DF_BITS) -> tuple[int, np.ndarray]:
-    """Documents with a shingle, and for each of 2**bits groups of shingles how often
-    a document holds one of its shingles, over all texts.  As in a count-min sketch
-    a group's count is never below that of any of its shingles.
+def pieces(docs: DataFrame) -> DataFrame:
+    """(piece, x, y, node, copies, text) of the distinct texts of ``docs``, written:
+    pieces are runs of about PIECE bytes."""
 
-    Each task adds up its own counts in an array of fixed size and emits it once.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, size = uuid.uuid4().int >> 65, 0
+        for whole in batches:
+            for batch, texts in _chunks(whole, "text", min(PIECE, 1 << 20)):
+                if size > PIECE:
+                    piece, size = uuid.uuid4().int >> 65, 0
+                size += sum(map(len, texts))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(texts), piece, np.int64)), *batch.columns], names=["piece", *batch.schema.names])
+
+    texts = docs.groupBy("x", "y").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first(F.coalesce("text", F.lit(""))).alias("text"))
+    return staged(texts.mapInArrow(run, "piece long, x long, y long, node long, copies long, text string"), "pieces")
+
+
+def _summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles in order with the sums of their counts."""
+    order = np.argsort(h, kind="stable")
+    h, n = h[order], n[order]
+    at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, np.int64)
+    return h[at], np.add.reduceat(n, at) if len(at) else n
+
+
+def document_frequencies(texts: DataFrame, n: int) -> DataFrame:
+    """(piece, h, df), written: how many documents hold each shingle, exactly, for
+    those shingles of a piece that other pieces hold too; h and df are packed.
+
+    A piece sends each of its shingles once, with its count, to the bucket of the
+    shingle's high bits, so a bucket has no more rows for a common one than pieces.
     """
-    size = 1 << bits
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(0, int(np.ceil(np.log2(max(1, size / BUCKET)))))
+
+    def emit(held: list, piece: int) -> pa.RecordBatch:
+        h, k = _summed(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
+        cuts = np.searchsorted(h >> np.uint64(63 - bits) >> np.uint64(1), np.arange((1 << bits) + 1, dtype=np.uint64))
+        some = np.flatnonzero(np.diff(cuts))
+        spans = [(int(cuts[i]), int(cuts[i + 1])) for i in some]
+        packed = [pa.array([v[a:b].tobytes() for a, b in spans], pa.binary()) for v in (h, k)]
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(np.full(len(some), piece, np.int64)), *packed], names=["bucket", "piece", "h", "df"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n_docs = np.zeros(size, np.int64), 0
+        held, piece = [], None
         for whole in batches:
-            for _, texts in _chunks(whole, "text"):
-                own, h, _ = shingles(texts, n)
-                df += np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size)
-                n_docs += len(np.unique(own))
-        for page in range(0, size, 4096):
-            yield pa.RecordBatch.from_arrays([pa.array([page // 4096], pa.int32()), pa.array([df[page : page + 4096]], pa.list_(pa.int64())), pa.array([n_docs if page == 0 else 0], pa.int64())], names=["page", "df", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "page int, df array<long>, n long")
-
-    def add(t: pa.Table) -> pa.Table:
-        total = np.sum(t["df"].combine_chunks().flatten().to_numpy().reshape(-1, 4096), axis=0)
-        return pa.table({"page": t["page"][:1], "df": pa.array([total], pa.list_(pa.int64())), "n": pa.array([pc.sum(t["n"]).as_py()], pa.int64())})
-
-    out, n_docs = np.zeros(size, np.int64), 0
-    # tasks are summed in groups first, so no page gathers a row from every task
-    part = rows.withColumn("task", F.pmod(F.spark_partition_id(), F.lit(64))).groupBy("page", "task").applyInArrow(lambda t: add(t), "page int, df array<long>, n long")
-    for r in part.groupBy("page").applyInArrow(lambda t: add(t), "page int, df array<long>, n long").toLocalIterator():
-        out[r["page"] * 4096 : r["page"] * 4096 + 4096] = r["df"]
-        n_docs += r["n"]
-    return n_docs, out
-
-
-def idf_table(n_docs: int, df: np.ndarray) -> np.ndarray:
-    """Inverse document frequency of each group of shingles, from 2 for one that no
-    document holds to 1 for one as frequent as documents."""
+            for batch, some in _chunks(whole, "text", 1 << 20):
+                mine, copies = batch.column("piece").to_numpy(), batch.column("copies").to_numpy()
+                own, h, _ = shingles(some, n)
+                for p in dict.fromkeys(mine.tolist()):
+                    if held and p != piece:
+                        yield emit(held, piece)
+                        held = []
+                    at, piece = mine[own] == p, p
+                    held.append(_summed(h[at], copies[own[at]]))
+        if held:
+            yield emit(held, piece)
+
+    def count(t: pa.Table) -> pa.Table:
+        hs, ns = ([np.frombuffer(v, d) for v in t[c].to_pylist()] for c, d in (("h", np.uint64), ("df", np.int64)))
+        h, df = _summed(np.concatenate(hs), np.concatenate(ns))
+        out = []
+        for mine, k in zip(hs, ns, strict=True):
+            all_ = df[np.searchsorted(h, mine)]
+            more = all_ > k
+            out.append((mine[more].tobytes(), all_[more].tobytes()))
+        return pa.table({"piece": t["piece"], "h": pa.array([x[0] for x in out], pa.binary()), "df": pa.array([x[1] for x in out], pa.binary())})
+
+    sent = texts.select("piece", "copies", "text").mapInArrow(run, "bucket long, piece long, h binary, df binary")
+    return staged(sent.groupBy("bucket").applyInArrow(count, "piece long, h binary, df binary"), "frequencies")
+
+
+def idf(n_docs: int, df: np.ndarray) -> np.ndarray:
+    """Inverse document frequency, from nearly 2 for a shingle of one document to 1
+    for one as frequent as documents."""
     return 1 + (np.log((1 + n_docs) / (1 + df)) / np.log(2 + n_docs)).clip(0, 1)
 
 
-def _weights(h: np.ndarray, times: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return times * idf[(h & np.uint64(len(idf) - 1)).astype(np.int64)]
-
-
 class Sampler:
     """Improved consistent weighted sampling (Ioffe 2010).
 
@@ -130,24 +164,36 @@ class Sampler:
         return keys
 
 
-def signatures(docs: DataFrame, idf, n: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, x, y, total, keys): the total weight and band keys of each row's text;
-    texts without words have no keys."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(bands * rows)
-        for whole in batches:
-            for batch, texts in _chunks(whole, "text", 1 << 20):
-                own, h, times = shingles(texts, n)
-                total, keys, with_words = np.zeros(len(texts)), np.empty(0, np.uint64), np.unique(own)
-                if len(own):
-                    starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-                    w = _weights(h, times, idf.value)
-                    total[with_words] = np.add.reduceat(w, starts)
-                    keys = sampler(starts, h, w, bands, rows).reshape(-1)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "x", "y")), pa.array(total), _lists(keys, np.repeat(with_words, bands), len(texts))], names=["doc_id", "x", "y", "total", "keys"])
-
-    return docs.select("doc_id", "x", "y", "text").mapInArrow(run, "doc_id long, x long, y long, total double, keys array<long>")
+def signatures(texts: DataFrame, frequencies: DataFrame, n_docs: int, n: int, bands: int, rows: int) -> DataFrame:
+    """(node, x, y, total, keys, df) of each text of :func:`pieces`: its total weight,
+    band keys, and the document frequencies of its shingles in order, packed; texts
+    without words have no keys."""
+    names = ["node", "x", "y", "total", "keys", "df"]
+    schema = "node long, x long, y long, total double, keys array<long>, df binary"
+
+    def run(t: pa.Table, counts: pa.Table) -> pa.Table:
+        sampler, out, parts = Sampler(bands * rows), [], []
+        for whole in t.combine_chunks().to_batches():
+            for batch, some in _chunks(whole, "text", 1 << 20):
+                parts.append((batch, len(some), *shingles(some, n)))
+        # a piece's own counts, and those of all documents where they are greater
+        have, df = _summed(np.concatenate([p[3] for p in parts]), np.concatenate([p[0].column("copies").to_numpy()[p[2]] for p in parts]))
+        for h, k in zip(counts["h"].to_pylist(), counts["df"].to_pylist(), strict=True):
+            df[np.searchsorted(have, np.frombuffer(h, np.uint64))] = np.frombuffer(k, np.int64)
+        for batch, size, own, h, times in parts:
+            mine = df[np.searchsorted(have, h)]
+            total, keys, with_words = np.zeros(size), np.empty(0, np.uint64), np.unique(own)
+            if len(own):
+                starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+                w = times * idf(n_docs, mine)
+                total[with_words] = np.add.reduceat(w, starts)
+                keys = sampler(starts, h, w, bands, rows).reshape(-1)
+            cuts = np.searchsorted(own, np.arange(size + 1))
+            packed = pa.array([mine[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
+            out.append(pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "x", "y")), pa.array(total), _lists(keys, np.repeat(with_words, bands), size), packed], names=names))
+        return pa.Table.from_batches(out)
+
+    return texts.groupBy("piece").cogroup(frequencies.groupBy("piece")).applyInArrow(run, schema)
 
 
 def _similarity(a: tuple, b: tuple) -> float:
@@ -157,30 +203,31 @@ def _similarity(a: tuple, b: tuple) -> float:
     return float(least / (a[1].sum() + b[1].sum() - least))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, idf, n: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, n_docs: int, n: int) -> DataFrame:
     """(a, b, s) of the pairs (a, b) of text numbers, s being their weighted Jaccard
-    similarity.  ``texts``: (node, text), one row a number."""
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
+    similarity.  ``texts``: (node, text, df), one row a number."""
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"), F.col("df").alias("da"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"), F.col("df").alias("db"))
     both = pairs.join(left, "a").join(right, "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
 
-        def of(key, text):
+        def of(key, text, df):
             if key not in held:
                 if len(held) > 64:
                     held.clear()
                 _, h, times = shingles([text], n)
-                held[key] = (h, _weights(h, times, idf.value))
+                held[key] = (h, times * idf(n_docs, np.frombuffer(df, np.int64)))
             return held[key]
 
         for batch in batches:
             a, b = batch.column("a"), batch.column("b")
-            s = np.array([_similarity(of(x.as_py(), ta.as_py().encode()), of(y.as_py(), tb.as_py().encode())) for x, y, ta, tb in zip(a, b, batch.column("ta"), batch.column("tb"), strict=True)], float)
+            sides = [[batch.column(c).to_pylist() for c in names] for names in (("a", "ta", "da"), ("b", "tb", "db"))]
+            s = np.array([_similarity(of(x, tx.encode(), dx), of(y, ty.encode(), dy)) for x, tx, dx, y, ty, dy in zip(*sides[0], *sides[1], strict=True)], float)
             yield pa.RecordBatch.from_arrays([a, b, pa.array(s)], names=["a", "b", "s"])
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, s double")
+    return both.select("a", "b", "ta", "da", "tb", "db").mapInArrow(run, "a long, b long, s double")
 
 
 def classes(docs: DataFrame, least: float = 0.8, n: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -193,11 +240,11 @@ def classes(docs: DataFrame, least: float = 0.8, n: int = 5, bands: int = BANDS,
     the end with all members of other classes.  So no link between classes is lost, and members of one
     class are not compared with each other again.
     """
-    spark = docs.sparkSession
-    n_docs, df = document_frequencies(docs, n)
-    idf = spark.sparkContext.broadcast(idf_table(n_docs, df))  # 2**DF_BITS numbers
-    signed = signatures(docs, idf, n, bands, rows)
-    nodes = staged(signed.groupBy("x", "y").agg(F.min("doc_id").alias("node"), F.first("total").alias("total"), F.first("keys").alias("keys")), "nodes")
+    unique = pieces(docs)
+    n_docs = unique.where(F.col("text").rlike(WORD)).agg(F.sum("copies")).first()[0] or 0
+    counts = document_frequencies(unique, n)
+    nodes = staged(signatures(unique, counts, n_docs, n, bands, rows), "nodes")
+    discard(counts)
     banded = nodes.where("node is not null").select("node", "total", F.posexplode("keys").alias("band", "key"))
     # buckets with two texts or more
     sizes = banded.groupBy("band", "key").agg(F.min("node").alias("head"), F.count("*").alias("n"), F.min_by("total", "node").alias("head_total")).where("n > 1")
@@ -205,10 +252,9 @@ def classes(docs: DataFrame, least: float = 0.8, n: int = 5, bands: int = BANDS,
     near = F.least("total", "head_total") >= least * F.greatest("total", "head_total")  # else similarity is below
     pairs = members.where("node <> head").where(near).select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     wanted = members.select("node").distinct()
-    # a row whose text first came with this id; rows of equal id and text are one
-    texts = docs.select(F.col("doc_id").alias("node"), "x", "y", "text").join(nodes.join(wanted, "node", "left_semi").select("node", "x", "y"), ["node", "x", "y"]).dropDuplicates(["node", "x", "y"]).select("node", "text")
+    texts = unique.select("x", "y", "text").join(nodes.join(wanted, "node", "left_semi").select("node", "x", "y", "df"), ["x", "y"]).select("node", "text", "df")
     texts = staged(texts, "texts")
-    scored = staged(verified(pairs, texts, idf, n), "scored")
+    scored = staged(verified(pairs, texts, n_docs, n), "scored")
     links = scored.where(F.col("s") >= least).select("a", "b")
     members = members.join(scored.select(F.col("a").alias("node"), F.col("b").alias("head"), "s"), ["node", "head"], "left")
     comp = staged(connected_components(links, "near"), "comp")
@@ -232,7 +278,7 @@ def classes(docs: DataFrame, least: float = 0.8, n: int = 5, bands: int = BANDS,
         cross = out.join(rest, "bucket").where("ca <> cb and (cb = hc or a < b)").where(F.least("ta", "tb") >= least * F.greatest("ta", "tb"))
         # 1 less similarity is a distance: two texts are no nearer than their distances to the first differ
         cross = cross.where(F.coalesce(F.abs(F.col("sa") - F.col("sb")) <= 1 - least + 1e-9, F.lit(True)))
-        more = staged(verified(cross.select("a", "b").distinct(), texts, idf, n).where(F.col("s") >= least).select("a", "b"), "links")
+        more = staged(verified(cross.select("a", "b").distinct(), texts, n_docs, n).where(F.col("s") >= least).select("a", "b"), "links")
         links = links.unionByName(more)
         comp = staged(connected_components(links, "near"), "comp")
         if last:

@@ -360,6 +360,27 @@ def test_sampler_estimates_weighted_jaccard():
     assert abs((keys[0] == keys[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.08
 
 
+def test_document_frequencies_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "PIECE", 1 << 12)
+    monkeypatch.setattr(minhash, "BUCKET", 1 << 14)
+    rng = random.Random(17)
+    texts = [words(rng, 60, 30) + " " + " ".join(f"w{j}" for j in range(rng.randrange(12))) for _ in range(300)]
+    texts += texts[:20] + ["", None, "short one", "short one"]
+    want = {}
+    for t in texts:
+        for h in minhash.shingles([(t or "").encode()], 5)[1].tolist():
+            want[h] = want.get(h, 0) + 1
+    x = [F.xxhash64(F.coalesce("text", F.lit(""))).alias("x"), F.xxhash64(F.lit(1), F.coalesce("text", F.lit(""))).alias("y")]
+    unique = minhash.pieces(docs(spark, texts).select("doc_id", "text", *x).repartition(7))
+    assert unique.select("piece").distinct().count() > 1
+    signed = minhash.signatures(unique, minhash.document_frequencies(unique, 5), 322, 5, 12, 4).join(unique.select("x", "y", "text"), ["x", "y"]).collect()
+    assert len(signed) == 302
+    for r in signed:
+        _, h, times = minhash.shingles([r["text"].encode()], 5)
+        df = np.frombuffer(r["df"], np.int64)
+        assert df.tolist() == [want[k] for k in h.tolist()] and r["total"] == pytest.approx((times * minhash.idf(322, df)).sum())
+
+
 def test_near_copies_on_odd_and_empty_input(odd, empty):
     got = minhash.near_dedup(odd).toPandas()
     assert len(got) == 11 and got[got.doc_id == 6].kept.tolist() == [False] and got[got.doc_id.isna()].kept.all()

@@ -1,12 +1,9 @@
-"""Helpers shared by the training-data operators: written tables that cut
-lineage, vectorised word hashing and distributed connected components."""
+"""Helpers shared by the training-data operators: chunks of text, vectorised word
+hashing and distributed connected components."""
 
 from __future__ import annotations
 
 import gc
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,42 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from finsift.sources.work import remove, shared_dir, stage_path, staged  # noqa: F401 - for the operators
+
 #: White space that separates words everywhere in this subpackage.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` where it is set.
-
-    Where it is unset, a local session (tests) gets a folder under
-    ``/tmp/checkpoints`` and any other the warehouse, which is shared too.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
-        base = os.path.join(tempfile.gettempdir(), "checkpoints")
-        os.makedirs(base, exist_ok=True)
-        return f"file://{base}"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-
-
-def stage_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/finsift-{tag}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: later jobs
-    start from those files, whichever executors are lost."""
-    spark = df.sparkSession
-    path = stage_path(spark, tag)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._finsift_path = path
-    return out
-
-
 def discard(*frames: DataFrame) -> None:
     """Delete the files behind frames made by :func:`staged` once nothing reads them,
     and have the driver's cleaner drop the shuffles that nothing refers to."""
@@ -68,12 +36,6 @@ def clean(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -88,28 +50,32 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
 
-# ---------------------------------------------------------------- word hashing
+def chunks(batch: pa.RecordBatch, name: str, limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of a batch with at most about ``limit`` bytes of text each."""
+    texts = [t or b"" for t in batch.column(name).cast(pa.binary()).to_pylist()]
+    at, size = 0, 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > limit:
+            yield batch.slice(at, i - at), texts[at:i]
+            at, size = i, 0
+        size += len(t)
+    if at < len(texts):
+        yield batch.slice(at), texts[at:]
 
-_BASE = 0x9E3779B97F4A7C15  # odd, so invertible modulo 2**64
-_INV = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
 
+def lists(values: np.ndarray, row: np.ndarray, n: int, kind=pa.int64()) -> pa.ListArray:
+    """Values, in the order of their rows, as one list for each of n rows."""
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=n)))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64) if values.dtype == np.uint64 else values, kind))
 
-def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(16, int(n).bit_length())
-        have = np.empty(size, np.uint64)
-        have[0] = 1
-        done = 1
-        while done < size:
-            step = np.uint64(pow(base, done, 1 << 64))
-            m = min(done, size - done)
-            have[done : done + m] = have[:m] * step
-            done += m
-        _powers[base] = have
-    return have[:n]
+
+# ---------------------------------------------------------------- word hashing
+
+_ODD, _ODDER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Random numbers for each place in a word, up to PLACES, and byte.  Fixed, so that
+#: all workers and all runs agree.
+PLACES = 64
+_TABLE = np.random.default_rng(0x5EED).integers(0, 1 << 64, PLACES << 8, dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -125,7 +91,11 @@ _IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (uint64) of all words of all texts in order, and the number of the
-    text that each word is of.  A word's hash depends on its bytes alone."""
+    text that each word is of.
+
+    A word's hash is the mixed sum of a random number for each of its bytes and
+    their places (tabulation hashing), so unlike words agree with probability
+    2**-64, whatever their form."""
     if not texts:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
@@ -134,42 +104,45 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     if not space[0]:
         edge = np.concatenate(([0], edge))
     starts, ends = edge[0::2], edge[1::2]
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(buf)), out=sums[1:])
-    raw = (sums[ends] - sums[starts]) * _power(_INV, len(buf))[starts]
     lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-    return mix(raw + (ends - starts).astype(np.uint64)), np.searchsorted(np.cumsum(lengths), starts, side="right")
-
-
-def gram_hashes(words: np.ndarray, doc: np.ndarray, n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of n words within a text, and the index of each run's first word."""
+    if not len(starts):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    size = ends - starts
+    begin = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(begin, size)
+    value = _TABLE[((place & (PLACES - 1)) << 8) | buf[np.flatnonzero(~space)]]
+    if size.max() > PLACES:
+        far = np.flatnonzero(place >= PLACES)
+        value[far] = mix(value[far] + (place[far] // PLACES).astype(np.uint64) * _ODD)
+    return mix(np.add.reduceat(value, begin) + size.astype(np.uint64) * _ODDER), np.searchsorted(np.cumsum(lengths), starts, side="right")
+
+
+def gram_hashes(words: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of n words within a text, and the index of each run's first
+    word.  Runs of 1, 2, 4 .. words are put together pairwise, mixed at each step."""
     m = len(words) - n + 1
     if m <= 0:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    h = np.zeros(m, np.uint64)
-    for j in range(n):
-        h += words[j : j + m] * np.uint64(pow(0xD6E8FEB86659FD93 + 2 * seed, j + 1, 1 << 64))
+    out, part, width, done = np.full(m, n, np.uint64), words, 1, 0
+    while True:
+        if n & width:
+            out = mix(out * _ODD + part[done : done + m])
+            done += width
+        if 2 * width > n:
+            break
+        part = mix(part[:-width] * _ODDER + part[width:])
+        width *= 2
     first = np.flatnonzero(doc[:m] == doc[n - 1 :])
-    return mix(h[first]), first
+    return out[first], first
 
 
 # -------------------------------------------------------- connected components
 
 
-#: Links that one task takes on: 16 bytes each.  More are solved in rounds.
-LOCAL_LINKS = 1_000_000
-
-
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Nodes of all links of a task with their components."""
-    a, b = [], []
-    for batch in batches:
-        a.append(batch.column("a").to_numpy())
-        b.append(batch.column("b").to_numpy())
-    if not a:
-        return
-    ids, node = np.unique(np.concatenate(a + b), return_inverse=True)
-    x, y = node[: len(node) // 2], node[len(node) // 2 :]
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fewer links that connect the same: each node of the links with its group's least."""
+    ids, node = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = node[: len(a)], node[len(a) :]
     low = np.arange(len(ids))
     while True:
         new = low.copy()
@@ -180,25 +153,40 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (new == low).all():
             break
         low = new
-    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[low])], names=["node", "component"])
+    some = low != np.arange(len(ids))
+    return ids[some], ids[low[some]]
+
 
+def _contracted(links: DataFrame) -> DataFrame:
+    """Each partition's links as stars of its own: as many links as nodes at most."""
 
-def connected_components(edges: DataFrame, tag: str = "cc", local: int = LOCAL_LINKS) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(x.column("a").to_numpy(), x.column("b").to_numpy()) for x in batches]
+        if held:
+            a, b = spanning(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return links.mapInArrow(run, "a long, b long")
+
+
+def connected_components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     """(node, component) of the graph whose links are the columns ``a`` and ``b``
     (long); component is the least node that can be reached.
 
-    ``local`` links or fewer, counted first, are solved by one task in memory.
-    Beyond that large-star and small-star steps alternate until no link changes,
-    so rounds grow with the logarithm of a component's diameter.  Each step is an
+    Large-star and small-star steps alternate until no link changes, so rounds
+    grow with the logarithm of a component's diameter; before each, partitions
+    turn their own links into stars, which saves most rounds.  Each step is an
     aggregation with partial sums and a join that the engine may split at a hot
     node; neighbours are never gathered in one place.  Each round is written to
     the shared folder.
     """
-    e = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), tag)
-    if e.count() <= local:
-        return e.coalesce(1).mapInArrow(_forest, "node long, component long")
-    old = None
-    while True:
+
+    def written(links: DataFrame) -> tuple[DataFrame, tuple]:
+        out = staged(_contracted(links.distinct()), tag)
+        return out, tuple(out.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    e, old = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    while old[0]:
         # large star: each node's larger neighbours are tied to its least neighbour
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -206,13 +194,13 @@ def connected_components(edges: DataFrame, tag: str = "cc", local: int = LOCAL_L
         # small star: each node and its lesser neighbours are tied to the least
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
-        small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
-        new = staged(small, tag)
-        size = new.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        discard(e)
-        if old == size:
-            return _labels(new)
-        e, old = new, size
+        small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+        new, size = written(small)
+        remove(e.sparkSession, e._finsift_path)
+        e, done, old = new, old == size, size
+        if done:
+            break
+    return _labels(e)
 
 
 def _labels(e: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@ over TF-IDF shingles, bands, and verification by weighted Jaccard similarity."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,20 +10,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, connected_components, discard, gram_hashes, mix, staged, without, word_hashes
-from .substring_index import _chunks, _lists
+from .common import WORD, chunks, connected_components, discard, gram_hashes, lists, mix, spanning, staged, without, word_hashes
 
 #: BANDS bands of ROWS samples: a pair of weighted similarity 0.8 meets in one with
 #: probability 0.9982, one of 0.5 with 0.54 and one of 0.1 with 0.0012.
 BANDS, ROWS = 12, 4
-#: Bytes of text of a piece, and for each bucket in which shingles are counted
-#: (about two million shingles).
-PIECE, BUCKET = 4 << 20, 12 << 20
+#: A shingle in fewer than this share of all documents weighs as one in that share.
+RAREST = 1e-3
+#: Shingles above that share, at most: with documents so long that there would be
+#: more, the share grows with the mean length of a document (never with their number).
+COMMON = 1 << 20
+#: Bytes of text that are counted together, and for each slice of shingles.
+PIECE, SLICE = 16 << 20, 4 << 20
 #: Random triples of the sampler; each sample draws from them by its own hash.
 TRIPLES_BITS = 14
-#: Rounds at most in which one member stands in for a bucket's main class; they end
-#: when one connects less than a tenth of the texts still apart.
-TURNS = 16
+#: Texts, and their total weight, that one block of a bucket holds; texts compared
+#: with one copy of a bucket's first.
+BLOCK, BLOCK_WEIGHT, SHARE = 512, 4_000_000, 256
+#: Numbers of texts whose rows all lack an id begin here.
+UNNAMED = 1 << 62
 
 
 def shingles(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -47,21 +51,11 @@ def shingles(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return own[at], h[at], np.diff(np.concatenate((at, [len(h)])))
 
 
-def pieces(docs: DataFrame) -> DataFrame:
-    """(piece, x, y, node, copies, text) of the distinct texts of ``docs``, written:
-    pieces are runs of about PIECE bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece, size = uuid.uuid4().int >> 65, 0
-        for whole in batches:
-            for batch, texts in _chunks(whole, "text", min(PIECE, 1 << 20)):
-                if size > PIECE:
-                    piece, size = uuid.uuid4().int >> 65, 0
-                size += sum(map(len, texts))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(texts), piece, np.int64)), *batch.columns], names=["piece", *batch.schema.names])
-
-    texts = docs.groupBy("x", "y").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first(F.coalesce("text", F.lit(""))).alias("text"))
-    return staged(texts.mapInArrow(run, "piece long, x long, y long, node long, copies long, text string"), "pieces")
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """(x, y, node, copies, text) of the distinct texts of ``docs`` (doc_id, text, x,
+    y), written.  A text's node is its least doc_id, or a number from UNNAMED on."""
+    node = F.coalesce(F.min("doc_id"), F.lit(UNNAMED) + F.col("x").bitwiseAND(F.lit(UNNAMED - 1)))
+    return staged(docs.groupBy("x", "y").agg(node.alias("node"), F.count("*").alias("copies"), F.first(F.coalesce("text", F.lit(""))).alias("text")), "unique")
 
 
 def _summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,57 +66,108 @@ def _summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[at], np.add.reduceat(n, at) if len(at) else n
 
 
-def document_frequencies(texts: DataFrame, n: int) -> DataFrame:
-    """(piece, h, df), written: how many documents hold each shingle, exactly, for
-    those shingles of a piece that other pieces hold too; h and df are packed.
+def _packed(sets: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    h, n = (pa.array([x[i].tobytes() for x in sets], pa.binary()) for i in (1, 2))
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in sets], pa.int64()), h, n], names=["slice", "h", "n"])
 
-    A piece sends each of its shingles once, with its count, to the bucket of the
-    shingle's high bits, so a bucket has no more rows for a common one than pieces.
-    """
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(0, int(np.ceil(np.log2(max(1, size / BUCKET)))))
 
-    def emit(held: list, piece: int) -> pa.RecordBatch:
+def _counted(texts: DataFrame, n: int, bits: int, choose) -> DataFrame:
+    """(slice, h, n): for blocks of PIECE bytes of text, the shingles that
+    ``choose(h, n, bytes)`` picks with the documents of the block that hold them,
+    by the high ``bits`` of the shingle and packed."""
+
+    def emit(held: list, size: int) -> pa.RecordBatch:
         h, k = _summed(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
+        some = choose(h, k, size)
+        h, k = h[some], k[some]
         cuts = np.searchsorted(h >> np.uint64(63 - bits) >> np.uint64(1), np.arange((1 << bits) + 1, dtype=np.uint64))
-        some = np.flatnonzero(np.diff(cuts))
-        spans = [(int(cuts[i]), int(cuts[i + 1])) for i in some]
-        packed = [pa.array([v[a:b].tobytes() for a, b in spans], pa.binary()) for v in (h, k)]
-        return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(np.full(len(some), piece, np.int64)), *packed], names=["bucket", "piece", "h", "df"])
+        return _packed([(int(i), h[cuts[i] : cuts[i + 1]], k[cuts[i] : cuts[i + 1]]) for i in np.flatnonzero(np.diff(cuts))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, piece = [], None
+        held, size = [], 0
         for whole in batches:
-            for batch, some in _chunks(whole, "text", 1 << 20):
-                mine, copies = batch.column("piece").to_numpy(), batch.column("copies").to_numpy()
+            for batch, some in chunks(whole, "text", 1 << 20):
                 own, h, _ = shingles(some, n)
-                for p in dict.fromkeys(mine.tolist()):
-                    if held and p != piece:
-                        yield emit(held, piece)
-                        held = []
-                    at, piece = mine[own] == p, p
-                    held.append(_summed(h[at], copies[own[at]]))
+                held.append(_summed(h, batch.column("copies").to_numpy()[own]))
+                size += sum(map(len, some))
+                if size >= PIECE:
+                    yield emit(held, size)
+                    held, size = [], 0
         if held:
-            yield emit(held, piece)
+            yield emit(held, size)
+
+    return texts.select("copies", "text").mapInArrow(run, "slice long, h binary, n binary")
 
-    def count(t: pa.Table) -> pa.Table:
-        hs, ns = ([np.frombuffer(v, d) for v in t[c].to_pylist()] for c, d in (("h", np.uint64), ("df", np.int64)))
-        h, df = _summed(np.concatenate(hs), np.concatenate(ns))
-        out = []
-        for mine, k in zip(hs, ns, strict=True):
-            all_ = df[np.searchsorted(h, mine)]
-            more = all_ > k
-            out.append((mine[more].tobytes(), all_[more].tobytes()))
-        return pa.table({"piece": t["piece"], "h": pa.array([x[0] for x in out], pa.binary()), "df": pa.array([x[1] for x in out], pa.binary())})
 
-    sent = texts.select("piece", "copies", "text").mapInArrow(run, "bucket long, piece long, h binary, df binary")
-    return staged(sent.groupBy("bucket").applyInArrow(count, "piece long, h binary, df binary"), "frequencies")
+def _sums_over(counts: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles with sums of ``least`` or more, in order: 2 COMMON at most, by the
+    callers' bounds."""
+
+    def total(t: pa.Table) -> pa.Table:
+        h, n = (np.concatenate([np.frombuffer(v, d) for v in t[c].to_pylist()]) for c, d in (("h", np.uint64), ("n", np.int64)))
+        h, n = _summed(h, n)
+        return pa.Table.from_batches([_packed([(t["slice"][0].as_py(), h[n >= least], n[n >= least])])])
+
+    rows = counts.groupBy("slice").applyInArrow(total, "slice long, h binary, n binary").collect()
+    if not rows:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    h, n = np.concatenate([np.frombuffer(r["h"], np.uint64) for r in rows]), np.concatenate([np.frombuffer(r["n"], np.int64) for r in rows])
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+class Weights:
+    """Inverse document frequencies of shingles relative to all documents: 2 for a
+    shingle in ``floor`` documents or fewer, falling to 1 for one that is in all.
+
+    They depend on shares of the corpus alone, so two corpora of the same make and
+    different sizes weigh a shingle alike.
+    """
+
+    def __init__(self, h: np.ndarray, df: np.ndarray, n_docs: int, floor: float):
+        self.h = h
+        top = np.log(max(n_docs, 2) / floor) if n_docs > floor else 1.0
+        self.idf = 1 + (np.log(np.maximum(n_docs, 1) / df) / top).clip(0, 1) if len(h) else np.empty(0)
+        #: A quick test by the high bits.
+        self.sieve = np.zeros(1 << 20, bool)
+        self.sieve[(h >> np.uint64(44)).astype(np.int64)] = True
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        out = np.full(len(h), 2.0)
+        some = np.flatnonzero(self.sieve[(h >> np.uint64(44)).astype(np.int64)])
+        if len(some):
+            at = np.minimum(np.searchsorted(self.h, h[some]), len(self.h) - 1)
+            hit = self.h[at] == h[some]
+            out[some[hit]] = self.idf[at[hit]]
+        return out
+
+
+def document_weights(texts: DataFrame, n: int, rarest: float = RAREST) -> Weights:
+    """Weights of shingles by exact document frequencies over all documents.
+
+    A shingle matters only from ``floor`` documents on.  A block with a share of
+    the corpus' bytes counts its shingles and sends those that are in as many of
+    its documents as the share of half the floor; what it leaves out adds up to
+    less than half the floor over all blocks.  So the shingles with half the floor
+    in sight hold all that reach it, and a second pass counts those exactly.
+    Documents hold COMMON * floor shingles at most, so COMMON of them reach the
+    floor and twice as many half of it: a bounded table, whatever the corpus.
+    """
+    size = texts.agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum(F.col("copies") * F.octet_length("text")).alias("all"), F.sum(F.when(F.col("text").rlike(WORD), F.col("copies"))).alias("docs")).first()
+    n_docs, bytes_ = size["docs"] or 0, max(1, size["bytes"] or 0)
+    floor = max(1.0, rarest * n_docs, (size["all"] or 0) / 2 / COMMON)
+    bits = int(np.clip(np.ceil(np.log2(bytes_ / SLICE)), 0, 12))
+    first = _counted(texts, n, bits, lambda h, k, part: np.flatnonzero(k >= floor / 2 * part / bytes_))
+    some, _ = _sums_over(first, floor / 2)
+    if not len(some):
+        return Weights(some, np.empty(0), n_docs, floor)
+    wanted = texts.sparkSession.sparkContext.broadcast(some)
 
+    def known(h: np.ndarray, k: np.ndarray, part: int) -> np.ndarray:
+        return np.flatnonzero(np.isin(h, wanted.value, assume_unique=True))
 
-def idf(n_docs: int, df: np.ndarray) -> np.ndarray:
-    """Inverse document frequency, from nearly 2 for a shingle of one document to 1
-    for one as frequent as documents."""
-    return 1 + (np.log((1 + n_docs) / (1 + df)) / np.log(2 + n_docs)).clip(0, 1)
+    h, df = _sums_over(_counted(texts, n, bits, known), np.nextafter(floor, np.inf))
+    return Weights(h, df, n_docs, floor)
 
 
 class Sampler:
@@ -146,145 +191,229 @@ class Sampler:
     def __call__(self, starts: np.ndarray, h: np.ndarray, w: np.ndarray, bands: int, rows: int) -> np.ndarray:
         """One key for each band (columns) of each document (rows), from its
         shingles h of weight w, which begin at ``starts``."""
-        lnw = np.log(w).astype(np.float32)
         keys = np.zeros((len(starts), bands), np.uint64)
         lengths = np.diff(np.concatenate((starts, [len(h)])))
+        # most shingles have the greatest weight: one table for all of these
+        lnw = np.log(w).astype(np.float32)
+        top = np.float32(np.log(2.0))
+        odd_ones = np.flatnonzero(lnw != top)
+        lno = lnw[odd_ones]
+        t_top = np.floor(top / self.r + self.b)
+        a_top = self.lnc - self.r * (t_top - self.b) - self.r
+        shift = np.uint64(64 - TRIPLES_BITS)
         for k in range(bands * rows):
-            i = ((h * self.odd[k]) >> np.uint64(64 - TRIPLES_BITS)).astype(np.int32)
-            r, b = self.r[i], self.b[i]
-            t = np.floor(lnw / r + b)
-            a = self.lnc[i] - r * (t - b) - r
+            i = ((h * self.odd[k]) >> shift).astype(np.intp)
+            a = a_top[i]
+            j = i[odd_ones]
+            r, b = self.r[j], self.b[j]
+            t_odd = np.floor(lno / r + b)
+            a[odd_ones] = self.lnc[j] - r * (t_odd - b) - r
             least = np.minimum.reduceat(a, starts)
             at = np.flatnonzero(a == np.repeat(least, lengths))
             # ties: the shingle of least hash, which is the first
             own = np.searchsorted(starts, at, side="right") - 1
             at = at[np.concatenate(([True], own[1:] != own[:-1]))]
-            sample = mix(h[at] + t[at].astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            t = np.floor(lnw[at] / self.r[i[at]] + self.b[i[at]])
+            sample = mix(h[at] + t.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             keys[:, k // rows] = mix(keys[:, k // rows] + sample + np.uint64(k + 1))
         return keys
 
 
-def signatures(texts: DataFrame, frequencies: DataFrame, n_docs: int, n: int, bands: int, rows: int) -> DataFrame:
-    """(node, x, y, total, keys, df) of each text of :func:`pieces`: its total weight,
-    band keys, and the document frequencies of its shingles in order, packed; texts
-    without words have no keys."""
-    names = ["node", "x", "y", "total", "keys", "df"]
-    schema = "node long, x long, y long, total double, keys array<long>, df binary"
-
-    def run(t: pa.Table, counts: pa.Table) -> pa.Table:
-        sampler, out, parts = Sampler(bands * rows), [], []
-        for whole in t.combine_chunks().to_batches():
-            for batch, some in _chunks(whole, "text", 1 << 20):
-                parts.append((batch, len(some), *shingles(some, n)))
-        # a piece's own counts, and those of all documents where they are greater
-        have, df = _summed(np.concatenate([p[3] for p in parts]), np.concatenate([p[0].column("copies").to_numpy()[p[2]] for p in parts]))
-        for h, k in zip(counts["h"].to_pylist(), counts["df"].to_pylist(), strict=True):
-            df[np.searchsorted(have, np.frombuffer(h, np.uint64))] = np.frombuffer(k, np.int64)
-        for batch, size, own, h, times in parts:
-            mine = df[np.searchsorted(have, h)]
-            total, keys, with_words = np.zeros(size), np.empty(0, np.uint64), np.unique(own)
-            if len(own):
-                starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-                w = times * idf(n_docs, mine)
-                total[with_words] = np.add.reduceat(w, starts)
-                keys = sampler(starts, h, w, bands, rows).reshape(-1)
-            cuts = np.searchsorted(own, np.arange(size + 1))
-            packed = pa.array([mine[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
-            out.append(pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "x", "y")), pa.array(total), _lists(keys, np.repeat(with_words, bands), size), packed], names=names))
-        return pa.Table.from_batches(out)
-
-    return texts.groupBy("piece").cogroup(frequencies.groupBy("piece")).applyInArrow(run, schema)
+def signatures(texts: DataFrame, weights, n: int, bands: int, rows: int) -> DataFrame:
+    """(node, x, y, total, keys) of each text: its total weight and band keys; texts
+    without words have no keys.  ``weights`` is a broadcast :class:`Weights`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sampler = Sampler(bands * rows)
+        for whole in batches:
+            for batch, some in chunks(whole, "text", 1 << 20):
+                own, h, times = shingles(some, n)
+                total, keys, with_words = np.zeros(len(some)), np.empty(0, np.uint64), np.unique(own)
+                if len(own):
+                    starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+                    w = times * weights.value(h)
+                    total[with_words] = np.add.reduceat(w, starts)
+                    keys = sampler(starts, h, w, bands, rows).reshape(-1)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "x", "y")), pa.array(total), lists(keys, np.repeat(with_words, bands), len(some))], names=["node", "x", "y", "total", "keys"])
+
+    return texts.select("node", "x", "y", "text").mapInArrow(run, "node long, x long, y long, total double, keys array<long>")
 
 
 def _similarity(a: tuple, b: tuple) -> float:
     """Weighted Jaccard similarity of two (shingles, weights), sorted by shingle."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    least = np.minimum(a[1][i], b[1][j]).sum()
+    if not len(a[0]) or not len(b[0]):
+        return 0.0
+    at = np.minimum(np.searchsorted(a[0], b[0]), len(a[0]) - 1)
+    both = a[0][at] == b[0]
+    least = np.minimum(a[1][at[both]], b[1][both]).sum()
     return float(least / (a[1].sum() + b[1].sum() - least))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, n_docs: int, n: int) -> DataFrame:
-    """(a, b, s) of the pairs (a, b) of text numbers, s being their weighted Jaccard
-    similarity.  ``texts``: (node, text, df), one row a number."""
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"), F.col("df").alias("da"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"), F.col("df").alias("db"))
-    both = pairs.join(left, "a").join(right, "b")
+def with_heads(pairs: DataFrame, texts: DataFrame, weights, least: float, n: int) -> DataFrame:
+    """The links among ``pairs`` (a, b): those of similarity ``least`` or more.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict = {}
-
-        def of(key, text, df):
-            if key not in held:
-                if len(held) > 64:
-                    held.clear()
-                _, h, times = shingles([text], n)
-                held[key] = (h, times * idf(n_docs, np.frombuffer(df, np.int64)))
-            return held[key]
-
-        for batch in batches:
-            a, b = batch.column("a"), batch.column("b")
-            sides = [[batch.column(c).to_pylist() for c in names] for names in (("a", "ta", "da"), ("b", "tb", "db"))]
-            s = np.array([_similarity(of(x, tx.encode(), dx), of(y, ty.encode(), dy)) for x, tx, dx, y, ty, dy in zip(*sides[0], *sides[1], strict=True)], float)
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(s)], names=["a", "b", "s"])
+    Pairs are grouped by b, whose text goes before those of its a's, once for
+    SHARE of them, so each pair moves one text and no task gets a whole large group.
+    """
+    shares = pairs.groupBy("b").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("k"))
+    text = texts.select(F.col("node").alias("a"), "text")
+    mine = pairs.join(shares, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("k")).cast("int").alias("part"))
+    heads = shares.select(F.col("b").alias("a"), "b", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"))
+    rows = mine.unionByName(heads).join(text, "a")
+    rows = rows.repartition("b", "part").sortWithinPartitions("b", "part", F.col("a") != F.col("b"))
 
-    return both.select("a", "b", "ta", "da", "tb", "db").mapInArrow(run, "a long, b long, s double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads, of = [], None
+        for whole in batches:
+            for batch, some in chunks(whole, "text", 1 << 20):
+                a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
+                own, h, times = shingles(some, n)
+                w, cuts = times * weights.value(h), np.searchsorted(own, np.arange(len(some) + 1))
+                near = np.zeros(len(some), bool)
+                for i in range(len(some)):
+                    this = h[cuts[i] : cuts[i + 1]], w[cuts[i] : cuts[i + 1]]
+                    if a[i] == b[i]:  # texts of one id are one document
+                        heads = [*(heads if of == b[i] else []), (this[0].copy(), this[1].copy())]
+                        of = b[i]
+                    else:
+                        near[i] = any(_similarity(head, this) >= least for head in heads)
+                        of = None
+                yield pa.RecordBatch.from_arrays([pa.array(a[near]), pa.array(b[near])], names=["a", "b"])
+
+    return rows.select("a", "b", "text").mapInArrow(run, "a long, b long")
+
+
+def _entries(texts: list[bytes], weights: Weights, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, weight) of texts as weighted sets: the k-th time of a shingle is a
+    member of its own, so that overlaps of sets are sums of lesser counts."""
+    own, h, times = shingles(texts, n)
+    w = weights(h)
+    again = np.repeat(np.arange(len(h)), times)
+    k = np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)
+    key = h[again]
+    key = np.where(k > 0, mix(key + k.astype(np.uint64)), key)
+    return own[again], key, w[again]
+
+
+def block_links(left: list[bytes], right: list[bytes], comp_left: np.ndarray, comp_right: np.ndarray, weights: Weights, least: float, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): all pairs of a left and a right text of unlike components whose
+    similarity is ``least`` or more.
+
+    What of a text no text of the other side holds can't be shared.  The rest bounds
+    the overlap of each pair; only rows with a pair that can reach ``least`` are
+    compared, by a product of their incidence matrices in slices.
+    """
+    i, key_l, w_l = _entries(left, weights, n)
+    j, key_r, w_r = _entries(right, weights, n)
+    both = np.intersect1d(key_l, key_r)
+    none = np.empty(0, np.int64)
+    if not len(both):
+        return none, none
+    total_l, total_r = np.bincount(i, w_l, len(left)), np.bincount(j, w_r, len(right))
+    keep_l, keep_r = np.isin(key_l, both), np.isin(key_r, both)
+    i, key_l, w_l, j, key_r = i[keep_l], np.searchsorted(both, key_l[keep_l]), w_l[keep_l], j[keep_r], np.searchsorted(both, key_r[keep_r])
+    shared_l, shared_r = np.bincount(i, w_l, len(left)), np.bincount(j, w_r[keep_r], len(right))
+    need = least / (1 + least) * (total_l[:, None] + total_r[None, :]) - 1e-9
+    may = (np.minimum(shared_l[:, None], shared_r[None, :]) >= need) & (comp_left[:, None] != comp_right[None, :])
+    rows, cols = np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
+    if not len(rows):
+        return none, none
+    at_l, at_r = np.full(len(left), -1), np.full(len(right), -1)
+    at_l[rows], at_r[cols] = np.arange(len(rows)), np.arange(len(cols))
+    keep_l, keep_r = at_l[i] >= 0, at_r[j] >= 0
+    i, key_l, w_l, j, key_r = at_l[i[keep_l]], key_l[keep_l], w_l[keep_l], at_r[j[keep_r]], key_r[keep_r]
+    order_l, order_r = np.argsort(key_l, kind="stable"), np.argsort(key_r, kind="stable")
+    i, key_l, w_l, j, key_r = i[order_l], key_l[order_l], w_l[order_l], j[order_r], key_r[order_r]
+    overlap, step = np.zeros((len(rows), len(cols))), 4096
+    for start in range(0, len(both), step):
+        a, b = np.searchsorted(key_l, (start, start + step))
+        c, d = np.searchsorted(key_r, (start, start + step))
+        if a < b and c < d:
+            x, y = np.zeros((len(rows), step)), np.zeros((step, len(cols)))
+            x[i[a:b], key_l[a:b] - start] = w_l[a:b]
+            y[key_r[c:d] - start, j[c:d]] = 1.0
+            overlap += x @ y
+    union = total_l[rows][:, None] + total_r[cols][None, :] - overlap
+    hit = may[np.ix_(rows, cols)] & (overlap >= least * union - 1e-12)
+    x, y = np.nonzero(hit)
+    return rows[x], cols[y]
+
+
+def _compared(weights, least: float, n: int):
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        left = t["left"].to_numpy()
+        node, comp = t["node"].to_numpy(), t["component"].to_numpy()
+        texts = [(x or "").encode() for x in t["text"].to_pylist()]
+        l, r = np.flatnonzero(left), np.flatnonzero(~left)
+        if not len(r):  # a block with itself
+            r = l
+        i, j = block_links([texts[k] for k in l], [texts[k] for k in r], comp[l], comp[r], weights.value, least, n)
+        a, b = spanning(node[l[i]], node[r[j]])
+        return pa.table({"a": a, "b": b})
+
+    return run
+
+
+def _unfinished(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """(bucket, node, component, main, k, ko) of the buckets whose texts are of more
+    than one component: main is that of most of them, k the number of blocks of all
+    and ko of those outside main.  Buckets of the same texts count once."""
+    placed = members.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = staged(placed, "placed")
+    parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("total").alias("w"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"))
+    blocks = lambda n, w: F.ceil(F.greatest(n / BLOCK, w / BLOCK_WEIGHT)).cast("int")
+    whole = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.sum("s").alias("s"), F.count("*").alias("parts"), F.max_by(F.struct(F.col("component").alias("main"), F.col("n").alias("mn"), F.col("w").alias("mw")), F.struct("n", -F.col("component"))).alias("m")).where("parts > 1")
+    whole = whole.groupBy("n", "s").agg(F.min(F.struct("bucket", "w", "m")).alias("b")).select("b.bucket", "b.m.main", blocks(F.col("n"), F.col("b.w")).alias("k"), blocks(F.col("n") - F.col("b.m.mn"), F.col("b.w") - F.col("b.m.mw")).alias("ko"))
+    return placed.join(whole, "bucket")
 
 
 def classes(docs: DataFrame, least: float = 0.8, n: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, x, y, class_id) for all rows of ``docs`` (doc_id, text, x, y), x and
-    y hashes of the text; class_id is the least doc_id of the class.
-
-    Equal texts are one node.  In a bucket of a band every text is compared with
-    the bucket's first; those outside the class that most of the bucket is in are
-    compared, in rounds, with one member of that class, and what is still apart at
-    the end with all members of other classes.  So no link between classes is lost, and members of one
-    class are not compared with each other again.
+    """(x, y, class_id) of the distinct texts of ``docs`` (doc_id, text, x, y), x and y
+    hashes of the text; class_id is the least number of the class (:func:`distinct_texts`).
+
+    Equal texts are one node.  Texts that share a bucket of a band are compared
+    until each pair of them is of one class or known to be apart, in three steps:
+    every text with its buckets' first; in the buckets that are then still of more
+    than one class, all texts of a block with each other; and in those of more
+    blocks, the texts outside the bucket's main class with all others, block by
+    block.  Texts of one class are never compared again, and no pair becomes a row:
+    blocks return links only.
     """
-    unique = pieces(docs)
-    n_docs = unique.where(F.col("text").rlike(WORD)).agg(F.sum("copies")).first()[0] or 0
-    counts = document_frequencies(unique, n)
-    nodes = staged(signatures(unique, counts, n_docs, n, bands, rows), "nodes")
-    discard(counts)
-    banded = nodes.where("node is not null").select("node", "total", F.posexplode("keys").alias("band", "key"))
+    spark = docs.sparkSession
+    unique = distinct_texts(docs)
+    weights = spark.sparkContext.broadcast(document_weights(unique, n))
+    nodes = staged(signatures(unique, weights, n, bands, rows), "nodes")
+    banded = nodes.select("node", "total", F.posexplode("keys").alias("band", "key"))
     # buckets with two texts or more
     sizes = banded.groupBy("band", "key").agg(F.min("node").alias("head"), F.count("*").alias("n"), F.min_by("total", "node").alias("head_total")).where("n > 1")
     members = staged(banded.join(sizes.select("band", "key", "head", "head_total"), ["band", "key"]).select(F.xxhash64("band", "key").alias("bucket"), "node", "total", "head", "head_total"), "buckets")
     near = F.least("total", "head_total") >= least * F.greatest("total", "head_total")  # else similarity is below
     pairs = members.where("node <> head").where(near).select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-    wanted = members.select("node").distinct()
-    texts = unique.select("x", "y", "text").join(nodes.join(wanted, "node", "left_semi").select("node", "x", "y", "df"), ["x", "y"]).select("node", "text", "df")
+    texts = unique.select("x", "y", "text").join(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "x", "y"), ["x", "y"]).select("node", "text")
     texts = staged(texts, "texts")
-    scored = staged(verified(pairs, texts, n_docs, n), "scored")
-    links = scored.where(F.col("s") >= least).select("a", "b")
-    members = members.join(scored.select(F.col("a").alias("node"), F.col("b").alias("head"), "s"), ["node", "head"], "left")
+    discard(unique)
+    links = staged(with_heads(pairs, texts, weights, least, n), "links")
     comp = staged(connected_components(links, "near"), "comp")
-    apart = None
-    for turn in range(TURNS + 1):
-        placed = members.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        placed = staged(placed, "placed")
-        # the class that has most of a bucket; buckets of one class are finished
-        parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-        main = parts.groupBy("bucket").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("hc"), F.count("*").alias("parts")).where("parts > 1")
-        placed = placed.join(main.select("bucket", "hc"), "bucket")
-        out = staged(placed.where("component <> hc").select("bucket", F.col("node").alias("a"), F.col("total").alias("ta"), F.col("component").alias("ca"), F.col("s").alias("sa")), "apart")
-        before, apart = apart, out.select("a").distinct().count()
-        if not apart:
-            break
-        last = turn == TURNS or (before is not None and before - apart < before / 10)
-        rest = placed.select("bucket", F.col("node").alias("b"), F.col("total").alias("tb"), F.col("component").alias("cb"), F.col("s").alias("sb"), "hc")
-        if not last:  # against one more member of the bucket's main class
-            own = rest.where("cb = hc").groupBy("bucket").agg(F.min_by(F.struct("b", "tb", "cb", "sb", "hc"), F.xxhash64("b", "bucket", F.lit(turn))).alias("m"))
-            rest = own.select("bucket", "m.*")
-        cross = out.join(rest, "bucket").where("ca <> cb and (cb = hc or a < b)").where(F.least("ta", "tb") >= least * F.greatest("ta", "tb"))
-        # 1 less similarity is a distance: two texts are no nearer than their distances to the first differ
-        cross = cross.where(F.coalesce(F.abs(F.col("sa") - F.col("sb")) <= 1 - least + 1e-9, F.lit(True)))
-        more = staged(verified(cross.select("a", "b").distinct(), texts, n_docs, n).where(F.col("s") >= least).select("a", "b"), "links")
+    compare = _compared(weights, least, n)
+    for across in (False, True):
+        open_ = _unfinished(members.select("bucket", "node", "total"), comp).join(texts, "node")
+        own = F.pmod(F.xxhash64("node", "bucket"), F.col("k")).cast("int")
+        if across:
+            open_ = open_.where("k > 1").withColumn("own", own)
+            out = F.pmod(F.xxhash64("bucket", "node"), F.col("ko")).cast("int")
+            apart = open_.where("component <> main").withColumn("i", out).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("left", F.lit(True))
+            every = open_.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ko") - 1))).withColumn("j", F.col("own")).withColumn("left", F.lit(False))
+            rows_ = apart.unionByName(every)
+        else:
+            rows_ = open_.withColumn("i", own).withColumn("j", F.lit(-1)).withColumn("left", F.lit(True))
+        rows_ = rows_.select("bucket", "i", "j", "left", "node", "component", "text")
+        more = staged(rows_.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long"), "links")
+        if more.isEmpty():
+            continue
         links = links.unionByName(more)
         comp = staged(connected_components(links, "near"), "comp")
-        if last:
-            break
-    out = nodes.join(comp, "node", "left").select("x", "y", F.coalesce("component", "node").alias("class_id"))
-    return docs.select("doc_id", "x", "y").join(out, ["x", "y"])
+    return nodes.join(comp, "node", "left").select("x", "y", F.coalesce("component", "node").alias("class_id"))
 
 
 def near_dedup(docs: DataFrame, least: float = 0.8, n: int = 5) -> DataFrame:
@@ -293,19 +422,26 @@ def near_dedup(docs: DataFrame, least: float = 0.8, n: int = 5) -> DataFrame:
 
     Two texts are linked when the weighted Jaccard similarity of their shingles
     of ``n`` words is ``least`` or more, a shingle's weight being its count times
-    its inverse document frequency over all texts; classes are what links reach.
+    its inverse document frequency (:class:`Weights`); classes are what links reach.
 
     Texts with fewer than ``n`` words are one shingle; null and empty texts, and
     those without words, are equal texts each and link with nothing else; rows
-    with a null id join the class of their text but name none, and stay if no row
-    with an id has that text; rows with equal ids are one document and stay or go
-    together; an empty table gives an empty one.  Columns of
-    ``docs`` that bear an output's name are replaced.
+    with a null id take part by their text, and where a class has no id at all its
+    class_id is null and the rows of one of its texts stay; rows with equal ids are
+    one document and stay or go together; an empty table gives an empty one.
+    Columns of ``docs`` that bear an output's name are replaced.
     """
     base = without(docs, "class_id", "kept")
     named = base.withColumn("__x", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("__y", F.xxhash64(F.lit(1), F.coalesce("text", F.lit(""))))
-    found = classes(named.select("doc_id", "text", F.col("__x").alias("x"), F.col("__y").alias("y")), least, n)
-    found = found.groupBy("doc_id", "x", "y").agg(F.min("class_id").alias("class_id")).select(F.col("doc_id").alias("__id"), F.col("x").alias("__i"), F.col("y").alias("__j"), "class_id")
-    same = named["doc_id"].eqNullSafe(found["__id"]) & (named["__x"] == found["__i"]) & (named["__y"] == found["__j"])
-    out = named.join(found, same).withColumn("kept", F.when(F.col("class_id").isNull(), True).otherwise(F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False))))
-    return out.drop("__x", "__y", "__id", "__i", "__j")
+    keys = named.select("doc_id", "text", F.col("__x").alias("x"), F.col("__y").alias("y"))
+    found = classes(keys, least, n).select(F.col("x").alias("__i"), F.col("y").alias("__j"), F.col("class_id").alias("__class"))
+    rows = named.select("doc_id", F.col("__x").alias("__i"), F.col("__y").alias("__j")).distinct().join(found, ["__i", "__j"])
+    # texts of one id are one document: the least class of any of them
+    ids = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("__class").alias("__least"))
+    rows = rows.join(ids, "doc_id", "left").select(F.col("doc_id").alias("__id"), "__i", "__j", F.coalesce("__least", "__class").alias("__class"))
+    same = named["doc_id"].eqNullSafe(rows["__id"]) & (named["__x"] == rows["__i"]) & (named["__y"] == rows["__j"])
+    out = named.join(rows, same)
+    alone = F.col("__class") >= UNNAMED
+    first = F.col("__class") == F.lit(UNNAMED) + F.col("__x").bitwiseAND(F.lit(UNNAMED - 1))
+    out = out.withColumn("class_id", F.when(~alone, F.col("__class"))).withColumn("kept", F.when(alone, first).otherwise(F.coalesce(F.col("doc_id") == F.col("__class"), F.lit(False))))
+    return out.drop("__x", "__y", "__id", "__i", "__j", "__class")

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from finsift.functions.columns import middle, spread
 from finsift.operators.peers import FEWEST
-from finsift.sources.config import ABNORMAL, EXTREME
+from finsift.sources import config
 
 
 def level(multiple: Column) -> Column:
-    return F.when(multiple > EXTREME, "extreme").when(multiple > ABNORMAL, "abnormal").otherwise("normal")
+    return F.when(multiple > config.EXTREME, "extreme").when(multiple > config.ABNORMAL, "abnormal").otherwise("normal")
 
 
 def deviations(indicators: DataFrame, values: DataFrame) -> DataFrame:

@@ -39,6 +39,8 @@ INDICATORS = (
 )
 # Thresholds of the internal checks and of the peer deviation.
 CASH_NORMAL, BOTH_HIGH = 0.6, 0.3
+# Normal range and severe threshold of the two cash ratios.
+CASH_TO_PROFIT, CASH_TO_REVENUE = (0.6, 2.0, 0.0), (0.6, 1.5, 0.3)
 GAP_SEVERE, GAP_WARNING = 0.3, 0.15
 ABNORMAL, EXTREME = 2.0, 5.0
 # Units of amounts in yuan.
@@ -56,6 +58,8 @@ TAG_ALIASES = (("To-C端", "To-C"), ("To-B端", "To-B"), ("依靠品牌护城河
 # Weights of causes, and the phrases that mark an opinion or no finding.
 CAUSES = (("财务舞弊", -3.0), ("经营恶化", -1.0), ("经营改善", 1.0), ("行业特性", 0.0))
 OPINIONS = ("强烈看好", "强烈卖出", "推荐买入")
+# Words by which a report speaks of an indicator or check.
+KEYWORDS = [(n[0], n[0]) for n in INDICATORS] + [(w, "净现比/收现比") for w in ("经营活动现金流", "收现")] + [(w, "存贷双高") for w in ("货币资金", "有息负债", "短期借款")] + [("母公司", "母子资金分离度")]
 NO_FACTS, NO_EXPLANATION = "未找到客观数据", "无直接解释"
 BLOCKED = "【系统异常阻断：PDF数据源损坏或低劣造假，请人工核验原文件】"
 GROUP, PARENT = "合并报表", "母公司报表"

@@ -23,6 +23,33 @@ def blocks(rows: DataFrame, title: Column) -> DataFrame:
     return rows.withColumn("block", F.last(F.when(title, F.col("line")), ignorenulls=True).over(before))
 
 
+#: The four parts of a report with the headings that open them.
+PARTS = (
+    ("financial_data", "资产负债表|利润表|损益表|现金流量表|财务报表$"),
+    ("footnotes", "附注|报表项目注释"),
+    ("management_discussion", "管理层讨论|经营情况讨论|董事会报告|经营情况的讨论"),
+    ("company_overview", "公司简介|公司概况|公司业务概要|主要业务"),
+)
+
+
+def part_of(title: Column) -> Column:
+    """The part of a report that a heading opens, or null; notes to a statement are
+    notes."""
+    name = F.regexp_replace(title, r"\s", "")
+    found = F.when(name.rlike(PARTS[1][1]), PARTS[1][0])
+    for part, form in (PARTS[0], *PARTS[2:]):
+        found = found.when(name.rlike(form), part)
+    return found
+
+
+def parts(rows: DataFrame, title: Column) -> DataFrame:
+    """``rows`` (doc, pos, line) with the part of the report each is in: that of the
+    last heading of a part at or before it; other headings don't end a part."""
+    before = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    opened = F.when(title, part_of(F.col("line")))
+    return rows.withColumn("part", F.last(opened, ignorenulls=True).over(before))
+
+
 def tables(rows: DataFrame, in_table: Column, heads: Column | None = None) -> DataFrame:
     """Rows of tables with table_id, from 1 in a document: a table goes on over page
     breaks until a row that isn't in one, or, where ``heads`` marks header rows, a

@@ -3,15 +3,23 @@ model."""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from finsift.functions.columns import fenced
-from finsift.sources.config import NO_EXPLANATION, OPINIONS
-
+from finsift.sources import prompts
+from finsift.sources.config import NO_EXPLANATION, NO_FACTS, OPINIONS
+from finsift.sources.work import staged
+
+EXPLANATION = "summary string, source_text string, page_number int, is_vague boolean"
+HYPOTHESES = "array<struct<hypothesis:string,reasoning:string,source:string>>"
+#: Phrases that explain nothing.
+VAGUE = ("综合影响", "多种因素", "市场环境", "诸多因素", "正常波动")
 OTHER, MOST_OTHER, MOST_CAUSES = "其他", 0.2, 4
 
 
@@ -31,11 +39,97 @@ def tag_violations(tags: DataFrame, options: DataFrame, aliases: DataFrame) -> D
     return named.join(F.broadcast(options), ["dimension", "value"], "left_anti")
 
 
-def relevant_sections(sections: DataFrame, keywords: DataFrame) -> DataFrame:
-    """(key, indicator, hits): sections that hold a keyword of an indicator, by equal
-    words rather than by search of each text for each keyword."""
-    words = sections.select("key", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("keyword"))
-    return words.join(keywords, "keyword").groupBy("key", "indicator").agg(F.count("*").alias("hits"))
+def relevant_sections(sections: DataFrame, keywords: list[tuple[str, str]]) -> DataFrame:
+    """(key, indicator, hits): sections that contain a keyword of an indicator, with
+    the number of its keywords.  ``keywords`` are (keyword, indicator), a closed
+    vocabulary; texts are read once, where they are, for Chinese has no words to
+    join on."""
+    if not keywords:
+        return sections.select("key", F.lit(None).cast("string").alias("indicator"), F.lit(0).cast("long").alias("hits")).where("false")
+    low = sections.withColumn("__t", F.lower("text"))
+    found = F.array(*[F.struct(F.lit(i).alias("indicator"), F.contains(F.col("__t"), F.lit(k.lower())).alias("has")) for k, i in dict.fromkeys(keywords)])
+    hits = low.select("key", F.explode(F.filter(found, lambda h: h["has"])).alias("h"))
+    return hits.groupBy("key", F.col("h.indicator").alias("indicator")).agg(F.count("*").alias("hits"))
+
+
+def evidence(anomalies: DataFrame, sections: DataFrame, keywords: list[tuple[str, str]]) -> DataFrame:
+    """(stock_code, year, indicator, summary, source_text, page_number, is_vague): for
+    each anomaly (stock_code, year, indicator) the sentence of its own report
+    (``sections``: stock_code, year, title, content, page_number) that names one of
+    its keywords, of the first page that has one.  A sentence of commonplaces is vague."""
+    pairs = dict.fromkeys(keywords)
+    if not pairs:
+        pairs = {("\0", "\0"): None}
+    said = sections.select("stock_code", "year", "page_number", F.posexplode(F.split("content", r"(?<=[。！？!?])|\n")).alias("pos", "sentence"))
+    named = F.array(*[F.struct(F.lit(i).alias("indicator"), F.contains(F.lower("sentence"), F.lit(k.lower())).alias("has")) for k, i in pairs])
+    hits = said.select("stock_code", "year", "page_number", "pos", F.trim("sentence").alias("sentence"), F.explode(F.array_distinct(F.transform(F.filter(named, lambda h: h["has"]), lambda h: h["indicator"]))).alias("indicator"))
+    first = hits.join(anomalies.select("stock_code", "year", "indicator").distinct(), ["stock_code", "year", "indicator"]).groupBy("stock_code", "year", "indicator").agg(F.min(F.struct("page_number", "pos", "sentence")).alias("f"))
+    out = first.select("stock_code", "year", "indicator", F.substring("f.sentence", 1, 50).alias("summary"), F.col("f.sentence").alias("source_text"), "f.page_number")
+    return out.withColumn("is_vague", F.col("source_text").rlike("|".join(VAGUE)))
+
+
+def lookup_calls(anomalies: DataFrame, found: DataFrame) -> DataFrame:
+    """(stock_code, year, indicator, source, prompt_name, variables): a call of the
+    first path for each anomaly, with what its report says."""
+    key = ["stock_code", "year", "indicator"]
+    values = {"indicator": F.col("indicator"), "actual_value": F.col("actual"), "deviation": F.col("multiple"), "relevant_sections": F.concat_ws("", F.lit("["), F.col("page_number").cast("string"), F.lit("] "), F.col("source_text"))}
+    return anomalies.join(found, key, "left").select(*key, "source", F.lit("d1_lookup_notes").alias("prompt_name"), prompts.rendered("d1_lookup_notes", values).alias("variables"))
+
+
+def hypothesis_calls(anomalies: DataFrame, context: DataFrame) -> DataFrame:
+    """The same for the second path, from ``context`` (stock_code, macro_facts,
+    industry_tags) alone."""
+    values = {"indicator": F.col("indicator"), "deviation": F.col("multiple"), "macro_facts": F.col("macro_facts"), "industry_tags": F.col("industry_tags")}
+    return anomalies.join(context, "stock_code", "left").select("stock_code", "year", "indicator", "source", F.lit("d1_hypothesis").alias("prompt_name"), prompts.rendered("d1_hypothesis", values).alias("variables"))
+
+
+def probability_calls(paths: DataFrame) -> DataFrame:
+    """The calls that weigh both paths (lookup, hypothesis: answers as text)."""
+    values = {"indicator": F.col("indicator"), "source": F.col("source"), "lookup_results": F.col("lookup"), "hypothesis_results": F.col("hypothesis")}
+    return paths.select("stock_code", "year", "indicator", "source", F.lit("d2_probability").alias("prompt_name"), prompts.rendered("d2_probability", values).alias("variables"))
+
+
+def read_lookup(raw: Column) -> Column:
+    """An answer of the first path as a struct; null where it found nothing."""
+    return F.when(~F.coalesce(F.contains(raw, F.lit(NO_EXPLANATION)), F.lit(False)), parsed_response(raw, EXPLANATION))
+
+
+def read_hypotheses(raw: Column) -> Column:
+    """An answer of the second path: MOST_CAUSES hypotheses at most."""
+    return F.slice(F.filter(parsed_response(raw, HYPOTHESES), lambda h: h["hypothesis"].isNotNull()), 1, MOST_CAUSES)
+
+
+def read_probabilities(raw: Column) -> Column:
+    """An answer of the weighing as a map, null unless it is valid."""
+    p = parsed_response(raw, "probabilities map<string,double>, reasoning_summary string")["probabilities"]
+    return F.when(valid_probabilities(p), p)
+
+
+def dual_path(anomalies: DataFrame, found: DataFrame, context: DataFrame, provider: Callable[[], Provider], cache: str, **how) -> DataFrame:
+    """(stock_code, year, indicator, source, lookup, hypotheses, probabilities): both
+    paths for each of ``anomalies`` (.., source, actual, multiple), asked side by
+    side in one pass, then weighed; what the weighing doesn't answer validly goes by
+    :func:`rule_probabilities`.  Answers are kept in ``cache``."""
+    key = ["stock_code", "year", "indicator", "source"]
+    calls = lookup_calls(anomalies, found).unionByName(hypothesis_calls(anomalies, context))
+    # written, since the engine takes two readings of a folder for one, however it has grown
+    got = staged(answered(calls, provider, cache, **how), "answers")
+    both = got.groupBy(*key).agg(*[F.max(F.when(F.col("prompt_name") == p, F.col("response"))).alias(n) for p, n in (("d1_lookup_notes", "lookup"), ("d1_hypothesis", "hypothesis"))])
+    weighed = answered(probability_calls(both), provider, cache, **how).select(*key, read_probabilities(F.col("response")).alias("weighed"))
+    both = both.join(weighed, key).withColumn("lookup", read_lookup(F.col("lookup"))).withColumn("hypotheses", read_hypotheses(F.col("hypothesis")))
+    named = both.withColumn("path1", F.col("lookup.summary")).withColumn("path2", F.get("hypotheses", 0)["hypothesis"])
+    named = named.withColumn("is_vague", F.coalesce("lookup.is_vague", F.lit(False))).withColumn("conflict", F.coalesce(F.col("path1") != F.col("path2"), F.lit(False)))
+    ruled = rule_probabilities(named)
+    return ruled.select(*key, "lookup", "hypotheses", F.coalesce("weighed", "probabilities").alias("probabilities"))
+
+
+def extract_facts(raw: Column) -> Column:
+    """The facts of an answer: its JSON array of texts, or else its lines without
+    bullets and numbers; opinions and the mark that nothing was found are left out."""
+    text = fenced(raw)
+    listed = F.from_json(text, "array<string>")
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s*(?:[-*•]|\d+[.、)])\s*", "")))
+    return F.filter(F.coalesce(listed, lines), lambda x: (x != "") & ~F.contains(x, F.lit(NO_FACTS)) & ~x.rlike("|".join(OPINIONS)))
 
 
 def rule_probabilities(paths: DataFrame) -> DataFrame:
@@ -88,27 +182,68 @@ def cache_misses(calls: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 Provider = Callable[[str, str], str]
+ANSWER = "cache_key string, response string, error string, tries int, seconds double, prompt_tokens long, answer_tokens long"
+
+
+def _tokens(text: str) -> int:
+    """An estimate for the log: a token for four letters, one for each wide letter."""
+    wide = sum(ord(c) > 0x2E7F for c in text)
+    return wide + -(-(len(text) - wide) // 4)
 
 
-def ask(calls: DataFrame, provider: Callable[[], Provider], tries: int = 3) -> DataFrame:
-    """(cache_key, response, error) of calls, by a provider that each partition
-    makes once; a call that keeps failing gives its error.  Write the answers to the
-    cache before using them, since a task that is run again asks again."""
+def ask(calls: DataFrame, provider: Callable[[], Provider], tries: int = 3, wait: float = 1.0, timeout: float = 60.0, check: Callable[[str, str], bool] | None = None) -> DataFrame:
+    """(cache_key, response, error, tries, seconds, and estimates of tokens) of calls, by a
+    provider that each partition makes once.
+
+    A call that fails, takes longer than ``timeout`` seconds or whose answer
+    ``check`` (prompt name, answer) rejects is asked again after ``wait`` seconds,
+    then twice as many; one that keeps failing gives its error.  Write the answers
+    to the cache before using them, since a task that is run again asks again.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         answer = provider()
         for pdf in parts:
             rows = []
             for key, name, variables in zip(pdf["cache_key"], pdf["prompt_name"], pdf["variables"], strict=True):
-                error = None
-                for _ in range(tries):
+                began, error, response, n = time.monotonic(), None, None, 0
+                for n in range(1, tries + 1):
+                    pool = ThreadPoolExecutor(1)
                     try:
-                        rows.append((key, answer(name, variables), None))
-                        break
+                        response = pool.submit(answer, name, variables).result(timeout)
+                        error = None if check is None or check(name, response) else "ValueError: the answer has not the form asked for"
                     except Exception as e:  # noqa: BLE001 - the provider's own errors
                         error = f"{type(e).__name__}: {e}"
-                else:
-                    rows.append((key, None, error))
-            yield pd.DataFrame(rows, columns=["cache_key", "response", "error"])
+                    pool.shutdown(wait=False)
+                    if error is None:
+                        break
+                    response = None
+                    if n < tries:
+                        time.sleep(wait * 2 ** (n - 1))
+                rows.append((key, response, error, n, time.monotonic() - began, _tokens(variables or ""), _tokens(response or "")))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in ANSWER.split(", ")])
+
+    return calls.select("cache_key", "prompt_name", "variables").mapInPandas(run, ANSWER)
+
+
+def answered(calls: DataFrame, provider: Callable[[], Provider], cache: str, only_cache: bool = False, **how) -> DataFrame:
+    """``calls`` (.., prompt_name, variables) with their response, from the Parquet
+    folder ``cache``; what it lacks is asked and added first, unless ``only_cache``.
+    Only answers are kept, so an error is asked again next time."""
+    spark = calls.sparkSession
+    schema = f"{ANSWER}, prompt_name string"
+    keyed = calls.withColumn("cache_key", cache_key(F.col("prompt_name"), F.col("variables")))
 
-    return calls.select("cache_key", "prompt_name", "variables").mapInPandas(run, "cache_key string, response string, error string")
+    def stored() -> DataFrame:
+        return spark.read.schema(schema).parquet(cache)
+
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        spark.createDataFrame([], schema).write.parquet(cache)
+    if not only_cache:
+        missing = cache_misses(calls, stored())
+        new = ask(missing, provider, **how).join(missing.select("cache_key", "prompt_name"), "cache_key")
+        new.where("error is null").select(*[c.split()[0] for c in schema.split(", ")]).write.mode("append").parquet(cache)
+    # a run that was cut short may have added an answer twice
+    known = stored().groupBy("cache_key").agg(F.min("response").alias("response"))
+    return keyed.join(known, "cache_key", "left").drop("cache_key")

@@ -20,31 +20,80 @@ def items(found: DataFrame, checks: DataFrame) -> DataFrame:
     return b.unionByName(c)
 
 
+def explained(rows: DataFrame, attribution: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``rows`` of :func:`items` with their causes (cause, p; the likeliest first) and
+    what the report itself says (summary, page_number), null where nothing is known."""
+    key = ["stock_code", "year", "name"]
+    ordered = F.array_sort(F.transform(F.map_entries("probabilities"), lambda e: F.struct((-e["value"]).alias("p"), e["key"].alias("cause"))))
+    causes = attribution.select("stock_code", "year", F.col("indicator").alias("name"), "source", F.transform(ordered, lambda e: F.struct(e["cause"].alias("cause"), (-e["p"]).alias("p"))).alias("causes"))
+    said = evidence.select("stock_code", "year", F.col("indicator").alias("name"), "summary", "page_number")
+    return rows.join(causes, [*key, "source"], "left").join(said, key, "left")
+
+
 def points(impacts: DataFrame) -> DataFrame:
     """Skeleton of the bull and bear points: (stock_code, year, side, name, point),
-    by the sign of the impact; a point is one line of POINT characters at most."""
+    by the sign of the impact; a point is one line of POINT characters at most and
+    ends with its source, the layer that found it."""
     side = F.when(F.col("impact") > 0, "bull").when(F.col("impact") < 0, "bear")
+    tail = F.concat(F.lit("（来源："), F.col("source"), F.lit("）"))
     text = F.concat("name", F.lit("影响 "), F.round("impact", 2).cast("decimal(20,2)").cast("string"))
-    return impacts.withColumn("side", side).where("side is not null").select("stock_code", "year", "side", "name", F.substring(text, 1, POINT).alias("point"))
+    text = F.concat(F.substring(text, F.lit(1), F.lit(POINT) - F.char_length(tail)), tail)
+    return impacts.withColumn("side", side).where("side is not null").select("stock_code", "year", "side", "name", text.alias("point"))
 
 
 def too_long(rows: DataFrame, text: str, most: int = POINT) -> DataFrame:
     return rows.where((F.char_length(text) > most) | F.col(text).contains("\n"))
 
 
-def assemble(scores: DataFrame, anomalies: DataFrame, side_points: DataFrame, blocked: DataFrame) -> DataFrame:
-    """(stock_code, year, report): a JSON report with its three modules, or the
-    message of a blocked one.  Lists hold a company-year's own anomalies."""
+#: The report as JSON.
+REPORT = (
+    "overall struct<final_score:double,tier:string,c_impact:double,bplus_impact:double,peer_comparison:array<struct<peer_code:string,similarity:double>>>, "
+    "core_anomalies array<struct<source:string,name:string,severity:string,value:double,probabilities:map<string,double>,summary:string,page_number:int>>, "
+    "points struct<bull:array<string>,bear:array<string>>, message string"
+)
+
+
+def assemble(scores: DataFrame, anomalies: DataFrame, side_points: DataFrame, peers: DataFrame, blocked: DataFrame) -> DataFrame:
+    """(stock_code, year, report): a JSON report with its three modules (REPORT), or
+    the message of a blocked one.  Lists hold a company-year's own anomalies, of
+    :func:`explained`, and its peers."""
     key = ["stock_code", "year"]
-    listed = anomalies.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("source", "name", "severity", "value"))).alias("core_anomalies"))
+    fields = ["source", "name", "severity", "value", "causes", "summary", "page_number"]
+    listed = anomalies.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("core_anomalies"))
     sides = side_points.groupBy(*key).agg(*[F.array_sort(F.collect_list(F.when(F.col("side") == s, F.col("point")))).alias(s) for s in ("bull", "bear")])
-    full = scores.join(listed, key, "left").join(sides, key, "left")
-    empty = F.array().cast("array<string>")
+    beside = peers.groupBy("stock_code").agg(F.array_sort(F.collect_list(F.struct("rank", "peer_code", "similarity"))).alias("peers"))  # five
+    full = scores.join(listed, key, "left").join(sides, key, "left").join(beside, "stock_code", "left")
+    one = lambda a: F.struct(*[a[f].alias(f) for f in fields[:4]], F.map_from_entries(a["causes"]).alias("probabilities"), a["summary"].alias("summary"), a["page_number"].alias("page_number"))
+    text = F.array().cast("array<string>")
     body = F.struct(
-        F.struct("final_score", "tier", "c_impact", "bplus_impact").alias("overall"),
-        F.coalesce("core_anomalies", F.array().cast("array<struct<source:string,name:string,severity:string,value:double>>")).alias("core_anomalies"),
-        F.struct(F.coalesce("bull", empty).alias("bull"), F.coalesce("bear", empty).alias("bear")).alias("points"),
+        F.struct("final_score", "tier", "c_impact", "bplus_impact", F.coalesce(F.transform("peers", lambda p: F.struct(p["peer_code"].alias("peer_code"), p["similarity"].alias("similarity"))), F.array().cast("array<struct<peer_code:string,similarity:double>>")).alias("peer_comparison")).alias("overall"),
+        F.coalesce(F.transform("core_anomalies", one), F.array().cast("array<struct<source:string,name:string,severity:string,value:double,probabilities:map<string,double>,summary:string,page_number:int>>")).alias("core_anomalies"),
+        F.struct(F.coalesce("bull", text).alias("bull"), F.coalesce("bear", text).alias("bear")).alias("points"),
     )
     done = full.select(*key, F.to_json(body).alias("report"))
     stopped = blocked.select(*key, F.to_json(F.struct("message")).alias("report"))
     return done.join(stopped.select(*key), key, "left_anti").unionByName(stopped)
+
+
+def leaves(reports: DataFrame) -> DataFrame:
+    """(stock_code, year, module, item, value, text): what reports say, read back from
+    their JSON, a row for each leaf."""
+    r = reports.select("stock_code", "year", F.from_json("report", REPORT).alias("r")).select("stock_code", "year", "r.*")
+    none = F.lit(None)
+    row = lambda module, item, value=none, text=none: F.struct(F.lit(module).alias("module"), item.cast("string").alias("item"), value.cast("double").alias("value"), text.cast("string").alias("text"))
+    name = lambda a: F.concat(a["source"], F.lit(":"), a["name"])
+    o = F.col("overall")
+    every = F.concat(
+        F.when(o.isNotNull(), F.array(row("overall", F.lit("score"), o["final_score"], o["tier"]), row("overall", F.lit("C"), o["c_impact"]), row("overall", F.lit("B+"), o["bplus_impact"]))).otherwise(F.array(row("blocked", F.lit("message"), none, F.col("message")))),
+        *[
+            F.coalesce(x, F.array().cast("array<struct<module:string,item:string,value:double,text:string>>"))
+            for x in (
+                F.transform(o["peer_comparison"], lambda p: row("peer", p["peer_code"], p["similarity"])),
+                F.transform("core_anomalies", lambda a: row("anomaly", name(a), a["value"], a["severity"])),
+                F.flatten(F.transform("core_anomalies", lambda a: F.transform(F.map_entries(F.coalesce(a["probabilities"], F.create_map().cast("map<string,double>"))), lambda e: row("cause", F.concat(name(a), F.lit(":"), e["key"]), e["value"])))),
+                F.transform("points.bull", lambda p: row("bull", F.regexp_extract(p, "^(.*)影响 ", 1), none, F.regexp_extract(p, "来源：(.*)）$", 1))),
+                F.transform("points.bear", lambda p: row("bear", F.regexp_extract(p, "^(.*)影响 ", 1), none, F.regexp_extract(p, "来源：(.*)）$", 1))),
+            )
+        ],
+    )
+    return r.select("stock_code", "year", F.inline(every))

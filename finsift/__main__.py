@@ -9,12 +9,14 @@ from pyspark.sql import SparkSession
 
 def main(argv: list[str] | None = None) -> None:
     from finsift.plans import stages
-    from finsift.sources import reports
+    from finsift.sources import reports, settings
 
     p = argparse.ArgumentParser(prog="finsift", description=__doc__)
     sub = p.add_subparsers(dest="what", required=True)
-    a = sub.add_parser("analyze", help="facts, tags and explanations (Parquet, in one folder) to reports")
-    a.add_argument("--data", required=True)
+    p.add_argument("--config", help="folder of settings in place of the built-in ones")
+    a = sub.add_parser("analyze", help="extracted documents, or facts, and tags to reports")
+    a.add_argument("--data", required=True, help="folder with tags, facts and explanations as Parquet; with --documents, tags are enough")
+    a.add_argument("--documents", help="folder of extracted documents, one JSON file each")
     a.add_argument("--work", required=True)
     a.add_argument("--output", required=True)
     a.add_argument("--from", dest="start")
@@ -29,8 +31,13 @@ def main(argv: list[str] | None = None) -> None:
     s.add_argument("--data", required=True)
     args = p.parse_args(argv)
     spark = SparkSession.builder.appName("finsift").getOrCreate()
+    if args.config:
+        settings.use(spark, args.config)
     if args.what == "analyze":
-        inputs = {n: spark.read.parquet(f"{args.data}/{n}") for n in ("facts", "tags", "explanations")}
+        inputs = {n: spark.read.parquet(f"{args.data}/{n}") for n in ("facts", "tags", "explanations") if reports.there(spark, f"{args.data}/{n}")}
+        if args.documents:
+            inputs.pop("facts", None)
+            inputs["documents"] = reports.read_documents(spark, args.documents)
         made = stages.run(spark, inputs, args.work, args.start, tuple(args.skip))
         if "reports" in made:
             reports.write_reports(made["reports"], args.output)
@@ -40,7 +47,7 @@ def main(argv: list[str] | None = None) -> None:
     elif args.what == "validate":
         reports.parts_present(reports.read_documents(spark, args.data)).show(truncate=False)
     else:
-        reports.show(spark.read.text(args.data))
+        reports.show(reports.read_reports(spark, args.data))
 
 
 if __name__ == "__main__":

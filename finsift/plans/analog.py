@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finsift.sources.config import GROUP, PARENT
+from finsift.sources.work import staged
 
-NAMES = ["Revenue_Total", "Cost_Revenue", "Gross_Profit", "Net_Profit", "Total_Assets", "Total_Liabilities", "Equity_Total", "Monetary_Funds", "Operating_Cash_Flow", "Operating_Cash_Inflow", "Interest_Debt", "Retained_Begin", "Retained_End", "Dividends"]
-INDICATORS = ["毛利率", "净利率", "资产负债率", "营业收入增长率", "净利润增长率"]
+NAMES = ["Revenue_Total", "Cost_Revenue", "Gross_Profit", "Net_Profit", "Total_Assets", "Total_Liabilities", "Equity_Total", "Monetary_Funds", "Operating_Cash_Flow", "Operating_Cash_Inflow", "Interest_Debt", "Retained_Begin", "Retained_End", "Dividends", "Inventory", "Receivables", "Current_Assets", "Current_Liabilities"]
+INDICATORS = ["毛利率", "净利率", "资产负债率", "营业收入增长率", "净利润增长率", "存货周转率", "应收账款周转率", "流动比率"]
 _D = "decimal(18,4)"
 
 
@@ -53,6 +54,10 @@ def wide(spark: SparkSession, d: str) -> DataFrame:
         "Retained_Begin": c("revenue"),
         "Retained_End": c("revenue") * 2 - c("cost") * 2 - c("returned") + odd * 1000,
         "Dividends": c("cost"),
+        "Inventory": c("returned"),
+        "Receivables": c("gross") - c("closed"),
+        "Current_Assets": c("gross") + c("closed"),
+        "Current_Liabilities": c("returned") + c("closed"),
     }
     out = both.select(code(c("l_suppkey")).alias("stock_code"), c("s_nationkey").cast("string").alias("industry"), "year", *[v.cast("decimal(38,4)").alias(n) for n, v in amounts.items()], c("parent_closed").cast("decimal(38,4)").alias("parent_funds"), c("l_suppkey").alias("number"))
     return out
@@ -60,17 +65,22 @@ def wide(spark: SparkSession, d: str) -> DataFrame:
 
 def facts(spark: SparkSession, d: str) -> DataFrame:
     """Long facts of both report types; every fourth company has no parent report."""
-    w = wide(spark, d)
+    w = staged(wide(spark, d), "wide")
     long = w.unpivot(["stock_code", "industry", "year"], NAMES, "standard_name", "value").withColumn("report_type", F.lit(GROUP))
-    parent = w.where("number % 4 <> 0").select("stock_code", "industry", "year", F.lit("Monetary_Funds").alias("standard_name"), F.col("parent_funds").alias("value"), F.lit(PARENT).alias("report_type"))
+    parent = parents(w).unpivot(["stock_code", "industry", "year"], ["Monetary_Funds"], "standard_name", "value").withColumn("report_type", F.lit(PARENT))
     return long.unionByName(parent)
 
 
+def parents(w: DataFrame) -> DataFrame:
+    """Parent reports beside the group's: funds alone."""
+    return w.where("number % 4 <> 0").select("stock_code", "industry", "year", F.col("parent_funds").alias("Monetary_Funds"))
+
+
 def raw_cells(spark: SparkSession, d: str) -> DataFrame:
     """Recognised text: names by turn from the vocabulary, units by turn, negative
     amounts in brackets, an unreadable amount and an unknown unit now and then."""
     names = {"Revenue_Total": ("营业收入", "营业总收入", "营收 "), "Net_Profit": ("净利润", "归母净利润", "盈利"), "Total_Assets": ("资产总计", "总资产", "资产总计")}
-    w, n = wide(spark, d), F.col("number")
+    w, n = staged(wide(spark, d).select("stock_code", "year", "number", *names), "wide"), F.col("number")
     out = None
     for field, forms in names.items():
         raw = F.when(n % 3 == 0, forms[0]).when(n % 3 == 1, forms[1]).otherwise(forms[2])

@@ -21,6 +21,14 @@ def _ratio(a: str, b: str) -> str:
     return f"CASE WHEN {b} = 0 THEN NULL ELSE CAST({a} AS DOUBLE) / CAST({b} AS DOUBLE) END"
 
 
+def _indicators(suffix: str, source: str) -> str:
+    same = (("毛利率", "Gross_Profit", "Revenue_Total"), ("净利率", "Net_Profit", "Revenue_Total"), ("资产负债率", "Total_Liabilities", "Total_Assets"), ("存货周转率", "Cost_Revenue", "Inventory"), ("应收账款周转率", "Revenue_Total", "Receivables"), ("流动比率", "Current_Assets", "Current_Liabilities"))
+    rows = [f"SELECT stock_code, industry, year, '{n}' AS indicator, {_ratio(a, b)} AS value FROM {source}" for n, a, b in same]
+    rows += [f"SELECT stock_code, industry, year, '{n}', CASE WHEN y0 = year - 1 AND {c}0 > 0 THEN CAST({f} AS DOUBLE) / CAST({c}0 AS DOUBLE) - 1 END FROM grown_{suffix}" for n, f, c in (("营业收入增长率", "Revenue_Total", "r"), ("净利润增长率", "Net_Profit", "p"))]
+    grown = f"grown_{suffix} AS (SELECT *, lag(year) OVER o AS y0, lag(Revenue_Total) OVER o AS r0, lag(Net_Profit) OVER o AS p0 FROM {source} WINDOW o AS (PARTITION BY stock_code ORDER BY year))"
+    return f"{grown},\nind_{suffix} AS (SELECT * FROM ({' UNION ALL '.join(rows)}) WHERE value IS NOT NULL)"
+
+
 _P = "l_extendedprice"
 _D = "AS DECIMAL(18,4)"
 _FIELD_ROWS = [(v, f, s, i) for f, s, names in config.FIELDS for i, v in enumerate(names)]
@@ -34,15 +42,12 @@ WITH sums AS (SELECT l_suppkey AS n, CAST(year(l_shipdate) AS INT) AS year,
 w AS (SELECT lpad(CAST(n AS VARCHAR), 6, '0') AS stock_code, CAST(s_nationkey AS VARCHAR) AS industry, year, n, revenue AS Revenue_Total, cost AS Cost_Revenue, revenue - cost AS Gross_Profit,
     revenue - cost - returned AS Net_Profit, gross * 2 AS Total_Assets, returned + cost AS Total_Liabilities, gross * 2 - returned - cost + CASE WHEN n % 7 = 0 THEN 5 ELSE 0 END AS Equity_Total,
     closed AS Monetary_Funds, revenue - cost - returned * 2 AS Operating_Cash_Flow, gross - returned * 2 AS Operating_Cash_Inflow, returned * 2 AS Interest_Debt,
-    revenue AS Retained_Begin, revenue * 2 - cost * 2 - returned + CASE WHEN n % 7 = 0 THEN 5000 ELSE 0 END AS Retained_End, cost AS Dividends, parent_funds
+    revenue AS Retained_Begin, revenue * 2 - cost * 2 - returned + CASE WHEN n % 7 = 0 THEN 5000 ELSE 0 END AS Retained_End, cost AS Dividends, returned AS Inventory, gross - closed AS Receivables, gross + closed AS Current_Assets, returned + closed AS Current_Liabilities, parent_funds
     FROM sums JOIN supplier ON n = s_suppkey),
-grown AS (SELECT *, lag(year) OVER o AS y0, lag(Revenue_Total) OVER o AS r0, lag(Net_Profit) OVER o AS p0 FROM w WINDOW o AS (PARTITION BY stock_code ORDER BY year)),
-ind0 AS (SELECT stock_code, industry, year, '毛利率' AS indicator, {_ratio("Gross_Profit", "Revenue_Total")} AS value FROM w
-    UNION ALL SELECT stock_code, industry, year, '净利率', {_ratio("Net_Profit", "Revenue_Total")} FROM w
-    UNION ALL SELECT stock_code, industry, year, '资产负债率', {_ratio("Total_Liabilities", "Total_Assets")} FROM w
-    UNION ALL SELECT stock_code, industry, year, '营业收入增长率', CASE WHEN y0 = year - 1 AND r0 > 0 THEN CAST(Revenue_Total AS DOUBLE) / CAST(r0 AS DOUBLE) - 1 END FROM grown
-    UNION ALL SELECT stock_code, industry, year, '净利润增长率', CASE WHEN y0 = year - 1 AND p0 > 0 THEN CAST(Net_Profit AS DOUBLE) / CAST(p0 AS DOUBLE) - 1 END FROM grown),
-ind AS (SELECT * FROM ind0 WHERE value IS NOT NULL),
+good AS (SELECT * FROM w WHERE NOT coalesce(abs(Total_Assets - Total_Liabilities - Equity_Total) > 1, false)),
+{_indicators("all", "w")},
+{_indicators("good", "good")},
+ind AS (SELECT * FROM ind_good),
 co AS (SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS stock_code, CAST(s_nationkey AS VARCHAR) AS industry, s_suppkey AS n, s_acctbal AS a FROM supplier),
 tags AS (SELECT stock_code, industry, '资产结构' AS dimension, CASE WHEN a < 0 THEN '轻资产' WHEN a < 5000 THEN '混合' ELSE '重资产' END AS value FROM co
     UNION ALL SELECT stock_code, industry, '客户类型', CASE WHEN n % 3 = 0 THEN 'To-B' WHEN n % 3 = 1 THEN 'To-C端' ELSE 'To-G' END FROM co
@@ -59,12 +64,12 @@ found0 AS (SELECT i.stock_code, i.year, i.indicator, value AS actual, median, ma
     CASE WHEN mad > 0 THEN (value - median) / mad WHEN value = median THEN 0.0 END AS signed, mad = 0 AND value <> median AS zero_mad FROM ind i JOIN mads USING (stock_code, year, indicator)),
 found AS (SELECT *, abs(signed) AS multiple, CASE WHEN zero_mad OR abs(signed) > 5 THEN 'extreme' WHEN abs(signed) > 2 THEN 'abnormal' ELSE 'normal' END AS severity FROM found0),
 outl AS (SELECT * FROM found WHERE severity <> 'normal'),
-cr AS (SELECT stock_code, year, CASE WHEN Net_Profit > 0 THEN CAST(Operating_Cash_Flow AS DOUBLE) / CAST(Net_Profit AS DOUBLE) END AS r, {_ratio("Operating_Cash_Inflow", "Revenue_Total")} AS q FROM w),
+cr AS (SELECT stock_code, year, CASE WHEN Net_Profit > 0 THEN CAST(Operating_Cash_Flow AS DOUBLE) / CAST(Net_Profit AS DOUBLE) END AS r, {_ratio("Operating_Cash_Inflow", "Revenue_Total")} AS q FROM good),
 cq AS (SELECT stock_code, year, '净现比/收现比' AS check_name, r, round(r, 6) AS value, 0.6 AS threshold FROM cr WHERE r < 0.6 AND q < 0.6),
 cqs AS (SELECT *, CASE WHEN r < 0 THEN 5.0::DOUBLE ELSE {_clamp("round((0.6::DOUBLE - r) / 0.2::DOUBLE * 2, 6)")} END AS severity FROM cq),
-dh AS (SELECT stock_code, year, '存贷双高' AS check_name, a * b AS r, round(a * b, 6) AS value, 0.3 AS threshold FROM (SELECT stock_code, year, {_ratio("Monetary_Funds", "Total_Assets")} AS a, {_ratio("Interest_Debt", "Total_Assets")} AS b FROM w) WHERE a > 0.3 AND b > 0.3),
+dh AS (SELECT stock_code, year, '存贷双高' AS check_name, a * b AS r, round(a * b, 6) AS value, 0.3 AS threshold FROM (SELECT stock_code, year, {_ratio("Monetary_Funds", "Total_Assets")} AS a, {_ratio("Interest_Debt", "Total_Assets")} AS b FROM good) WHERE a > 0.3 AND b > 0.3),
 dhs AS (SELECT *, CASE WHEN r > 0.3 THEN 5.0::DOUBLE WHEN r >= 0.1 THEN round(2 + (r - 0.1::DOUBLE) / 0.2::DOUBLE, 6) ELSE 1.0::DOUBLE END AS severity FROM dh),
-gp AS (SELECT stock_code, year, '母子资金分离度' AS check_name, {_ratio("(Monetary_Funds - parent_funds)", "Total_Assets")} AS g, 0.15 AS threshold FROM w WHERE n % 4 <> 0),
+gp AS (SELECT stock_code, year, '母子资金分离度' AS check_name, {_ratio("(Monetary_Funds - parent_funds)", "Total_Assets")} AS g, 0.15 AS threshold FROM good WHERE n % 4 <> 0),
 gps AS (SELECT stock_code, year, check_name, round(g, 6) AS value, threshold, CASE WHEN g > 0.3 THEN 5.0 WHEN g > 0.15 THEN 3.0 ELSE 0.0 END AS severity FROM gp WHERE g > 0.15),
 anom AS (SELECT stock_code, year, check_name, value, CAST(threshold AS DOUBLE) AS threshold, CAST(severity AS DOUBLE) AS severity FROM (SELECT * EXCLUDE r FROM cqs UNION ALL SELECT * EXCLUDE r FROM dhs UNION ALL SELECT * FROM gps)),
 paths0 AS (SELECT stock_code, year, indicator, 'C' AS source FROM outl UNION ALL SELECT stock_code, year, check_name, 'B+' FROM anom),
@@ -100,6 +105,7 @@ _RETAINED = f"SELECT stock_code, year, CAST(Retained_End AS DOUBLE) AS lhs, CAST
 _A = "stock_code, year, check_name, value, threshold, severity"
 _HYP = prompts.TEMPLATES["d1_hypothesis"].replace("'", "''").replace("{{macro_facts}}", "无")
 _TABLE = "SELECT *, CAST(sum(CAST(is_new AS INT)) OVER (PARTITION BY doc ORDER BY pos) AS INT) AS table_id FROM (SELECT *, inn AND NOT coalesce(lag(inn) OVER (PARTITION BY doc ORDER BY pos), false) AS is_new FROM (SELECT *, {0} AS inn FROM dl))"
+_SCORED = """, c AS (SELECT stock_code, year, CAST(sum(CAST(impact AS DECIMAL(38,6))) AS DOUBLE) AS x FROM ci GROUP BY ALL), b AS (SELECT stock_code, year, CAST(sum(CAST(impact AS DECIMAL(38,6))) AS DOUBLE) AS x FROM bi GROUP BY ALL), f AS (SELECT stock_code, year, coalesce(c.x, 0) AS c_impact, coalesce(b.x, 0) AS bplus_impact FROM good LEFT JOIN c USING (stock_code, year) LEFT JOIN b USING (stock_code, year)), g AS (SELECT *, round(100 + c_impact + bplus_impact, 6) AS raw_score FROM f), h AS (SELECT *, greatest(0.0, least(100.0, raw_score)) AS final_score FROM g), scored AS (SELECT *, CASE WHEN final_score >= 90 THEN 'high' WHEN final_score >= 60 THEN 'medium' ELSE 'low' END AS tier FROM h)"""
 _SQL = {
     "indicator_long": "SELECT stock_code, industry, year, indicator, round(value, 6) AS value FROM ind",
     "indicator_pivot": "SELECT stock_code, year, " + ", ".join(f"round(max(CASE WHEN indicator = '{n}' THEN signed END), 6) AS i{i}" for i, n in enumerate(INDICATORS)) + " FROM found GROUP BY ALL",
@@ -108,7 +114,7 @@ _SQL = {
     "peer_similarity": "SELECT DISTINCT a.industry, array_to_string(a.t, '|') AS tags_a, array_to_string(b.t, '|') AS tags_b, round(len(list_intersect(a.t, b.t)) / sqrt(CAST(len(a.t) * len(b.t) AS DOUBLE)), 9) AS similarity FROM sets a JOIN sets b ON a.industry = b.industry",
     "peer_topk": "SELECT stock_code, peer_code, similarity, rank FROM peers",
     "peer_median": "SELECT stock_code, year, indicator, CAST(n_peers AS INT) AS n_peers, round(median, 6) AS peer_median FROM med",
-    "historical_mean": f", b AS ({_BALANCE}), x AS (SELECT i.*, CASE WHEN b.ok IS NULL THEN value END AS v FROM ind i LEFT JOIN (SELECT * FROM b WHERE NOT ok AND year % 2 = 0) b USING (stock_code, year)) SELECT stock_code, year, indicator, round(value, 6) AS value, round(avg(v) OVER p, 6) AS historical_mean, count(v) OVER p AS n_years FROM x WINDOW p AS (PARTITION BY stock_code, indicator ORDER BY year RANGE BETWEEN 5 PRECEDING AND 1 PRECEDING)",
+    "historical_mean": f", b AS ({_BALANCE}), x AS (SELECT i.*, CASE WHEN b.ok IS NULL THEN value END AS v FROM ind_all i LEFT JOIN (SELECT * FROM b WHERE NOT ok AND year % 2 = 0) b USING (stock_code, year)) SELECT stock_code, year, indicator, round(value, 6) AS value, round(avg(v) OVER p, 6) AS historical_mean, count(v) OVER p AS n_years FROM x WINDOW p AS (PARTITION BY stock_code, indicator ORDER BY year RANGE BETWEEN 5 PRECEDING AND 1 PRECEDING)",
     "mad": "SELECT stock_code, year, indicator, round(mad, 6) AS mad FROM found",
     "deviation_multiple": "SELECT stock_code, year, indicator, round(actual, 6) AS actual, round(median, 6) AS median, round(multiple, 6) AS multiple, round(signed, 6) AS signed, zero_mad, n_peers, low_confidence FROM found",
     "deviation_graded": "SELECT stock_code, year, indicator, round(multiple, 6) AS multiple, severity FROM outl",
@@ -124,6 +130,7 @@ _SQL = {
     "validation_record": f", b AS ({_BALANCE}), r AS ({_RETAINED}), e AS (SELECT stock_code, year, 'balance' AS name, diff, ok FROM b UNION ALL SELECT stock_code, year, 'retained', diff, ok FROM r) SELECT stock_code, year, bool_and(coalesce(ok, true)) OVER (PARTITION BY stock_code, year) AS passed, name, round(diff, 6) AS diff, ok FROM e",
     "blocked_union": f", b AS ({_BALANCE}) SELECT stock_code, year, CASE WHEN ok THEN 'ok' ELSE '{config.BLOCKED}' END AS message FROM b",
     "cash_quality": f"SELECT {_A} FROM anom WHERE check_name = '净现比/收现比'",
+    "cash_levels": ", u AS (SELECT stock_code, year, 'cash_to_profit' AS ratio, r AS value, 0.0 AS severe, 2.0 AS high FROM cr UNION ALL SELECT stock_code, year, 'cash_to_revenue', q, 0.3, 1.5 FROM cr) SELECT stock_code, year, ratio, round(value, 6) AS value, CASE WHEN value < severe THEN 'severe' WHEN value < 0.6 THEN 'low' WHEN value > high THEN 'high' ELSE 'normal' END AS level FROM u WHERE value IS NOT NULL",
     "dual_high": f"SELECT {_A} FROM anom WHERE check_name = '存贷双高'",
     "parent_gap": f"SELECT {_A} FROM anom WHERE check_name = '母子资金分离度'",
     "logic_anomalies": "SELECT stock_code, year, string_agg(check_name, '|' ORDER BY check_name) AS checks FROM anom GROUP BY ALL",
@@ -134,7 +141,18 @@ _SQL = {
     "effective_weight": "SELECT stock_code, year, indicator, weight, round(weight * amp, 6) AS effective_weight FROM wd",
     "c_deduction": "SELECT * FROM ci",
     "bplus_deduction": "SELECT * FROM bi",
-    "final_score": ", c AS (SELECT stock_code, year, CAST(sum(CAST(impact AS DECIMAL(38,6))) AS DOUBLE) AS x FROM ci GROUP BY ALL), b AS (SELECT stock_code, year, CAST(sum(CAST(impact AS DECIMAL(38,6))) AS DOUBLE) AS x FROM bi GROUP BY ALL), f AS (SELECT stock_code, year, coalesce(c.x, 0) AS c_impact, coalesce(b.x, 0) AS bplus_impact FROM w LEFT JOIN c USING (stock_code, year) LEFT JOIN b USING (stock_code, year)), g AS (SELECT *, round(100 + c_impact + bplus_impact, 6) AS raw_score FROM f), h AS (SELECT *, greatest(0.0, least(100.0, raw_score)) AS final_score FROM g) SELECT *, CASE WHEN final_score >= 90 THEN 'high' WHEN final_score >= 60 THEN 'medium' ELSE 'low' END AS tier FROM h",
+    "final_score": f"{_SCORED} SELECT * FROM scored",
+    "report_json": f"""{_SCORED}, i AS (SELECT stock_code, year, indicator AS name, 'C' AS source, impact FROM ci UNION ALL SELECT stock_code, year, check_name, 'B+', impact FROM bi),
+        items AS (SELECT stock_code, year, 'C' AS source, indicator AS name, severity, round(actual, 6) AS value FROM outl UNION ALL SELECT stock_code, year, 'B+', check_name, CASE WHEN severity >= 5 THEN 'extreme' ELSE 'abnormal' END, value FROM anom),
+        leaf AS (SELECT stock_code, year, 'overall' AS module, 'score' AS item, final_score AS value, tier AS text FROM scored
+        UNION ALL SELECT stock_code, year, 'overall', 'C', c_impact, NULL FROM scored
+        UNION ALL SELECT stock_code, year, 'overall', 'B+', bplus_impact, NULL FROM scored
+        UNION ALL SELECT s.stock_code, year, 'peer', peer_code, similarity, NULL FROM scored s JOIN peers USING (stock_code)
+        UNION ALL SELECT stock_code, year, 'anomaly', source || ':' || name, value, severity FROM items
+        UNION ALL SELECT stock_code, year, 'cause', source || ':' || indicator || ':' || cause, p, NULL FROM attr
+        UNION ALL SELECT stock_code, year, CASE WHEN impact > 0 THEN 'bull' ELSE 'bear' END, name, NULL, source FROM i WHERE impact <> 0
+        UNION ALL SELECT stock_code, year, 'blocked', 'message', NULL, '{config.BLOCKED}' FROM w WHERE (stock_code, year) NOT IN (SELECT (stock_code, year) FROM good))
+        SELECT stock_code, year, module, item, round(CAST(value AS DOUBLE), 6) AS value, text FROM leaf""",
     "report_rows": "SELECT stock_code, year, 'C' AS source, indicator AS name, severity, round(actual, 6) AS value FROM outl UNION ALL SELECT stock_code, year, 'B+', check_name, CASE WHEN severity >= 5 THEN 'extreme' ELSE 'abnormal' END, value FROM anom",
     "report_points": ", i AS (SELECT stock_code, year, indicator AS name, impact FROM ci UNION ALL SELECT stock_code, year, check_name, impact FROM bi) SELECT stock_code, year, CASE WHEN impact > 0 THEN 'bull' ELSE 'bear' END AS side, name FROM i WHERE impact <> 0",
     "section_flatten": "SELECT conv_id AS doc, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS pos, role AS title, CAST(length(text) AS INT) AS size, CAST(turn AS INT) AS page_number FROM conversations",
@@ -146,7 +164,13 @@ _SQL = {
     "opinion_filter": "SELECT event_id, text FROM ev WHERE NOT regexp_matches(text, '" + "|".join(config.OPINIONS) + "')",
     "sentinel_null": f"SELECT event_id, nullif(text, '{config.NO_FACTS}') AS text FROM ev",
     "tag_violations": f", a AS (SELECT stock_code, dimension, coalesce(v, value) AS value FROM tags LEFT JOIN {_values(config.TAG_ALIASES, 'alias, v')} ON alias = value) SELECT * FROM a WHERE (dimension, value) NOT IN {_values(_TAG_ROWS, 'd, o')}",
-    "relevant_sections": ", t AS (SELECT DISTINCT conv_id * 1000 + turn AS key, unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+')) AS word FROM conversations) SELECT key, i AS indicator, count(*) AS hits FROM t JOIN (VALUES ('the', '毛利率'), ('of', '毛利率'), ('that', '净利率'), ('with', '资产负债率')) AS k(w, i) ON word = w GROUP BY ALL",
+    "relevant_sections": ", t AS (SELECT conv_id * 1000 + turn AS key, lower(text) AS text FROM conversations UNION ALL SELECT -s_suppkey, lower(CASE WHEN s_suppkey % 2 = 0 THEN '本期毛利率下降，' ELSE '本期资产负债率上升，' END || s_name) FROM supplier) SELECT key, i AS indicator, count(*) AS hits FROM t JOIN (VALUES ('the', '毛利率'), ('of', '毛利率'), ('that', '净利率'), ('with', '资产负债率'), ('毛利率', '毛利率'), ('负债', '资产负债率')) AS k(w, i) ON contains(text, w) GROUP BY ALL",
+    "evidence": """, q AS (SELECT stock_code, year, indicator FROM outl UNION ALL SELECT stock_code, year, check_name FROM anom),
+        t AS (SELECT stock_code, s_suppkey AS n, unnest(CASE WHEN s_suppkey % 3 = 0 THEN [{'i': '毛利率', 't': '本期毛利率受多种因素影响。', 'v': true}] ELSE [{'i': '毛利率', 't': '本期毛利率随产品结构变化。', 'v': false}, {'i': '资产负债率', 't': '资产负债率因借款上升！', 'v': false}] END) AS e FROM co JOIN supplier ON s_suppkey = co.n WHERE s_suppkey % 2 = 0)
+        SELECT q.stock_code, year, indicator, e.t AS summary, e.t AS source_text, CAST(n % 200 AS INT) AS page_number, e.v AS is_vague FROM q JOIN t ON q.stock_code = t.stock_code AND e.i = indicator WHERE year BETWEEN 1990 AND 2010""",
+    "part_forward_fill": ", h AS (SELECT doc, pos, CASE length(line) % 9 WHEN 0 THEN 'company_overview' WHEN 1 THEN 'financial_data' WHEN 2 THEN 'management_discussion' WHEN 3 THEN 'footnotes' END AS p FROM dl) SELECT doc, pos, coalesce(last_value(p IGNORE NULLS) OVER (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED PRECEDING), '') AS part FROM h",
+    "extracted_facts": ", f AS (SELECT event_id, unnest(CASE WHEN event_id % 3 = 0 THEN ['价格上涨 ' || event_type, '产量持平'] WHEN event_id % 3 = 1 THEN ['价格下跌 ' || event_type, '产量持平'] ELSE [] END) AS fact, CAST(unnest(CASE WHEN event_id % 3 = 2 THEN [] ELSE [0, 1] END) AS INT) AS pos FROM events) SELECT * FROM f",
+    "dual_path_answers": "SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN event_type END AS summary, CASE WHEN event_id % 4 <> 0 THEN CAST(event_id % 90 AS INT) END AS page_number, CASE WHEN event_id % 4 <> 0 THEN event_id % 5 = 0 END AS is_vague, CAST(least(4, event_id % 7) AS INT) AS n_hypotheses, (event_id % 3 = 0) <> (event_id % 2 = 0) AS valid, CASE WHEN (event_id % 3 = 0) <> (event_id % 2 = 0) THEN CASE WHEN event_id % 3 = 0 THEN 0.4 ELSE 0.3 END END::DOUBLE AS share FROM events",
     "fenced_json": "SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events",
     "prompt_render": f"SELECT stock_code, year, indicator, replace(replace(replace('{_HYP}', '{{{{indicator}}}}', indicator), '{{{{deviation}}}}', severity), '{{{{industry_tags}}}}', stock_code) AS prompt FROM outl",
     "llm_cache_misses": ", c AS (SELECT DISTINCT 'd1_hypothesis' AS prompt_name, event_type || ' ' || CAST(event_id % 50 AS VARCHAR) AS variables FROM events) SELECT sha256(prompt_name || chr(10) || variables) AS cache_key, prompt_name, variables FROM c WHERE NOT starts_with(variables, 'click')",
@@ -155,5 +179,4 @@ _SQL = {
     "benchmark_facts": "SELECT industry, year, indicator, count(*) AS n, min(round(value, 6)) AS least, max(round(value, 6)) AS most FROM ind GROUP BY ALL",
     "config_tables": f"SELECT indicator, category, CAST(base_weight AS DOUBLE) AS base_weight, CASE WHEN direction = 'positive' THEN 1 ELSE -1 END AS sign, CAST(cap AS DOUBLE) AS cap FROM {_values(config.INDICATORS, 'indicator, category, base_weight, direction, cap')}",
 }
-#: report_json has none: the two engines format nested JSON differently.
 ORACLE_SQL = {k: BASE + v for k, v in _SQL.items()}

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from finsift.functions.columns import amount
 from finsift.operators import deviation, documents, indicators, logic_checks, mapping, peers, reasoning, report, scoring, validation
-from finsift.plans import analog
+from finsift.plans import analog, stages
 from finsift.plans.analog import INDICATORS, NAMES, table
 from finsift.sources import config, prompts, reports
 from finsift.sources.config import GROUP, PARENT
+from finsift.sources.work import staged
 
 KEY = ["stock_code", "year"]
 QUERIES: dict = {}
@@ -25,37 +26,47 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(F.col(n).cast("double"), 6) for n in names})
 
 
-def _group(s: SparkSession, d: str) -> DataFrame:
+def _long(s: SparkSession, d: str) -> DataFrame:
     return mapping.statements(mapping.of_type(analog.facts(s, d), GROUP), NAMES, ("stock_code", "industry", "year"))
 
 
+def _good(s: SparkSession, d: str) -> DataFrame:
+    """Company-years that pass the gate; what fails it is analysed no further."""
+    return validation.gate(analog.wide(s, d))[0]
+
+
 def _indicators(s: SparkSession, d: str) -> DataFrame:
-    return indicators.long_form(indicators.derive(analog.wide(s, d)), INDICATORS)
+    return indicators.long_form(indicators.derive(_good(s, d)), INDICATORS)
 
 
 def _peers(s: SparkSession, d: str) -> DataFrame:
     return peers.top_peers(peers.tag_sets(analog.tags(s, d)))
 
 
-def _found(s: SparkSession, d: str) -> DataFrame:
-    ind = _indicators(s, d)
+def _deviations(ind: DataFrame, s: SparkSession, d: str) -> DataFrame:
+    # read by two sides of a join: written first, so that the lines are read once
+    ind = staged(ind, "indicators")
     return deviation.deviations(ind, peers.peer_values(ind, _peers(s, d)))
 
 
+def _found(s: SparkSession, d: str) -> DataFrame:
+    return _deviations(_indicators(s, d), s, d)
+
+
+def _checked(good: DataFrame) -> DataFrame:
+    return logic_checks.anomalies(good, analog.parents(good))
+
+
 def _anomalies(s: SparkSession, d: str) -> DataFrame:
-    facts = analog.facts(s, d)
-    own = mapping.statements(mapping.of_type(facts, GROUP), NAMES)
-    parent = mapping.statements(mapping.of_type(facts, PARENT), ["Monetary_Funds"])
-    return logic_checks.anomalies(own, parent)
+    return _checked(staged(_good(s, d), "good"))
 
 
-def _attribution(s: SparkSession, d: str) -> DataFrame:
+def _causes(outliers: DataFrame, anomalies: DataFrame) -> DataFrame:
     """Causes by rule; what the report says and what outside facts suggest go by turns."""
-    c = deviation.outliers(_found(s, d)).select(*KEY, "indicator", F.lit("C").alias("source"))
-    b = _anomalies(s, d).select(*KEY, F.col("check_name").alias("indicator"), F.lit("B+").alias("source"))
     n = F.col("stock_code").cast("int") + F.col("year")
     return reasoning.rule_probabilities(
-        c.unionByName(b)
+        stages.asked_about(outliers, anomalies)
+        .select(*stages.KEY)
         .withColumn("path1", F.when(n % 3 == 0, "经营恶化").when(n % 3 == 1, config.NO_EXPLANATION).otherwise("战略备货"))
         .withColumn("path2", F.when(n % 2 == 0, "行业特性").otherwise("经营改善"))
         .withColumn("is_vague", n % 5 == 0)
@@ -63,6 +74,20 @@ def _attribution(s: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _analysis(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    """All that scores and reports are made of.  The lines are read once; what several
+    later steps read is written, as :mod:`finsift.plans.stages` does."""
+    wide = staged(analog.wide(s, d), "wide")
+    good, blocked = validation.gate(wide)
+    out = staged(deviation.outliers(_deviations(indicators.long_form(indicators.derive(good), INDICATORS), s, d)), "outliers")
+    anomalies = staged(_checked(good), "anomalies")
+    return {"good": good, "blocked": blocked, "outliers": out, "anomalies": anomalies, "attribution": _causes(out, anomalies)}
+
+
+def _attribution(s: SparkSession, d: str) -> DataFrame:
+    return _analysis(s, d)["attribution"]
+
+
 @query
 def indicator_long(s, d):
     return _rounded(_indicators(s, d), "value")
@@ -104,8 +129,10 @@ def peer_median(s, d):
 
 @query
 def historical_mean(s, d):
-    bad = validation.balance(analog.wide(s, d)).where("not ok and year % 2 = 0")
-    return _rounded(peers.history(_indicators(s, d), bad), "value", "historical_mean")
+    wide = staged(analog.wide(s, d), "wide")
+    bad = validation.balance(wide).where("not ok and year % 2 = 0")
+    every = indicators.long_form(indicators.derive(wide), INDICATORS)
+    return _rounded(peers.history(every, bad), "value", "historical_mean")
 
 
 @query
@@ -120,8 +147,7 @@ def deviation_multiple(s, d):
 
 @query
 def deviation_graded(s, d):
-    got = deviation.outliers(_found(s, d)).orderBy(F.desc_nulls_first("multiple"), "stock_code", "year", "indicator")
-    return _rounded(got, "multiple").select(*KEY, "indicator", "multiple", "severity")
+    return _rounded(deviation.outliers(_found(s, d)), "multiple").select(*KEY, "indicator", "multiple", "severity")
 
 
 @query
@@ -169,40 +195,46 @@ def cell_fetch(s, d):
 
 @query
 def balance_check(s, d):
-    return _rounded(validation.balance(_group(s, d)), "lhs", "rhs", "diff")
+    return _rounded(validation.balance(analog.wide(s, d)), "lhs", "rhs", "diff")
 
 
 @query
 def retained_rollforward(s, d):
-    return _rounded(validation.retained(_group(s, d)), "lhs", "rhs", "diff")
+    return _rounded(validation.retained(analog.wide(s, d)), "lhs", "rhs", "diff")
 
 
 @query
 def validation_record(s, d):
-    got = validation.record(_group(s, d)).select(*KEY, "passed", F.explode("checks").alias("c"))
+    got = validation.record(staged(analog.wide(s, d), "wide")).select(*KEY, "passed", F.explode("checks").alias("c"))
     return got.select(*KEY, "passed", "c.name", F.round(F.col("c.diff").cast("double"), 6).alias("diff"), "c.ok")
 
 
 @query
 def blocked_union(s, d):
-    good, blocked = validation.gate(_group(s, d))
+    good, blocked = validation.gate(_long(s, d))
     return good.select(*KEY, F.lit("ok").alias("message")).unionByName(blocked)
 
 
 @query
 def cash_quality(s, d):
-    return logic_checks.cash_quality(_group(s, d))
+    return logic_checks.cash_quality(_good(s, d))
+
+
+@query
+def cash_levels(s, d):
+    return _rounded(logic_checks.cash_levels(_good(s, d)), "value")
 
 
 @query
 def dual_high(s, d):
-    return logic_checks.dual_high(_group(s, d))
+    return logic_checks.dual_high(_good(s, d))
 
 
 @query
 def parent_gap(s, d):
-    parent = mapping.statements(mapping.of_type(analog.facts(s, d), PARENT), ["Monetary_Funds"])
-    return logic_checks.parent_gap(_group(s, d), parent)
+    facts = staged(analog.facts(s, d), "facts")
+    both = {t: mapping.statements(mapping.of_type(facts, t), n) for t, n in ((GROUP, NAMES), (PARENT, ["Monetary_Funds"]))}
+    return logic_checks.parent_gap(validation.gate(both[GROUP])[0], both[PARENT])
 
 
 @query
@@ -236,47 +268,46 @@ def effective_weight(s, d):
     return scoring.weighted(deviation.outliers(_found(s, d))).select(*KEY, "indicator", "weight", "effective_weight")
 
 
-def _c(s, d):
-    return scoring.deviation_impacts(deviation.outliers(_found(s, d)), _attribution(s, d))
+def _impacts(f: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    return scoring.deviation_impacts(f["outliers"], f["attribution"]), scoring.check_impacts(f["anomalies"], f["attribution"])
 
 
 @query
 def c_deduction(s, d):
-    return _c(s, d).withColumn("expected", F.col("expected").cast("double"))
-
-
-def _b(s, d):
-    return scoring.check_impacts(_anomalies(s, d), _attribution(s, d))
+    return _impacts(_analysis(s, d))[0].withColumn("expected", F.col("expected").cast("double"))
 
 
 @query
 def bplus_deduction(s, d):
-    return _b(s, d)
+    return _impacts(_analysis(s, d))[1]
 
 
 @query
 def final_score(s, d):
-    return scoring.scores(_group(s, d), _c(s, d), _b(s, d))
+    f = _analysis(s, d)
+    return scoring.scores(f["good"], *_impacts(f))
 
 
 @query
 def report_rows(s, d):
-    return report.items(deviation.outliers(_found(s, d)), _anomalies(s, d))
+    f = _analysis(s, d)
+    return report.items(f["outliers"], f["anomalies"])
 
 
 @query
 def report_points(s, d):
-    c, b = _c(s, d).select(*KEY, F.col("indicator").alias("name"), "impact"), _b(s, d).select(*KEY, F.col("check_name").alias("name"), "impact")
-    return report.points(c.unionByName(b)).select(*KEY, "side", "name")
+    return report.points(stages.named_impacts(*_impacts(_analysis(s, d)))).select(*KEY, "side", "name")
 
 
 @query
 def report_json(s, d):
-    c, b = _c(s, d), _b(s, d)
-    group = _group(s, d)
-    rows = report.items(deviation.outliers(_found(s, d)), _anomalies(s, d))
-    impacts = c.select(*KEY, F.col("indicator").alias("name"), "impact").unionByName(b.select(*KEY, F.col("check_name").alias("name"), "impact"))
-    return report.assemble(scoring.scores(group, c, b), rows, report.points(impacts), validation.gate(group)[1])
+    """The whole report, written as JSON and read back leaf by leaf."""
+    f = _analysis(s, d)
+    c, b = _impacts(f)
+    none = s.createDataFrame([], "stock_code string, year int, indicator string, summary string, page_number int")
+    rows = report.explained(report.items(f["outliers"], f["anomalies"]), f["attribution"], none)
+    made = report.assemble(scoring.scores(f["good"], c, b), rows, report.points(stages.named_impacts(c, b)), _peers(s, d), f["blocked"])
+    return _rounded(report.leaves(made), "value")
 
 
 @query
@@ -343,9 +374,50 @@ def tag_violations(s, d):
 
 @query
 def relevant_sections(s, d):
-    words = s.createDataFrame([("the", "毛利率"), ("of", "毛利率"), ("that", "净利率"), ("with", "资产负债率")], "keyword string, indicator string")
+    words = [("the", "毛利率"), ("of", "毛利率"), ("that", "净利率"), ("with", "资产负债率"), ("毛利率", "毛利率"), ("负债", "资产负债率")]
     turns = table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), "text")
-    return reasoning.relevant_sections(turns, words)
+    name = F.when(F.col("s_suppkey") % 2 == 0, "本期毛利率下降，").otherwise("本期资产负债率上升，")
+    chinese = table(s, d, "supplier").select((-F.col("s_suppkey")).alias("key"), F.concat(name, "s_name").alias("text"))
+    return reasoning.relevant_sections(turns.unionByName(chinese), words)
+
+
+@query
+def evidence(s, d):
+    """Sentences of reports about their company's anomalies; the report says something
+    on every other company's, now and then in commonplaces."""
+    f = _analysis(s, d)
+    asked = stages.asked_about(f["outliers"], f["anomalies"])
+    n = F.col("s_suppkey")
+    said = F.when(n % 3 == 0, "收入平稳。本期毛利率受多种因素影响。").otherwise("本期毛利率随产品结构变化。资产负债率因借款上升！")
+    pages = table(s, d, "supplier").where("s_suppkey % 2 = 0").select(analog.code(n).alias("stock_code"), F.explode(F.sequence(F.lit(1990), F.lit(2010))).alias("year"), F.lit("管理层讨论").alias("title"), said.alias("content"), (n % 200).cast("int").alias("page_number"))
+    return reasoning.evidence(asked, pages, config.KEYWORDS)
+
+
+@query
+def part_forward_fill(s, d):
+    n = F.pmod(F.char_length("line"), F.lit(9))
+    heads = F.when(n == 0, "第一节 公司简介").when(n == 1, "三、合并资产负债表").when(n == 2, "管理层讨论与分析").when(n == 3, "财务报表附注").when(n == 4, "其他事项").otherwise(F.col("line"))
+    rows = _lines(s, d).withColumn("line", heads)
+    return documents.parts(rows, F.col("line") != "").select("doc", "pos", F.coalesce("part", F.lit("")).alias("part"))
+
+
+@query
+def extracted_facts(s, d):
+    n = F.col("event_id")
+    raw = F.when(n % 3 == 0, F.concat(F.lit('["价格上涨 '), "event_type", F.lit('", "推荐买入", "产量持平"]'))).when(n % 3 == 1, F.concat(F.lit("1. 价格下跌 "), "event_type", F.lit("\n- 产量持平\n\n"), F.lit(config.NO_FACTS))).otherwise(F.lit(config.NO_FACTS))
+    facts = table(s, d, "events").select("event_id", F.posexplode(reasoning.extract_facts(raw)).alias("pos", "fact"))
+    return facts
+
+
+@query
+def dual_path_answers(s, d):
+    """Answers of both paths and of the weighing, read by their forms."""
+    n = F.col("event_id")
+    look = F.when(n % 4 == 0, F.lit(config.NO_EXPLANATION)).otherwise(F.concat(F.lit('```json\n{"summary": "'), "event_type", F.lit('", "source_text": "原文", "page_number": '), (n % 90).cast("string"), F.lit(', "is_vague": '), (n % 5 == 0).cast("string"), F.lit("}\n```")))
+    hyp = F.concat(F.lit("["), F.array_join(F.array_repeat(F.lit('{"hypothesis": "战略备货", "reasoning": "r", "source": "s"}'), (n % 7).cast("int")), ","), F.lit("]"))
+    p = F.concat(F.lit('{"probabilities": {"经营滞销": 0.6, "战略备货": '), F.when(n % 3 == 0, "0.4").otherwise("0.3"), F.lit(', "其他": '), F.when(n % 2 == 0, "0.1").otherwise("0.0"), F.lit("}}"))
+    got = table(s, d, "events").select("event_id", reasoning.read_lookup(look).alias("l"), F.size(reasoning.read_hypotheses(hyp)).alias("n_hypotheses"), reasoning.read_probabilities(p).alias("p"))
+    return got.select("event_id", "l.summary", "l.page_number", "l.is_vague", "n_hypotheses", F.col("p").isNotNull().alias("valid"), F.try_element_at("p", F.lit("战略备货")).alias("share"))
 
 
 @query

@@ -1,101 +1,155 @@
 """The analysis of statements as named stages over frames.
 
-Each stage reads frames by name and adds some.  A run can leave stages out, and can
-start from one: what earlier stages made is then read from the work folder, where
-every frame a stage adds is written as Parquet."""
+Each stage says what frames it needs and adds some.  Stages whose frames are there
+run side by side.  A run can leave stages out, and can start from one: what earlier
+stages made is then read from the work folder, where every frame a stage adds is
+written as Parquet."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finsift.operators import deviation, indicators, logic_checks, mapping, peers, reasoning, report, scoring, validation
 from finsift.plans.analog import INDICATORS, NAMES
+from finsift.sources import config
+from finsift.sources import reports as files
 from finsift.sources.config import GROUP, PARENT
 
 Frames = dict[str, DataFrame]
 STAGES: dict[str, Callable[[Frames], Frames]] = {}
+NEEDS: dict[str, set[str]] = {}
+KEY = ["stock_code", "year", "indicator", "source"]
 
 
-def stage(name: str):
+def stage(name: str, *needs: str):
     def add(f: Callable[[Frames], Frames]):
-        STAGES[name] = f
+        STAGES[name], NEEDS[name] = f, set(needs)
         return f
 
     return add
 
 
-@stage("statements")
+@stage("facts", "documents")
+def _facts(f: Frames) -> Frames:
+    """Extracted documents to facts and sections; runs where there are documents."""
+    return {"facts": files.facts_of(f["documents"]), "unreadable": files.unreadable(f["documents"]), "sections": files.report_sections(f["documents"])}
+
+
+@stage("peers", "tags")
+def _peers(f: Frames) -> Frames:
+    return {"peers": peers.top_peers(peers.tag_sets(f["tags"]))}
+
+
+@stage("statements", "facts")
 def _statements(f: Frames) -> Frames:
     group = mapping.statements(mapping.of_type(f["facts"], GROUP), NAMES, ("stock_code", "industry", "year"))
     return {"group": group, "parent": mapping.statements(mapping.of_type(f["facts"], PARENT), ["Monetary_Funds"])}
 
 
-@stage("gate")
+@stage("gate", "group")
 def _gate(f: Frames) -> Frames:
     good, blocked = validation.gate(f["group"])
     return {"good": good, "blocked": blocked}
 
 
-@stage("peers")
-def _peers(f: Frames) -> Frames:
-    return {"peers": peers.top_peers(peers.tag_sets(f["tags"]))}
-
-
-@stage("checks")
+@stage("checks", "good", "parent")
 def _checks(f: Frames) -> Frames:
     return {"anomalies": logic_checks.anomalies(f["good"], f["parent"])}
 
 
-@stage("deviation")
+@stage("deviation", "good", "peers")
 def _deviation(f: Frames) -> Frames:
     ind = indicators.long_form(indicators.derive(f["good"]), INDICATORS)
     return {"outliers": deviation.outliers(deviation.deviations(ind, peers.peer_values(ind, f["peers"])))}
 
 
-@stage("reasoning")
-def _reasoning(f: Frames) -> Frames:
-    """By rule from ``explanations`` (stock_code, year, indicator, source, path1,
-    path2, is_vague, conflict); what has none is left to "other"."""
-    key = ["stock_code", "year", "indicator", "source"]
-    c = f["outliers"].select("stock_code", "year", "indicator", F.lit("C").alias("source"))
-    b = f["anomalies"].select("stock_code", "year", F.col("check_name").alias("indicator"), F.lit("B+").alias("source"))
-    known = c.unionByName(b).join(f["explanations"], key, "left").fillna(False, ["is_vague", "conflict"])
-    return {"attribution": reasoning.rule_probabilities(known)}
+def asked_about(outliers: DataFrame, anomalies: DataFrame) -> DataFrame:
+    """(stock_code, year, indicator, source, actual, multiple) of all that needs a cause."""
+    c = outliers.select("stock_code", "year", "indicator", F.lit("C").alias("source"), "actual", "multiple")
+    b = anomalies.select("stock_code", "year", F.col("check_name").alias("indicator"), F.lit("B+").alias("source"), F.col("value").alias("actual"), F.lit(None).cast("double").alias("multiple"))
+    return c.unionByName(b)
+
 
+@stage("evidence", "outliers", "anomalies")
+def _evidence(f: Frames) -> Frames:
+    """What each company's own report says, where its sections are known."""
+    if "sections" in f:
+        return {"evidence": reasoning.evidence(asked_about(f["outliers"], f["anomalies"]), f["sections"], config.KEYWORDS)}
+    none = "stock_code string, year int, indicator string, summary string, source_text string, page_number int, is_vague boolean"
+    return {"evidence": f["outliers"].sparkSession.createDataFrame([], none)}
 
-@stage("scores")
+
+@stage("reasoning", "outliers", "anomalies", "evidence")
+def _reasoning(f: Frames) -> Frames:
+    """By rule from ``explanations`` (stock_code, year, indicator, source, path1,
+    path2, is_vague, conflict), or without that from the evidence alone; what has
+    none is left to "other"."""
+    every = asked_about(f["outliers"], f["anomalies"]).select(*KEY)
+    if "explanations" in f:
+        known = every.join(f["explanations"], KEY, "left")
+    else:
+        said = f["evidence"].select("stock_code", "year", "indicator", F.col("summary").alias("path1"), "is_vague")
+        known = every.join(said, ["stock_code", "year", "indicator"], "left").withColumns({"path2": F.lit(None).cast("string"), "conflict": F.lit(False)})
+    return {"attribution": reasoning.rule_probabilities(known.fillna(False, ["is_vague", "conflict"]))}
+
+
+@stage("scores", "good", "outliers", "anomalies", "attribution")
 def _scores(f: Frames) -> Frames:
     c, b = scoring.deviation_impacts(f["outliers"], f["attribution"]), scoring.check_impacts(f["anomalies"], f["attribution"])
-    named = c.select("stock_code", "year", F.col("indicator").alias("name"), "impact").unionByName(b.select("stock_code", "year", F.col("check_name").alias("name"), "impact"))
-    return {"scores": scoring.scores(f["good"], c, b), "impacts": named}
+    return {"scores": scoring.scores(f["good"], c, b), "impacts": named_impacts(c, b)}
+
+
+def named_impacts(c: DataFrame, b: DataFrame) -> DataFrame:
+    """(stock_code, year, name, source, impact) of both kinds."""
+    one = lambda df, name, source: df.select("stock_code", "year", F.col(name).alias("name"), F.lit(source).alias("source"), "impact")
+    return one(c, "indicator", "C").unionByName(one(b, "check_name", "B+"))
 
 
-@stage("reports")
+@stage("reports", "scores", "outliers", "anomalies", "attribution", "evidence", "impacts", "peers", "blocked")
 def _reports(f: Frames) -> Frames:
-    return {"reports": report.assemble(f["scores"], report.items(f["outliers"], f["anomalies"]), report.points(f["impacts"]), f["blocked"])}
+    rows = report.explained(report.items(f["outliers"], f["anomalies"]), f["attribution"], f["evidence"])
+    return {"reports": report.assemble(f["scores"], rows, report.points(f["impacts"]), f["peers"], f["blocked"])}
+
+
+def _stored(spark: SparkSession, folder: str) -> Frames:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files_ = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return {s.getPath().getName(): spark.read.parquet(s.getPath().toString()) for s in files_.listStatus(path)} if files_.exists(path) else {}
 
 
 def run(spark: SparkSession, inputs: Frames, work: str, start: str | None = None, skip: tuple[str, ...] = ()) -> Frames:
     """All frames after the stages from ``start`` on, less ``skip``, for all companies
-    at once.  ``inputs`` has facts, tags and explanations."""
+    at once.  ``inputs`` has tags and either documents or facts, and may have
+    explanations.  A stage that lacks a frame, since one before it was skipped, is
+    left out."""
     if start is not None and start not in STAGES:
         raise KeyError(start)
-    frames, running = dict(inputs), start is None
-    jvm = spark.sparkContext._jvm
-    for name, f in STAGES.items():
-        running |= name == start
-        folder = f"{work}/{name}"
-        if name in skip:
-            continue
-        if running:
-            for made, df in f(frames).items():
-                df.write.mode("overwrite").parquet(f"{folder}/{made}")
-                frames[made] = spark.read.parquet(f"{folder}/{made}")
-        else:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            for s in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path):
-                frames[s.getPath().getName()] = spark.read.parquet(s.getPath().toString())
-    return frames
+    frames, names = dict(inputs), list(STAGES)
+    begin = names.index(start) if start else 0
+    for name in names[:begin]:
+        if name not in skip:
+            frames |= _stored(spark, f"{work}/{name}")
+    left = [n for n in names[begin:] if n not in skip]
+
+    def done(name: str) -> Frames:
+        out = {}
+        for made, df in STAGES[name](dict(frames)).items():
+            df.write.mode("overwrite").parquet(f"{work}/{name}/{made}")
+            out[made] = spark.read.parquet(f"{work}/{name}/{made}")
+        return out
+
+    with ThreadPoolExecutor(4) as pool:
+        running: dict = {}
+        while True:
+            for name in [n for n in left if NEEDS[n] <= frames.keys()]:
+                left.remove(name)
+                running[pool.submit(done, name)] = name
+            if not running:
+                return frames
+            for future in wait(running, return_when=FIRST_COMPLETED).done:
+                del running[future]
+                frames |= future.result()

@@ -265,14 +265,58 @@ def test_tables_over_pages_and_blocks(spark):
 def test_points_and_report(spark):
     import json
 
-    impacts = spark.createDataFrame([("a", 2024, "毛利率", 2.0), ("a", 2024, "净利率", -1.0), ("a", 2024, "x", 0.0)], f"{KEY}, name string, impact double")
+    impacts = spark.createDataFrame([("a", 2024, "毛利率", "C", 2.0), ("a", 2024, "净" * 60, "B+", -1.0), ("a", 2024, "x", "C", 0.0)], f"{KEY}, name string, source string, impact double")
     points = report.points(impacts)
     scores = spark.createDataFrame([("a", 2024, 99.0, "high", 1.0, 0.0)], f"{KEY}, final_score double, tier string, c_impact double, bplus_impact double")
-    anomalies = spark.createDataFrame([("a", 2024, "C", "毛利率", "extreme", 0.5)], f"{KEY}, source string, name string, severity string, value double")
+    items = spark.createDataFrame([("a", 2024, "C", "毛利率", "extreme", 0.5), ("a", 2024, "B+", "存贷双高", "abnormal", 0.1)], f"{KEY}, source string, name string, severity string, value double")
+    causes = spark.createDataFrame([("a", 2024, "毛利率", "C", {"经营恶化": 0.3, "行业特性": 0.7})], f"{KEY}, indicator string, source string, probabilities map<string,double>")
+    said = spark.createDataFrame([("a", 2024, "毛利率", "s", 7)], f"{KEY}, indicator string, summary string, page_number int")
+    anomalies = report.explained(items, causes, said)
+    peers_ = spark.createDataFrame([("a", "q", 0.5, 2), ("a", "p", 0.9, 1)], "stock_code string, peer_code string, similarity double, rank int")
     blocked = spark.createDataFrame([("b", 2024, config.BLOCKED)], f"{KEY}, message string")
-    got = {r["stock_code"]: json.loads(r["report"]) for r in report.assemble(scores, anomalies, points, blocked).collect()}
+    got = {r["stock_code"]: json.loads(r["report"]) for r in report.assemble(scores, anomalies, points, peers_, blocked).collect()}
     assert got["a"]["overall"]["tier"] == "high" and len(got["a"]["points"]["bull"]) == len(got["a"]["points"]["bear"]) == 1
+    assert got["a"]["points"]["bear"][0].endswith("（来源：B+）") and len(got["a"]["points"]["bear"][0]) == 50
+    assert [p["peer_code"] for p in got["a"]["overall"]["peer_comparison"]] == ["p", "q"]
+    by = {a["name"]: a for a in got["a"]["core_anomalies"]}
+    assert by["毛利率"]["probabilities"] == {"行业特性": 0.7, "经营恶化": 0.3} and by["毛利率"]["page_number"] == 7 and "probabilities" not in by["存贷双高"]
     assert got["b"]["message"] == config.BLOCKED
+    leaves = report.leaves(report.assemble(scores, anomalies, points, peers_, blocked))
+    assert sorted(r["module"] for r in leaves.collect()) == ["anomaly", "anomaly", "bear", "blocked", "bull", "cause", "cause", "overall", "overall", "overall", "peer", "peer"]
+
+
+def test_keywords_are_found_within_chinese(spark):
+    rows = spark.createDataFrame([(1, "本期毛利率下降"), (2, "净利率与毛利率"), (3, "毛利"), (4, None), (5, "")], "key int, text string")
+    got = {(r["key"], r["indicator"], r["hits"]) for r in reasoning.relevant_sections(rows, [("毛利率", "毛利率"), ("净利率", "净利率"), ("下降", "毛利率")]).collect()}
+    assert got == {(1, "毛利率", 2), (2, "毛利率", 1), (2, "净利率", 1)}
+    assert reasoning.relevant_sections(rows, []).count() == 0
+
+
+def test_evidence_is_the_first_sentence_that_names_it(spark):
+    rows = spark.createDataFrame([("a", 2024, "t", "无关。毛利率因多种因素下降！毛利率再降", 9), ("a", 2024, "t", "毛利率上升。", 12), ("b", 2024, "t", "毛利率", 1), ("a", 2023, "t", None, 1)], "stock_code string, year int, title string, content string, page_number int")
+    asked = spark.createDataFrame([("a", 2024, "毛利率"), ("a", 2024, "净利率")], f"{KEY}, indicator string")
+    got = reasoning.evidence(asked, rows, config.KEYWORDS).collect()
+    assert [(r["source_text"], r["page_number"], r["is_vague"]) for r in got] == [("毛利率因多种因素下降！", 9, True)]
+
+
+def test_levels_of_cash_ratios(spark):
+    w = wide(spark, [(100, -1, 20, 100, 0, 1, 0), (100, 50, 50, 100, 0, 1, 0), (100, 100, 100, 100, 0, 1, 0), (100, 201, 151, 100, 0, 1, 0)])
+    got = {(r["year"], r["ratio"]): r["level"] for r in logic_checks.cash_levels(w).collect()}
+    assert [got[y, "cash_to_profit"] for y in range(2020, 2024)] == [got[y, "cash_to_revenue"] for y in range(2020, 2024)] == ["severe", "low", "normal", "high"]
+
+
+def test_parts_of_a_report(spark):
+    lines = ["前言", "第二节 公司简介", "x", "合并资产负债表", "1", "资产负债表附注", "y", "第四节 经营情况讨论与分析", "其他", "z"]
+    rows = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "doc int, pos int, line string")
+    got = [r["part"] for r in documents.parts(rows, F.char_length("line") > 1).orderBy("pos").collect()]
+    assert got == [None, *["company_overview"] * 2, *["financial_data"] * 2, *["footnotes"] * 2, *["management_discussion"] * 3]
+
+
+def test_facts_of_answers(spark):
+    read = lambda raw: one(spark, reasoning.extract_facts(F.lit(raw)))
+    assert read('```json\n["一", "强烈看好"]\n```') == ["一"] and read("1. 一\n- 二\n\n未找到客观数据") == ["一", "二"] and read("未找到客观数据。") == []
+    assert one(spark, reasoning.read_probabilities(F.lit('{"probabilities": {"a": 0.5, "其他": 0.5}}'))) is None
+    assert len(one(spark, reasoning.read_hypotheses(F.lit("[" + ",".join(['{"hypothesis": "h"}'] * 6) + "]")))) == 4
 
 
 def test_file_names(spark):

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,18 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
+def shielded(operator):
+    """An operator that calls its own columns ``__name``, for frames that have columns
+    so called: these are out of its way while it runs."""
+
+    @wraps(operator)
+    def run(df: DataFrame, *args, **kwargs) -> DataFrame:
+        own = {c: f"{c.strip('_')}_own{i}" for i, c in enumerate(df.columns) if c.startswith("__")}
+        return operator(df.withColumnsRenamed(own), *args, **kwargs).withColumnsRenamed({v: k for k, v in own.items()})
+
+    return run
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -3,247 +3,348 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, gram_hashes, partitions, remove, stage_path, staged, without, word_hashes
-
-#: Words of the short grams that anchor windows; every window has WINDOW - GRAM + 1
-#: of them and is anchored at the one with the least hash.
-WINDOW, GRAM = 13, 3
-#: Bits of the filter that says which windows need a full comparison: its size in
-#: memory is fixed.  A fuller filter lets more windows through and changes no result.
-FILTER_BITS = 26
-CHUNK = 1 << 20
-
-
-def _chunks(batch: pa.RecordBatch, name: str, limit: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of a batch with at most about ``limit`` bytes of text each."""
-    texts = [t or b"" for t in batch.column(name).cast(pa.binary()).to_pylist()]
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
-            yield batch.slice(at, i - at), texts[at:i]
-            at, size = i, 0
-        size += len(t)
-    if at < len(texts):
-        yield batch.slice(at), texts[at:]
-
-
-def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
-    have = 1
-    while have * 2 <= w:
-        x = np.minimum(x[:-have], x[have:])
-        have *= 2
-    return np.minimum(x[: len(x) - (w - have)], x[w - have :]) if w > have else x
-
-
-def _windows(texts: list[bytes], window: int, gram: int):
-    """For all windows of all texts: index of the first word and the anchor; and
-    the hashes of words with the text of each."""
+from .common import SPACE, chunks, discard, gram_hashes, partitions, shielded, staged, without, word_hashes
+
+#: Words of a window.
+WINDOW = 13
+#: Bytes of text that are fingerprinted together, and for each slice of fingerprints.
+PIECE, SLICE = 8 << 20, 8 << 20
+#: The id that stands for a missing one: later than all.
+LAST = np.iinfo(np.int64).max
+ROW = "piece long, doc_id long, x long, text string"
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Ascending uint64 or any int64 numbers as the planes of their differences' bytes:
+    planes of zeros, which most are, take no room once compressed."""
+    v = values.view(np.uint64)
+    return np.diff(v, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _plain(values: np.ndarray) -> bytes:
+    """Numbers in any order, as the planes of their bytes."""
+    return values.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unplain(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
+def _least(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct fingerprints in order with the least id of each."""
+    order = np.argsort(h, kind="stable")
+    h, first = h[order], first[order]
+    at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, np.int64)
+    return h[at], np.minimum.reduceat(first, at) if len(at) else first
+
+
+def _windows(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fingerprint, row, first word) of all windows of all texts."""
     words, doc = word_hashes(texts)
-    n = len(words) - window + 1
-    if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.uint64), words, doc
-    free, _ = gram_hashes(words, np.zeros(len(words), np.int64), gram)
-    anchor = _sliding_min(free, window - gram + 1)
-    first = np.flatnonzero(doc[:n] == doc[window - 1 :])
-    return first, anchor[first], words, doc
+    h, at = gram_hashes(words, doc, window)
+    row = doc[at]
+    return h, row, at - np.searchsorted(doc, row)
 
 
-def _lists(values: np.ndarray, doc: np.ndarray, n: int, kind=pa.int64()) -> pa.ListArray:
-    """Values, in the order of their rows, as one list for each of n rows."""
-    offsets = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=n)))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64) if values.dtype == np.uint64 else values, kind))
+def _ids(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("doc_id").fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def anchors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(x, fp): the anchors of the windows of each row's text; x names the text."""
+def _pieces(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, x, text) in pieces of about PIECE bytes of text, written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, size = uuid.uuid4().int >> 65, 0
         for whole in batches:
-            for batch, texts in _chunks(whole, "text"):
-                first, anchor, _, doc = _windows(texts, window, gram)
-                own = doc[first]
-                new = np.ones(len(first), bool)
-                new[1:] = (anchor[1:] != anchor[:-1]) | (own[1:] != own[:-1])
-                yield pa.RecordBatch.from_arrays([batch.column("x"), _lists(anchor[new], own[new], len(texts))], names=["x", "fps"])
+            for batch, texts in chunks(whole, "text"):
+                if size > PIECE:
+                    piece, size = uuid.uuid4().int >> 65, 0
+                size += sum(map(len, texts))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(texts), piece, np.int64)), *batch.columns], names=["piece", *batch.schema.names])
 
-    return docs.select("x", "text").mapInArrow(run, "x long, fps array<long>").select("x", F.explode("fps").alias("fp"))
+    return staged(docs.select("doc_id", "x", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, ROW), "pieces")
 
 
 class FingerprintIndex:
-    """Sorted, immutable runs of the anchor fingerprints of earlier batches.
-
-    A run is a table bucketed and sorted by fingerprint with one row (fp, lo, hi)
-    for each: the least and greatest name of the texts that hold it.  A new batch
-    becomes a run and is merge-joined with each older run, bucket by bucket,
-    without moving the older one.  When FAN_IN runs of a level have gathered they
-    are compacted into one of the next level, so a batch meets a number of runs
-    that grows with the logarithm of the number of batches.
+    """Sorted, immutable runs of the window hashes of earlier batches.
+
+    A run holds, for each slice of the hashes' range, the distinct hashes in order
+    and the least id of a document that has each.  A new batch's hashes are merged
+    with the runs slice by slice, which gives what the batch repeats and the batch's
+    own run in one pass.  When FAN_IN runs of a level have gathered they are
+    compacted into one of the next level, so a batch meets a number of runs that
+    grows with the logarithm of the number of batches.
+
+    ``bits`` sets the number of slices; one slice of all that the index is to hold
+    must fit a task.  Fingerprints have 64 bits; whoever removes anything verifies
+    the words (:func:`verified`).
     """
 
-    FAN_IN = 3
-
-    def __init__(self, spark: SparkSession, buckets: int | None = None):
-        self.spark, self.buckets, self.levels = spark, buckets or partitions(spark), []
-
-    def _write(self, rows: DataFrame) -> str:
-        path = stage_path(self.spark, "run")
-        name = path.rpartition("/")[2].replace("-", "_")
-        rows.repartition(self.buckets, "fp").write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", path).option("parquet.writer.version", "v2").format("parquet").saveAsTable(name)
-        return name
-
-    def _drop(self, name: str) -> None:
-        path = self.spark.sql(f"describe formatted {name}").where("col_name = 'Location'").first()["data_type"]
-        self.spark.sql(f"drop table {name}")
-        remove(self.spark, path)
-
-    def add(self, found: DataFrame) -> DataFrame:
-        """Add a batch's (x, fp); returns, written down, the fingerprints of the
-        batch that two different texts hold, of the batch or of history."""
-        own = self._write(found.groupBy("fp").agg(F.min("x").alias("lo"), F.max("x").alias("hi")))
-        new = self.spark.table(own)
-        shared = new.where("lo <> hi").select("fp")
+    FAN_IN = 2
+    RUN = "slice long, h binary, first binary"
+
+    def __init__(self, spark: SparkSession, bits: int = 6, window: int = WINDOW):
+        self.spark, self.bits, self.window, self.levels = spark, bits, window, []
+
+    def _emitted(self, pieces: DataFrame) -> DataFrame:
+        """(slice, piece, h, first): the distinct hashes of each piece, once each."""
+        window, bits = self.window, self.bits
+
+        def emit(piece: int, held: list) -> pa.RecordBatch:
+            h, first = _least(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
+            cuts = np.searchsorted(h >> np.uint64(63 - bits) >> np.uint64(1), np.arange((1 << bits) + 1, dtype=np.uint64))
+            some = np.flatnonzero(np.diff(cuts))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(some, pa.int64()), pa.array(np.full(len(some), piece, np.int64)), pa.array([pack(h[cuts[i] : cuts[i + 1]]) for i in some], pa.binary()), pa.array([_plain(first[cuts[i] : cuts[i + 1]]) for i in some], pa.binary())],
+                names=["slice", "piece", "h", "first"],
+            )
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, piece = [], None
+            for whole in batches:
+                mine = whole.column("piece").to_numpy()
+                cuts = np.flatnonzero(np.concatenate(([True], mine[1:] != mine[:-1], [True]))) if len(mine) else ()
+                for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+                    if held and piece != mine[start]:
+                        yield emit(piece, held)
+                        held = []
+                    piece = int(mine[start])
+                    for batch, texts in chunks(whole.slice(start, end - start), "text"):
+                        h, row, _ = _windows(texts, window)
+                        held.append((h, _ids(batch)[row]))
+            if held:
+                yield emit(piece, held)
+
+        return pieces.mapInArrow(run, "slice long, piece long, h binary, first binary")
+
+    def add(self, pieces: DataFrame, use, keep: bool = True) -> DataFrame:
+        """Add a batch, in pieces; returns what ``use`` makes, and writes, of its finds.
+
+        Finds are (piece, h, first): the hashes of each piece of which a smaller id
+        than the piece has is in the batch or in history, with that id.  Pieces
+        without any are left out.  ``keep`` false makes no run of a batch that none
+        will follow.
+        """
+        sent = self._emitted(pieces).withColumn("old", F.lit(False))
         for level in self.levels:
-            for name in level:
-                old = self.spark.table(name).select("fp", F.col("lo").alias("l"), F.col("hi").alias("h"))
-                shared = shared.union(new.hint("merge").join(old, "fp").where("lo <> l or hi <> h or l <> h").select("fp"))
-        out = staged(shared.select("fp"), "shared")
-        self._push(own, 0)
+            for run in level:
+                sent = sent.unionByName(run.select("slice", F.lit(None).cast("long").alias("piece"), "h", "first", F.lit(True).alias("old")))
+
+        def merge(t: pa.Table) -> pa.Table:
+            old = np.array(t["old"].to_pylist(), bool)
+            hs, firsts = [unpack(x) for x in t["h"].to_pylist()], [_unplain(x) for x in t["first"].to_pylist()]
+            own = [i for i in range(len(hs)) if not old[i]]
+            out = []
+            if own:
+                h, first = _least(np.concatenate([hs[i] for i in own]), np.concatenate([firsts[i] for i in own]))
+                if keep:
+                    out.append((None, h, first))
+                best = first.copy()
+                for i in np.flatnonzero(old):
+                    at = np.minimum(np.searchsorted(hs[i], h), len(hs[i]) - 1)
+                    best = np.where(hs[i][at] == h, np.minimum(best, firsts[i][at]), best)
+                for i in own:
+                    found = best[np.searchsorted(h, hs[i])]
+                    more = found < firsts[i]
+                    if more.any():
+                        out.append((t["piece"][i].as_py(), hs[i][more], found[more]))
+            return pa.table({"slice": pa.array([t["slice"][0].as_py()] * len(out), pa.int64()), "piece": pa.array([x[0] for x in out], pa.int64()), "h": pa.array([pack(x[1]) for x in out], pa.binary()), "first": pa.array([_plain(x[2]) for x in out], pa.binary())})
+
+        both = staged(sent.groupBy("slice").applyInArrow(merge, "slice long, piece long, h binary, first binary"), "run")
+        out = use(both.where("piece is not null").select("piece", "h", "first"))
+        if not keep:
+            discard(both)
+            return out
+        # the run keeps the file of both; compaction leaves the other rows behind
+        run = both.where("piece is null").select("slice", "h", "first")
+        run._finsift_path = both._finsift_path
+        self._push(run, 0)
         return out
 
-    def _push(self, name: str, level: int) -> None:
+    def _push(self, run: DataFrame, level: int) -> None:
         if len(self.levels) == level:
             self.levels.append([])
-        self.levels[level].append(name)
-        if len(self.levels[level]) == self.FAN_IN:
-            runs, self.levels[level] = self.levels[level], []
-            rows = self.spark.table(runs[0])
-            for r in runs[1:]:
-                rows = rows.union(self.spark.table(r))
-            merged = self._write(rows.groupBy("fp").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")))
-            for r in runs:
-                self._drop(r)
-            self._push(merged, level + 1)
+        self.levels[level].append(run)
+        if len(self.levels[level]) < self.FAN_IN:
+            return
+
+        def merge(t: pa.Table) -> pa.Table:
+            h, first = _least(np.concatenate([unpack(x) for x in t["h"].to_pylist()]), np.concatenate([_unplain(x) for x in t["first"].to_pylist()]))
+            return pa.table({"slice": pa.array([t["slice"][0].as_py()], pa.int64()), "h": pa.array([pack(h)], pa.binary()), "first": pa.array([_plain(first)], pa.binary())})
+
+        runs, self.levels[level] = self.levels[level], []
+        every = runs[0]
+        for r in runs[1:]:
+            every = every.unionByName(r)
+        merged = staged(every.groupBy("slice").applyInArrow(merge, self.RUN), "run")
+        discard(*runs)
+        self._push(merged, level + 1)
 
     def drop(self) -> None:
-        for level in self.levels:
-            for name in level:
-                self._drop(name)
+        discard(*[run for level in self.levels for run in level])
         self.levels = []
 
 
-def _filter(numbers: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of fixed size of the low bits of a column of numbers."""
-    low = F.col(numbers.columns[0]).bitwiseAND(F.lit((1 << bits) - 1))
-    rows = numbers.select(low.alias("b")).groupBy((F.col("b") / 32768).cast("int").alias("page")).agg(F.bitmap_construct_agg((F.col("b") % 32768).cast("int")).alias("bits"))
-    out = np.zeros((1 << bits) // 8, np.uint8)
-    for page, data in rows.toLocalIterator():
-        out[page * 4096 : page * 4096 + len(data)] = np.frombuffer(data, np.uint8)
+def _claims(pieces: DataFrame, hits: DataFrame, window: int) -> DataFrame:
+    """(doc_id, x, first, at, n, said): the runs of windows of a row that the index
+    finds in one earlier document ``first``: first window, their number, and the
+    words they cover, joined by single spaces."""
+
+    def run(t: pa.Table, found: pa.Table) -> pa.Table:
+        parts = [p for whole in t.combine_chunks().to_batches() for p in chunks(whole, "text")]
+        windows = [(*_windows(texts, window), _ids(batch)) for batch, texts in parts]
+        have, first = _least(np.concatenate([w[0] for w in windows]), np.concatenate([w[3][w[1]] for w in windows]))
+        for h, f in zip(found["h"].to_pylist(), found["first"].to_pylist(), strict=True):
+            first[np.searchsorted(have, unpack(h))] = _unplain(f)
+        out = []
+        for (batch, texts), (h, row, at, ids) in zip(parts, windows, strict=True):
+            least = first[np.searchsorted(have, h)]
+            hit = np.flatnonzero(least < ids[row])
+            r, a, f = row[hit], at[hit], least[hit]
+            if not len(hit):
+                continue
+            new = np.concatenate(([True], (r[1:] != r[:-1]) | (f[1:] != f[:-1]) | (a[1:] != a[:-1] + 1)))
+            starts = np.flatnonzero(new)
+            n = np.diff(np.concatenate((starts, [len(hit)])))
+            split, said, last = None, [], -1
+            for k, size in zip(starts.tolist(), n.tolist(), strict=True):
+                if r[k] != last:
+                    last, split = r[k], texts[r[k]].split()
+                said.append(b" ".join(split[a[k] : a[k] + size + window - 1]))
+            rows = pa.array(r[starts])
+            out.append(pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("x").take(rows), pa.array(f[starts]), pa.array(a[starts]), pa.array(n), pa.array(said, pa.binary()).cast(pa.string())], names=names))
+        return pa.Table.from_batches(out, schema) if out else schema.empty_table()
+
+    names = ["doc_id", "x", "first", "at", "n", "said"]
+    schema = pa.schema([(c, pa.string() if c == "said" else pa.int64()) for c in names])
+    return pieces.groupBy("piece").cogroup(hits.groupBy("piece")).applyInArrow(run, "doc_id long, x long, first long, at long, n long, said string")
+
+
+def _normal(text: Column) -> Column:
+    """Words joined by single spaces, with one before and after."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(text, rf"[{SPACE}]+", " ")), F.lit(" "))
+
+
+def verified(claims: DataFrame, docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows (doc_id, x, at, n) of ``claims`` whose words really stand in the
+    document ``first`` of ``docs`` (doc_id, text), compared word by word.
+
+    A run of windows is looked for as a whole; one that is not there in one piece
+    (its windows may stand in different places) is looked for window by window.
+    """
+    wanted = claims.select(F.col("first").alias("doc_id")).distinct()
+    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text").join(wanted, "doc_id", "left_semi")
+    texts = staged(texts.select(F.col("doc_id").alias("__first"), _normal(F.col("text")).alias("__held")), "held")
+    holds = (F.col("first") == F.col("__first")) & F.contains(F.col("__held"), F.concat(F.lit(" "), F.col("said"), F.lit(" ")))
+    whole = staged(claims.join(texts, holds, "left_semi").select("doc_id", "x", "first", "at", "n"), "whole")
+    out = whole.select("doc_id", "x", "at", "n")
+    if whole.count() < claims.count():
+        same = [claims[c].eqNullSafe(whole[c]) for c in ("doc_id", "x", "first", "at", "n")]
+        rest = claims.join(whole, same, "left_anti").select("doc_id", "x", "first", "at", F.split("said", " ", -1).alias("w"), F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("k"))
+        rest = rest.select("doc_id", "x", "first", (F.col("at") + F.col("k")).alias("at"), F.lit(1).cast("long").alias("n"), F.array_join(F.slice("w", F.col("k") + 1, F.lit(window)), " ").alias("said"))
+        out = staged(out.unionByName(rest.join(texts, holds, "left_semi").select("doc_id", "x", "at", "n")), "whole")
+        discard(whole)
+    discard(texts)
     return out
 
 
-def _passes(have: np.ndarray, x: np.ndarray, bits: int) -> np.ndarray:
-    b = x & np.uint64((1 << bits) - 1)
-    return (have[b >> np.uint64(3)] >> (b & np.uint64(7)).astype(np.uint8)) & 1 == 1
+def _found(index: FingerprintIndex, batch: DataFrame, keep: bool = True) -> DataFrame:
+    """Add a batch to the index; returns, written down, what it claims to repeat."""
+    pieces = _pieces(batch)
+    claims = index.add(pieces, lambda hits: staged(_claims(pieces, hits, index.window), "claims"), keep)
+    discard(pieces)
+    return claims
 
 
-def _suspects(docs: DataFrame, shared, firsts, window: int, gram: int, bits: int) -> DataFrame:
-    """(doc_id, at, h, g): every window whose anchor passes the filter of shared
-    fingerprints, of rows that pass the filter of first copies, with two
-    independent hashes of its words.  ``at`` is its first word, below 32 bits of
-    the text's name."""
+def _cuts(claims: DataFrame, corpus: DataFrame, window: int) -> DataFrame:
+    cuts = verified(claims, corpus, window)
+    return staged(cuts.groupBy("doc_id", "x").agg(F.collect_list(F.struct(F.col("at").cast("int").alias("at"), F.col("n").cast("int").alias("n"))).alias("cut")), "cuts")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            own_row = whole.column("r").to_numpy().view(np.uint64)
-            for batch, texts in _chunks(whole.filter(pa.array(_passes(firsts.value, own_row, bits))), "text"):
-                first, anchor, words, doc = _windows(texts, window, gram)
-                first = first[_passes(shared.value, anchor, bits)]
-                own = doc[first]
-                h = g = np.empty(0, np.uint64)
-                if len(first):
-                    flat = np.zeros(len(words), np.int64)
-                    h, g = gram_hashes(words, flat, window, 1)[0][first], gram_hashes(words, flat, window, 2)[0][first]
-                name = batch.column("x").to_numpy().view(np.uint64)[own] << np.uint64(32)
-                at = (first - np.searchsorted(doc, own)).astype(np.uint64) | name
-                n = len(texts)
-                g = (g >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(at, own, n), _lists(h, own, n), _lists(g, own, n, pa.int32())], names=["doc_id", "at", "h", "g"])
-
-    out = docs.select("doc_id", "x", "r", "text").mapInArrow(run, "doc_id long, at array<long>, h array<long>, g array<int>")
-    return out.where(F.size("at") > 0).select("doc_id", F.inline(F.arrays_zip("at", "h", "g")))
-
-
-def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = 3, bits: int = FILTER_BITS) -> DataFrame:
-    """(doc_id, name, cut, whole) for the rows that lose words: ``cut`` lists the
-    first words of the windows that also start in a document with a smaller id,
-    or ``whole`` says that an equal text came earlier; name is 32 bits of x.
-
-    ``docs`` has doc_id, text, x and y (hashes of the text).  Batches, dealt by a
-    hash of the text, pass through the index; then the windows at shared anchors
-    are compared in full, by 96 bits, among the first copies of all texts.
+
+def deduplicate(index: FingerprintIndex, batch: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(doc_id, x, cut) of the rows of a new batch that lose words: ``cut`` has the
+    (first window, number of windows) found, and verified, in a document of a
+    smaller id, of the batch or of what the index holds.  The batch becomes part of
+    the index.
+
+    ``batch`` has doc_id, text and x, a hash of the text; ``corpus`` (doc_id, text)
+    has the texts of all batches so far, this one's too, and only those that hold a
+    find are read from it.  Batches in order of doc_id give the cuts of one batch
+    with all; what an earlier batch keeps is not looked at again.
     """
-    spark = docs.sparkSession
-    index = FingerprintIndex(spark)
-    shared = [index.add(anchors(docs.where(F.pmod("x", F.lit(batches)) == k), window, gram)) for k in range(batches)]
-    every = shared[0]
-    for s in shared[1:]:
-        every = every.union(s)
-    fps = spark.sparkContext.broadcast(_filter(every, bits))
-    index.drop()
-    texts = staged(docs.groupBy("x", "y").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "texts")
-    row = F.xxhash64("first", "x")
-    firsts = spark.sparkContext.broadcast(_filter(texts.select(row.alias("r")), bits))
-    discard(*shared)
-    found = _suspects(docs.withColumn("r", F.xxhash64("doc_id", "x")), fps, firsts, window, gram, bits)
-    found = found.withColumn("first", F.min("doc_id").over(Window.partitionBy("h", "g")))
-    earlier = F.col("first").isNotNull() & (F.col("doc_id").isNull() | (F.col("first") < F.col("doc_id")))
-    late = found.where(earlier).select("doc_id", F.shiftrightunsigned("at", 32).alias("name"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("at"), F.lit(False).alias("whole"))
-    copied = docs.select("doc_id", "x", "y").join(texts.where("n > 1"), ["x", "y"]).where(earlier)
-    lost = late.union(copied.select("doc_id", F.col("x").bitwiseAND(F.lit(0xFFFFFFFF)).alias("name"), F.lit(None).cast("int"), F.lit(True)))
-    return lost.groupBy("doc_id", "name").agg(F.collect_list("at").alias("cut"), F.bool_or("whole").alias("whole"))
+    return _cuts(_found(index, batch), corpus, index.window)
+
+
+def batches_by_id(docs: DataFrame, batches: int) -> list:
+    """Conditions on doc_id that deal ``docs`` into that many batches in its order,
+    the last with the null ids; bounds are approximate quantiles."""
+    at = [k / batches for k in range(1, batches)]
+    cuts = sorted(set(docs.where("doc_id is not null").approxQuantile("doc_id", at, 0.01))) if at else []
+    c = F.col("doc_id")
+    edges = [None, *[int(x) for x in cuts], None]
+    out = []
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        cond = F.lit(True) if high is None else c <= high
+        cond = cond if low is None else cond & (c > low)
+        out.append(F.coalesce(cond, F.lit(high is None)))
+    return out
 
 
+@shielded
 def substring_dedup(docs: DataFrame, window: int = WINDOW, batches: int = 3) -> DataFrame:
     """``docs`` with n_words, n_removed, kept_text and kept_sha256: each text less
     the words covered by a window of ``window`` words that also starts in a
     document with a smaller doc_id.
 
     Windows are judged on the input.  Words are runs of non-space characters,
-    unchanged; the kept ones are joined by one space.
+    unchanged; the kept ones are joined by one space.  The documents pass through
+    a :class:`FingerprintIndex` in ``batches`` by doc_id.
 
     A null or empty text has no words; a text shorter than a window keeps all;
     a null doc_id counts as later than any other, and rows with equal ids do not
     cut each other; an empty table gives an empty one.  Columns of ``docs`` that
     bear an output's name are replaced.
     """
-    base = without(docs, "n_words", "n_removed", "kept_text", "kept_sha256", "x", "y", "cut", "whole")
-    named = base.withColumn("x", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("y", F.xxhash64(F.lit(1), F.coalesce("text", F.lit(""))))
-    lost = repeated_windows(named.select("doc_id", "text", "x", "y"), window, GRAM, batches)
-    lost = lost.select(F.col("doc_id").alias("__id"), F.col("name").alias("__x"), "cut", "whole")
-    joined = named.join(lost, named["doc_id"].eqNullSafe(lost["__id"]) & (named["x"].bitwiseAND(F.lit(0xFFFFFFFF)) == lost["__x"]), "left").drop("x", "y", "__id", "__x")
+    spark = docs.sparkSession
+    base = without(docs, "n_words", "n_removed", "kept_text", "kept_sha256")
+    named = base.withColumn("__x", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = named.select("doc_id", "text", F.col("__x").alias("x"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    index = FingerprintIndex(spark, int(max(np.ceil(np.log2(max(1, size / SLICE))), np.log2(partitions(spark)), 0)), window)
+    claims, parts = None, batches_by_id(rows, batches)
+    for k, part in enumerate(parts):
+        found = _found(index, rows.where(part), k < len(parts) - 1)
+        claims = found if claims is None else claims.unionByName(found)
+    index.drop()
+    # all batches are verified in one pass over the texts
+    lost = _cuts(claims, rows, window).select(F.col("doc_id").alias("__id"), F.col("x").alias("__y"), F.col("cut").alias("__cut"))
+    joined = named.join(lost, named["doc_id"].eqNullSafe(lost["__id"]) & (named["__x"] == lost["__y"]), "left").drop("__x", "__id", "__y")
     names = base.columns
     schema = base.withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "kept_text": F.lit(""), "kept_sha256": F.lit("")}).schema
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole_batch in parts:
-            for batch, texts in _chunks(whole_batch, "text"):
+            for batch, texts in chunks(whole_batch, "text"):
                 n, gone, kept = [], [], []
-                for t, cut, whole in zip(texts, batch.column("cut"), batch.column("whole").to_pylist(), strict=True):
+                for t, cut in zip(texts, batch.column("__cut"), strict=True):
                     words = t.split()
                     n.append(len(words))
-                    if whole and len(words) >= window:
-                        words = []
-                    elif cut.is_valid:
-                        at = cut.values.to_numpy()
-                        edge = np.bincount(at, minlength=len(words) + 1) - np.bincount(at + window, minlength=len(words) + 1)
+                    if cut.is_valid:
+                        at, k = (cut.values.field(c).to_numpy() for c in ("at", "n"))
+                        edge = np.bincount(at, minlength=len(words) + 1) - np.bincount(at + k + window - 1, minlength=len(words) + 1)
                         words = list(compress(words, np.cumsum(edge[: len(words)]) == 0))
                     gone.append(n[-1] - len(words))
                     kept.append(b" ".join(words))

@@ -5,12 +5,11 @@ from __future__ import annotations
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, staged
+from .common import WORD, partitions, shielded, staged
 
 #: Documents that one leaf of the reduction tree rounds, and residuals that one
 #: inner node combines.
@@ -22,28 +21,36 @@ def word_count(name: str = "text"):
     return F.coalesce(F.regexp_count(F.col(name), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: pd.DataFrame, weights: tuple[float, ...], share: float = 1.0, most: float = 3.0) -> pd.DataFrame:
-    """Targets of sources, from one row (source, source_size) for each.
+def targets(sizes: DataFrame, weights: tuple[float, ...], share: float = 1.0, most: float = 3.0) -> DataFrame:
+    """``sizes`` (source, source_size, ..), a row for each source, with number and target.
 
-    Sources in code point order, null last, take ``weights`` in turn and share
-    ``share`` of all sizes.  A target stops at ``most`` times its source's size;
-    what is over goes to the others by weight until none is above.
+    Sources in code point order, null last, are numbered and take ``weights`` in
+    turn; they share ``share`` of all sizes.  A target stops at ``most`` times its
+    source's size; what is over goes to the others by weight until none is above.
+    Sources stay in Spark, however many: numbers come from the sizes of range
+    partitions, and each step of resharing is one sum.
     """
-    key = sizes["source"].map(lambda s: (s is None, s or ""))
-    out = sizes.loc[key.sort_values().index].reset_index(drop=True)
-    w = np.array([weights[i % len(weights)] for i in range(len(out))], float)
-    size = out["source_size"].to_numpy(float)
-    cap, target, open_ = most * size, np.zeros(len(out)), np.ones(len(out), bool)
-    left = share * size.sum()
-    while open_.any():
-        target[open_] = left * w[open_] / w[open_].sum()
-        over = open_ & (target > cap)
-        if not over.any():
+    spark = sizes.sparkSession
+    order = [F.col("source").isNull(), F.col("source")]
+    ranged = staged(sizes.repartitionByRange(partitions(spark), *order).withColumn("__part", F.spark_partition_id()), "sources")
+    parts = ranged.groupBy("__part").agg(F.count("*").alias("n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    parts = parts.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    at = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    out = ranged.join(parts, "__part").withColumn("number", F.col("__before") + at - 1).drop("__part", "__before")
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), (F.col("number") % len(weights)).cast("int"))
+    out = staged(out.withColumn("__weight", weight).withColumn("__cap", F.col("source_size") * F.lit(float(most))), "sources")
+    total = out.agg(F.sum("source_size")).first()[0] or 0
+    left, weighed = share * float(total), out.agg(F.sum("__weight")).first()[0] or 1.0
+    while True:
+        fair = F.lit(left) * F.col("__weight") / F.lit(weighed)
+        over = F.col("__cap") < fair
+        now = out.agg(F.sum(F.when(over, F.col("__cap"))).alias("cap"), F.sum(F.when(~over, F.col("__weight"))).alias("weight")).first()
+        rest = share * float(total) - (now["cap"] or 0.0)
+        if now["weight"] is None or (rest, now["weight"]) == (left, weighed):
             break
-        target[over] = cap[over]
-        left -= cap[over].sum()
-        open_ &= ~over
-    return out.assign(target=target)
+        left, weighed = rest, now["weight"]
+    return out.withColumn("target", F.least("__cap", fair)).drop("__weight", "__cap")
 
 
 def _uniform(seed: np.ndarray, salt: int) -> np.ndarray:
@@ -54,60 +61,31 @@ def _uniform(seed: np.ndarray, salt: int) -> np.ndarray:
     return (((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
 
 
-def pivotal_leaf(size: np.ndarray, p: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """Round a run of units that all start from one probability.
+def pivotal_pairs(size: np.ndarray, p: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Round units one pair after the other: the survivor of each meets the next unit.
 
-    The largest unit is paired with all the smaller ones taken together, which
-    share one probability; words move between the two, in a direction drawn so
-    that no expected count changes, until one side is integral.  The words taken
-    in all stay the same.  At most one unit, as a rule the smallest, stays
-    fractional.
+    Words move between the two, in a direction drawn so that neither's expected
+    count changes, until one is integral.  The words taken in all stay the same;
+    one unit at most stays fractional.
     """
-    p = p.copy()
-    rest = np.concatenate((np.cumsum(size[::-1])[::-1][1:], [0]))
-    k, n = 0, len(size)
-    while k < n - 1:
-        q, s, r = p[k], float(size[k]), float(rest[k])
-        if not 0 < q < 1:  # the rest has become integral: so is all that follows
-            break
-        up, down = min(s * (1 - q), r * q), min(s * q, r * (1 - q))  # words that can move to k, and from k
-        if u[k] * (up + down) < down:
-            p[k], after = q + up / s, q - up / r
-            mine = s * (1 - q) <= r * q
-            p[k], after = (1.0, after) if mine else (p[k], 0.0)
-        else:
-            p[k], after = q - down / s, q + down / r
-            mine = s * q <= r * (1 - q)
-            p[k], after = (0.0, after) if mine else (p[k], 1.0)
-        p[k + 1 :] = after
-        if not mine:
-            break
-        k += 1
-    return p
-
-
-def pivotal_pairs(size: np.ndarray, p: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """Round units of any probabilities: the survivor of each pair meets the next unit."""
-    p = p.copy()
-    held = 0
-    for j in range(1, len(p)):
-        a, b = p[held], p[j]
-        if not 0 < a < 1:
-            held = j
-            continue
+    held, out, draws = None, p.tolist(), u.tolist()
+    for j, (r, b) in enumerate(zip(size.tolist(), p.tolist(), strict=True)):
         if not 0 < b < 1:
             continue
-        s, r = float(size[held]), float(size[j])
+        if held is None:
+            held, s = j, r
+            continue
+        a = out[held]
         up, down = min(s * (1 - a), r * b), min(s * a, r * (1 - b))
-        if u[j] * (up + down) < down:
+        if draws[j] * (up + down) < down:
             full, none = s * (1 - a) <= r * b, s * (1 - a) >= r * b
-            p[held], p[j] = (1.0 if full else a + up / s), (0.0 if none else b - up / r)
+            out[held], out[j] = (1.0 if full else a + up / s), (0.0 if none else b - up / r)
         else:
-            full, none = s * a <= r * (1 - b), s * a >= r * (1 - b)
-            p[held], p[j] = (0.0 if full else a - down / s), (1.0 if none else b + down / r)
-        if not 0 < p[held] < 1:
-            held = j
-    return p
+            none, full = s * a <= r * (1 - b), s * a >= r * (1 - b)
+            out[held], out[j] = (0.0 if none else a - down / s), (1.0 if full else b + down / r)
+        if not 0 < out[held] < 1:
+            held, s = (j, r) if 0 < out[j] < 1 else (None, 0)
+    return np.array(out)
 
 
 def _one(f):
@@ -139,24 +117,20 @@ def mix_plan(rows: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.0, most:
     units = rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
     units = staged(units, "units")
     totals = units.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.count("*").alias("units"))
-    # one row for each source
-    known = targets(totals.toPandas().astype({"source": object}).assign(source=lambda d: d["source"].where(d["source"].notna(), None)), weights, share, most)
-    known["leaves"] = np.maximum(1, np.ceil(known["units"] / LEAF)).astype("int64")
-    known["ratio"] = np.divide(known["target"], known["source_size"], out=np.zeros(len(known)), where=known["source_size"].to_numpy() > 0) if len(known) else 0.0
-    known["number"] = np.arange(len(known))
-    table = spark.createDataFrame(
-        [(r.source, int(r.number), int(r.source_size), float(r.target), float(r.ratio), int(r.leaves)) for r in known.itertuples()],
-        "__source string, number int, source_size long, target double, ratio double, leaves long",
-    )
-    whole = units.join(F.broadcast(table), units["source"].eqNullSafe(table["__source"])).drop("__source")
+    leaves = F.greatest(F.lit(1), F.ceil(F.col("units") / LEAF)).cast("long")
+    known = targets(totals, weights, share, most).withColumn("leaves", leaves)
+    known = known.withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
+    table = staged(known.select(F.col("source").alias("__source"), "number", F.col("source_size").cast("long").alias("source_size"), "target", "ratio", "leaves"), "targets")
+    most_leaves = table.agg(F.max("leaves")).first()[0] or 1
+    whole = units.join(table, units["source"].eqNullSafe(table["__source"])).drop("__source")
     whole = whole.withColumn("words", F.col("size") * F.col("n")).withColumn("base", F.floor("ratio").cast("long"))
     whole = whole.withColumn("p", F.when(F.col("words") > 0, F.col("ratio") - F.col("base")).otherwise(0.0))
     whole = whole.withColumn("u", F.xxhash64(F.lit(seed), "doc_id", "source", "size")).withColumn("node", F.pmod(F.col("u"), F.col("leaves")))
 
-    done = staged(whole.groupBy("number", "node").applyInArrow(lambda t: _rounded(t, pivotal_leaf, 1), whole.schema), "leaves")
+    done = staged(whole.groupBy("number", "node").applyInArrow(lambda t: _rounded(t, pivotal_pairs, 1), whole.schema), "leaves")
     left = done.where("p > 0 and p < 1").select("number", "node", "doc_id", "size", "words", "p", "u")
     settled = None
-    levels = int(np.ceil(np.log(max(2, known["leaves"].max() if len(known) else 1)) / np.log(FAN_IN)))
+    levels = int(np.ceil(np.log(max(2, most_leaves)) / np.log(FAN_IN)))
     for level in range(levels + 1):
         left = left.withColumn("node", F.floor(F.col("node") / FAN_IN).cast("long"))
         combine = partial(_rounded, by=pivotal_pairs, salt=2 + level, last=level == levels)
@@ -168,6 +142,7 @@ def mix_plan(rows: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.0, most:
     return out.select("doc_id", "source", "size", "n", "source_size", "target", (F.col("base") + F.coalesce("__p", "p")).cast("long").alias("copies"))
 
 
+@shielded
 def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.0, most: float = 3.0, seed: int = 1) -> DataFrame:
     """``docs`` as the mix takes them: each row as often as its copies say, 0 to
     ``most`` times, with the columns of ``docs``.

@@ -23,16 +23,21 @@ HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]
 #: A word that may be an identifier of a form not known: it has a digit or a sign
 #: that stands for "at".
 MENTION = rf"(?<![^{SPACE}])[^0-9@\[(\x20\x09-\x0D]*+(?:[0-9@]|[\[(]at[\])])[^{SPACE}]*+"
-#: What such a word must look like at least to be taken for a kind.
+#: Identifiers spelled over several words: numbers in groups, and addresses said in words.
+SPREAD = (
+    rf"(?<![^{SPACE}])[(]?[0-9]{{2,7}}[)]?(?:\x20?[/-]?\x20?[0-9]{{2,6}}){{1,5}}(?![^{SPACE}.,;:!?])"
+    rf"|(?<![^{SPACE}])[A-Za-z0-9._%+-]{{1,64}}+\x20?(?:[\[(]at[\])]|@|(?<=\x20)at(?=\x20))\x20?[A-Za-z0-9-]{{1,63}}+(?:\x20?(?:[\[(]dot[\])]|(?<=\x20)dot(?=\x20)|\.)\x20?[A-Za-z]{{2,24}}+)+"
+)
+SPREAD_HINT = r"[0-9]{2}[)]?\x20?[/-]?\x20?[0-9]{2}|(?:[\[(]at[\])]|@|\x20at\x20)"
+#: What a mention must look like at least to be taken for a kind.
 LOOSE = {
-    "email": r"^[^@\s]+(?:@|\[at\]|\(at\))[^@\s]+$",
+    "email": r"^[^@\s]+(?:@|\[at\]|\(at\))[^@\s]+$|^[A-Za-z0-9._%+-]+ ?(?:\[at\]|\(at\)|@|at) ?[A-Za-z0-9-]+(?: ?(?:\[dot\]|\(dot\)|dot|\.) ?[A-Za-z]{2,})+$",
     "ip": r"^\[?(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}\]?[.,;]?$|^[0-9]+(?:[.,\[\]()-]+[0-9]+){3}[.,;]?$",
-    "card": r"^(?:[0-9][-._/]?){12,19}[.,;]?$",
-    "phone": r"^(?:00)?[(]?(?:[0-9][().\-/]*){7,15}[.,;]?$",
+    "card": r"^(?:[0-9][-._/ ]?){12,19}[.,;]?$",
+    "phone": r"^(?:00)?[(]?(?:[0-9][().\-/ ]*){7,15}[.,;]?$",
 }
-#: Rounds of scoring; confidence from which an instance is taken; texts of seeds
-#: that a pattern needs.
-ROUNDS, SURE, SUPPORT = 2, 0.9, 3
+#: Confidence from which an instance is taken; texts of seeds that a pattern needs.
+SURE, SUPPORT = 0.9, 3
 _BLOCK = 128
 
 
@@ -43,9 +48,18 @@ def _spans(text: Column, form: str, hint: str) -> tuple[Column, Column]:
     return F.when(has, F.split(text, form, -1)).otherwise(none), F.when(has, F.regexp_extract_all(text, F.lit(form), F.lit(0))).otherwise(none)
 
 
+#: The last two words before a mention, and the first after it.
+BEFORE = rf"(?:(?<![^{SPACE}])[^{SPACE}]++[{SPACE}]++)?+(?<![^{SPACE}])[^{SPACE}]++[{SPACE}]*+$"
+AFTER = rf"^[{SPACE}]*+[^{SPACE}]++"
+
+
+def context(left: Column, right: Column) -> tuple[Column, Column]:
+    return F.regexp_extract(left, BEFORE, 0).alias("l"), F.regexp_extract(right, AFTER, 0).alias("r")
+
+
 def _located(parts: str, hits: str) -> Column:
     """Structs (s, e, m, l, r) of matches: code points, end exclusive, the match and
-    what stands before and after it.  Starts are running sums of lengths, taken by
+    the words before and after it.  Starts are running sums of lengths, taken by
     blocks so that a text of very many matches costs no square of their number."""
     n = F.size(hits)
     steps = F.transform(F.slice(parts, F.lit(1), n), lambda p, j: F.char_length(p) + F.when(j > 0, F.char_length(F.get(F.col(hits), j - 1))).otherwise(0))
@@ -58,7 +72,7 @@ def _located(parts: str, hits: str) -> Column:
             def at(m: Column, i: Column) -> Column:
                 b = F.floor(i / _BLOCK).cast("int")
                 s = total(F.slice(blocks, F.lit(1), b)) + total(F.slice(d, b * _BLOCK + 1, i - b * _BLOCK + 1))
-                return F.struct(s.alias("s"), (s + F.char_length(m)).alias("e"), m.alias("m"), F.substring(F.get(F.col(parts), i), -48, 48).alias("l"), F.substring(F.get(F.col(parts), i + 1), 1, 48).alias("r"))
+                return F.struct(s.alias("s"), (s + F.char_length(m)).alias("e"), m.alias("m"), *context(F.get(F.col(parts), i), F.get(F.col(parts), i + 1)))
 
             return F.transform(hits, at)
 
@@ -103,8 +117,11 @@ def base_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
         df = df.withColumn("__parts", parts).withColumn("__hits", hits).withColumn(f"__{k}", F.filter(_located("__parts", "__hits"), _passing(k))).drop("__parts", "__hits")
     with_kind = [F.transform(f"__{k}", _marked(i)) for i, k in enumerate(KINDS)]
     df = df.withColumn("__base", F.concat(*with_kind)).drop(*[f"__{k}" for k in KINDS])
-    parts, hits = _spans(F.col("__t"), MENTION, r"[0-9@]|[\[(]at[\])]")
-    df = df.withColumn("__parts", parts).withColumn("__hits", hits).withColumn("__all", _located("__parts", "__hits")).drop("__parts", "__hits", "__t")
+    for name, form, hint in (("__words", MENTION, r"[0-9@]|[\[(]at[\])]"), ("__spread", SPREAD, SPREAD_HINT)):
+        parts, hits = _spans(F.col("__t"), form, hint)
+        df = df.withColumn("__parts", parts).withColumn("__hits", hits).withColumn(name, _located("__parts", "__hits")).drop("__parts", "__hits")
+    inner = F.filter("__spread", lambda x: F.contains(x["m"], F.lit(" ")))  # others are words
+    df = df.withColumn("__all", F.concat("__words", inner)).drop("__words", "__spread", "__t")
     looks = lambda m: F.greatest(*[m.rlike(LOOSE[k]) for k in KINDS])
     likely = F.filter("__all", lambda x: looks(x["m"]))
     apart = lambda x: ~F.exists("__base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
@@ -134,7 +151,7 @@ def discovered(found: DataFrame) -> DataFrame:
     kind is the share of its instances known to be of that kind; an instance's is
     1 less the product of its patterns' doubts.  An instance that two patterns
     support with SURE in all, and that has the kind's loose form, is known in the
-    next round.  Both sides are aggregated with partial sums, so a pattern as
+    next round; rounds go on until one makes nothing new known.  Both sides are aggregated with partial sums, so a pattern as
     common as an article costs no more than its rows.
     """
     base = found.select("doc_id", "x", F.explode("__base").alias("m")).select("doc_id", "x", F.col("m.k").alias("k"), "m.s", "m.e", F.lower("m.m").alias("instance"), _patterns("m").alias("p"))
@@ -143,19 +160,25 @@ def discovered(found: DataFrame) -> DataFrame:
     edges = staged(mentions.select("k", "instance", F.explode("p").alias("pattern")).distinct(), "edges")
     seeds = staged(mentions.where("k is not null").select("instance", "k").distinct(), "seeds")
     known = seeds
-    bare = F.regexp_replace("instance", "[.,;]$", "")  # no seed ends in one of these
+    bare = F.regexp_replace("instance", "[.,;:!?]$", "")  # no seed ends in one of these
     fits = [F.when((F.col("k") == i) & F.col("instance").rlike(LOOSE[k]), True) for i, k in enumerate(KINDS)]
-    for _ in range(ROUNDS):
-        rows = edges.select("instance", "pattern").distinct()
-        total = rows.groupBy("pattern").agg(F.count("*").alias("n"))
+    rows = edges.select("instance", "pattern").distinct()
+    total = rows.groupBy("pattern").agg(F.count("*").alias("n"))
+    best, size = None, 0
+    while True:
         right = rows.join(known, "instance").groupBy("pattern", "k").agg(F.count("*").alias("pos")).where(F.col("pos") >= SUPPORT)
         scored = right.join(total, "pattern").withColumn("c", F.col("pos") / (F.col("n") + 1)).where("c >= 0.5")
         open_ = edges.where("k is null").select("instance", "pattern").distinct().join(scored.select("pattern", "k", "c"), "pattern")
         sure = open_.groupBy("instance", "k").agg((1 - F.exp(F.sum(F.log1p(-F.col("c"))))).alias("c"), F.count("*").alias("n")).where((F.col("c") >= SURE) & (F.col("n") >= 2))
         sure = sure.where(F.coalesce(*fits, F.lit(False)))
-        best = sure.groupBy("instance").agg(F.max_by("k", F.struct("c", -F.col("k"))).alias("k"))
+        found = sure.groupBy("instance").agg(F.max_by("k", F.struct("c", -F.col("k"))).alias("k"))
         # seeds are found below, by their own kind
-        best = staged(best.withColumn("bare", bare).join(seeds.select(F.col("instance").alias("bare")), "bare", "left_anti").select("instance", "k"), "known")
+        found = staged(found.withColumn("bare", bare).join(seeds.select(F.col("instance").alias("bare")), "bare", "left_anti").select("instance", "k"), "known")
+        # what is known only grows, so a round without growth is the last
+        now = found.count()
+        best, done, size = found, now <= size, now
+        if done:
+            break
         known = seeds.union(best)
     rest = mentions.where("k is null").select("doc_id", "x", "s", "e", "instance")
     again = rest.withColumn("e", F.col("e") - F.char_length("instance") + F.char_length(bare)).withColumn("instance", bare)

@@ -13,20 +13,19 @@ from pyspark.sql import functions as F
 
 from .common import discard, staged, without
 
-#: Labelled rows that the final weights are fitted on, at most; terms are mined
-#: from all of them.
-SAMPLE = 20_000
-#: Letters of a term that count.
-LETTERS = 32
+#: Labelled rows that terms are mined from, and that the final weights are fitted on,
+#: at most: samples by a hash of the id.  They bound the lexicon.
+MINED, SAMPLE = 1_000_000, 20_000
 #: Shortest term that may be misspelled, and shortest stem.
 FUZZY_FROM, STEM_FROM, STEM_TO = 5, 4, 8
 #: Words on either side of a find that are looked at.
 CONTEXT = 8
-#: Words, and states of the automaton, that are remembered at most.
-REMEMBERED, STATES = 400_000, 50_000
+#: Words, letters of the longest of them, and states of the automaton, that are
+#: remembered at most.
+REMEMBERED, LONGEST, STATES = 400_000, 48, 50_000
 _STRIP = ".,;:!?()[]{}<>|/\\*#%&$=+~^`\"'«»“”„‘’‹›…-–—_"
 _QUOTES = frozenset("\"«»“”„‘’‹›")
-#: Fixed words that introduce what somebody else said, in the languages of the corpus.
+#: Words that introduce what somebody else said, unless others are given.
 REPORTING = frozenset(
     "said says wrote writes called calls quote quoted quotes quoting word term reported claimed "
     "sagte sagt schrieb nannte zitiert wort dit disait écrit appelé cite citation mot "
@@ -46,11 +45,12 @@ class Lexicon:
     first needs them and kept, so most words end in a dead state after a few
     letters.  A term of FUZZY_FROM letters or more allows one edit; a stem stands
     for every word that begins with it.  ``clean`` are words near a term that
-    training rows show to be harmless.
+    training rows show to be harmless; ``reporting`` words near a find make it a
+    quotation.
     """
 
-    def __init__(self, terms: dict[str, float], stems: dict[str, float], clean: set[str]):
-        self.terms, self.stems, self.clean = terms, stems, clean
+    def __init__(self, terms: dict[str, float], stems: dict[str, float], clean: set[str], reporting: frozenset[str] = REPORTING):
+        self.terms, self.stems, self.clean, self.reporting = terms, stems, clean, reporting
         self.next: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
         self.stem: list[str | None] = [None]
@@ -81,7 +81,7 @@ class Lexicon:
         self.start = self._state({(0, 0)})
 
     def __getstate__(self):
-        return self.terms, self.stems, self.clean
+        return self.terms, self.stems, self.clean, self.reporting
 
     def __setstate__(self, state):
         self.__init__(*state)
@@ -123,7 +123,7 @@ class Lexicon:
         if len(self.sets) >= STATES:
             self._forget()
         state, best = self.start, None
-        for c in word[:LETTERS]:
+        for c in word:
             to = self.moves[state].get(c)
             state = self._move(state, c) if to is None else to
             if state < 0:
@@ -135,9 +135,10 @@ class Lexicon:
             best = self.ends[state]
         if best and best[0] and word in self.clean:
             best = None
-        if len(self.cache) >= REMEMBERED:
-            self.cache.clear()
-        self.cache[word] = best
+        if len(word) <= LONGEST:
+            if len(self.cache) >= REMEMBERED:
+                self.cache.clear()
+            self.cache[word] = best
         return best
 
     def near(self, word: str) -> bool:
@@ -173,7 +174,7 @@ def features(text: str, lex: Lexicon) -> np.ndarray:
         m = found.get(w)
         if m is None:
             continue
-        quoted = inside[i] or any(x in REPORTING for x in kept[max(0, i - CONTEXT) : i])
+        quoted = inside[i] or any(x in lex.reporting for x in kept[max(0, i - CONTEXT) : i + 1 + CONTEXT])
         weight = (lex.stems if m[1] else lex.terms)[m[2]]
         sums[(2 if m[0] else 0) + quoted] += weight
         if not quoted and not m[0]:
@@ -223,8 +224,13 @@ def _uncovered(rows: DataFrame, name: str, stems: DataFrame, proper: bool) -> Da
     return rows.join(covered, name, "left_anti")
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from the labelled rows that aren't held out.
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, mined: int = MINED, reporting: frozenset[str] = REPORTING) -> Model:
+    """A model from the labelled rows that aren't held out, ``mined`` of them at most.
+
+    Labels with a null id or value, and texts that are null, are not used; an id
+    labelled more than once is toxic if any label says so, and so is a text that
+    several ids have.  Without toxic rows, or without others, every text gets the
+    same score.
 
     Equal texts count once.  A word is a term, and a beginning that several words
     share a stem, when toxic rows hold it more often than chance allows among as
@@ -236,13 +242,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     labels = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
     named = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("x"), F.xxhash64(F.lit(1), "text").alias("y"))
     rows = named.join(labels, "doc_id").groupBy("x", "y").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").cast("int").alias("toxic"))
+    rows = staged(rows, "rows")
+    known = rows.count()
+    if known > mined:
+        rows = rows.where(F.pmod(F.xxhash64("x", "y"), F.lit(1 << 32)) < int((1 << 32) * mined / known))
     marked = docs.select("doc_id", "text").where("text is not null").join(rows.select("doc_id", "toxic"), "doc_id")
 
     def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                found = [sorted({w[:LETTERS] for w in words_of(t)}) for t in batch.column("text").to_pylist()]
+                found = [sorted(set(words_of(t))) for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.string()))], names=["toxic", "words"])
 
     counted = marked.mapInArrow(vocabulary, "toxic int, words array<string>").select("toxic", F.explode("words").alias("word"))
@@ -252,19 +262,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if not pos or pos == n:
         discard(counts)
         p = min(max(pos / n if n else 0.05, 0.01), 0.99)
-        return Model(Lexicon({}, {}, set()), np.array([np.log(p / (1 - p))] + [0.0] * (FEATURES - 1)))
+        return Model(Lexicon({}, {}, set(), reporting), np.array([np.log(p / (1 - p))] + [0.0] * (FEATURES - 1)))
     base = pos / n
     ratio = 2 * (F.col("pos") * F.log(F.col("pos") / (F.col("n") * base)) + F.coalesce((F.col("n") - F.col("pos")) * F.log(F.when(F.col("n") > F.col("pos"), (F.col("n") - F.col("pos")) / (F.col("n") * (1 - base)))), F.lit(0.0)))
     least = 2 * np.log(max(2, counts.count())) + 4
     strong = (F.col("pos") > 0) & (F.col("pos") >= F.col("n") * 0.5) & (ratio > least)
     odds = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.col("n") - F.col("pos") + 0.5) / (n - pos + 1))
     begun = counts.where(F.length("word") >= STEM_FROM).select("pos", "n", F.explode(F.transform(F.sequence(F.lit(STEM_FROM), F.least(F.lit(STEM_TO), F.length("word"))), lambda k: F.substring("word", F.lit(1), k))).alias("stem"))
-    begun = begun.groupBy("stem").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"), F.count_if(F.col("pos") > 0).alias("words")).where("words >= 4 and pos >= n * 0.9").where(strong)
+    begun = begun.groupBy("stem").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"), F.count_if(F.col("pos") > 0).alias("words")).where("words >= 4").where(strong)
     begun = staged(begun.select("stem", odds.alias("odds")), "stems")
     stems = {r["stem"]: r["odds"] for r in _uncovered(begun, "stem", begun, True).collect()}
     found = counts.where((F.length("word") >= 3) & strong).select("word", odds.alias("odds"))
     terms = {r["word"]: r["odds"] for r in _uncovered(found, "word", begun, False).collect()}
-    first = Lexicon(terms, stems, set())
+    first = Lexicon(terms, stems, set(), reporting)
     shared = spark.sparkContext.broadcast(first)
 
     def misspelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +283,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     # words near a term of which fewer than half the rows are toxic
     clean = {r["word"] for r in counts.where("pos < n * 0.5").select("word").mapInArrow(misspelled, "word string").toLocalIterator()}
-    lex = Lexicon(terms, stems, clean)
+    lex = Lexicon(terms, stems, clean, reporting)
     chosen = spark.sparkContext.broadcast(lex)
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +293,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     some = docs.select("doc_id", "text").join(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", "toxic"), "doc_id")
     fit = some.mapInArrow(numbers, "toxic int, f array<double>").collect()  # ``sample`` rows
-    discard(counts, begun)
+    discard(counts, begun, rows)
     x, y = np.array([r["f"] for r in fit]), np.array([r["toxic"] for r in fit], float)
     return Model(lex, _logistic(x, y))
 

@@ -9,9 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .common import gram_hashes, word_hashes
-from .substring_index import _chunks
+from .common import chunks, gram_hashes, staged, word_hashes
 
 #: Words of a seed; bytes of test items that one pass over the documents carries.
 SEED, BLOCK_BYTES = 3, 16 << 20
@@ -145,25 +146,31 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, seed:
     that have a word put in after every two, which score 0.5 and 1 word at most.
 
     Null and empty texts match nothing, nor do items of fewer words than a seed;
-    repeated rows and items are reported each; ids may be null; empty tables give
-    an empty one; other columns are not read.
+    repeated rows and items are reported each; ids may be null and of any type;
+    empty tables give an empty one; other columns are not read.
     """
-    out = None
-    for block in _blocks(benchmark):
+    names = ["first_word", "last_word"]
+    schema = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), StructField("item_id", benchmark.schema["item_id"].dataType), StructField("score", DoubleType()), *[StructField(c, LongType()) for c in names]])
+    types = to_arrow_schema(schema)
+    out, blocks = None, _blocks(benchmark)
+    for k, block in enumerate(blocks):
         items = _prepared(docs, block, seed)
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             it = items.value
             for whole in batches:
-                for batch, texts in _chunks(whole, "text"):
+                for batch, texts in chunks(whole, "text"):
                     found = _matches(it, texts, seed, least)
                     row, item, score, a, b = zip(*found, strict=True) if found else ((),) * 5
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array([it.ids[i] for i in item], pa.int64()), pa.array(score, pa.float64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())],
-                        names=["doc_id", "item_id", "score", "first_word", "last_word"],
+                        [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array([it.ids[i] for i in item], types.field("item_id").type), pa.array(score, pa.float64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())],
+                        names=types.names,
                     )
 
-        found = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, score double, first_word long, last_word long")
+        found = docs.select("doc_id", "text").mapInArrow(run, schema)
+        if k < len(blocks) - 1:  # one block's items are held at a time
+            found = staged(found, "leaks")
+            items.destroy()
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -171,15 +178,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, seed:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, seed: int = SEED) -> DataFrame:
     """``docs`` less the rows that hold a test item by :func:`find_leaks`; all
     columns stay as they are, and null texts stay."""
-    for block in _blocks(benchmark):
+    blocks = _blocks(benchmark)
+    for k, block in enumerate(blocks):
         items = _prepared(docs, block, seed)
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for batch, texts in _chunks(whole, "text"):
+                for batch, texts in chunks(whole, "text"):
                     clean = np.ones(len(texts), bool)
                     clean[[m[0] for m in _matches(items.value, texts, seed, least)]] = False
                     yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if k < len(blocks) - 1:  # one block's items are held at a time
+            docs = staged(docs, "clean")
+            items.destroy()
     return docs

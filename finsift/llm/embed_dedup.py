@@ -10,9 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, staged, without
+from .common import connected_components, shielded, staged, without
 
 #: Vectors that the lists and codes are fitted on, at most; every vector is indexed.
+#: There are sqrt(n / 50) lists but no more than half the sample, so for more than
+#: 50 * (sample / 2)**2 vectors (840 million) take a larger sample.
 SAMPLE = 8192
 SUBSPACES, CODES = 16, 64
 #: Rows of a task's block: members of a list, and vectors that probe it.
@@ -107,7 +109,7 @@ def _placed(reps: DataFrame, models) -> DataFrame:
                 rows = part.take(pa.array(take))
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.concatenate((own, lists)).astype(np.int32)), pa.array(kind)], names=[*rows.schema.names, "list", "probe"])
 
-    schema = "label int, dim int, rep long, n long, v array<double>, list int, probe boolean"
+    schema = "label string, dim int, rep long, n long, v array<double>, list int, probe boolean"
     return reps.select("label", "dim", "rep", "n", "v").mapInArrow(run, schema)
 
 
@@ -159,6 +161,7 @@ def _joined(t: pa.Table, models, least: float) -> pa.Table:
     return pa.table({"a": ids[some], "b": ids[low[some]], "gain": total[some]})
 
 
+@shielded
 def similar_vectors(vectors: DataFrame, least: float = 0.93, sample: int = SAMPLE) -> DataFrame:
     """``vectors`` (vec_id, embedding, label) with n_links, component_id and kept.
 
@@ -169,8 +172,8 @@ def similar_vectors(vectors: DataFrame, least: float = 0.93, sample: int = SAMPL
 
     Rows with a null id, a null label, a null, empty or zero embedding or one
     that holds a null or non-finite component link with nothing, nor do
-    embeddings of different lengths; rows with equal ids count each; an empty
-    table gives an empty one.  Columns that bear an output's name are replaced.
+    embeddings of different lengths; labels may be of any simple type; rows with
+    equal ids count each; an empty table gives an empty one.  Columns that bear an output's name are replaced.
     """
     spark = vectors.sparkSession
     base = without(vectors, "n_links", "component_id", "kept").withColumn("__v", F.col("embedding").cast("array<double>"))
@@ -178,12 +181,12 @@ def similar_vectors(vectors: DataFrame, least: float = 0.93, sample: int = SAMPL
     usable &= F.forall("__v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("__v", lambda e: e != 0)
     base = base.withColumn("__ok", F.coalesce(usable, F.lit(False)))
     base = base.withColumn("__x", F.xxhash64("label", "__v")).withColumn("__y", F.xxhash64(F.lit(1), "label", "__v"))
-    reps = base.where("__ok").groupBy(F.col("__x").alias("x"), F.col("__y").alias("y")).agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("label").cast("int").alias("label"), F.first("__v").alias("v"))
+    reps = base.where("__ok").groupBy(F.col("__x").alias("x"), F.col("__y").alias("y")).agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("label").cast("string").alias("label"), F.first("__v").alias("v"))
     reps = staged(reps.withColumn("dim", F.size("v")), "vectors")
     count = reps.count()
     # a bounded sample, the same on every run
     seen = [r["v"] for r in reps.select("v", "rep").orderBy(F.xxhash64("rep")).limit(sample).select("v").collect()]
-    lists = int(np.clip(np.sqrt(count / 50), 1, 4096))
+    lists = int(np.clip(np.sqrt(count / 50), 1, sample // 2))
     radius = float(np.sqrt(2 - 2 * least))
     models: dict = {"radius": radius}
     for dim in sorted({len(v) for v in seen}):

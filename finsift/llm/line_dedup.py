@@ -6,10 +6,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, without
+from .common import shielded, staged, without
 
-#: Shortest line that is compared with lines one edit away; shorter ones, and those
-#: without a word, only have equal copies.
+#: Shortest line that is compared with lines one edit away, by default; shorter ones,
+#: and those without a word, only have equal copies.
 SHORTEST = 10
 
 
@@ -27,7 +27,7 @@ def _edge(i: Column, length: Column, m: Column) -> Column:
     return F.floor(i * length / m).cast("int")
 
 
-def _blocks(line: Column, n: Column, length: Column, m: Column) -> Column:
+def _blocks(line: Column, n: Column, length: Column, m: Column, shortest: int) -> Column:
     """For a line of n characters as a neighbour of lines of ``length``: for each of m
     blocks, a hash of all before the block and all after it."""
 
@@ -36,19 +36,19 @@ def _blocks(line: Column, n: Column, length: Column, m: Column) -> Column:
         key = F.xxhash64(length, m, i, F.substring(line, F.lit(1), begin), F.substring(line, n - length + end + 1, length - end))
         return F.struct(key.alias("key"), i.alias("i"), length.alias("length"))
 
-    return F.when(length >= SHORTEST, F.transform(F.sequence(F.lit(0), m - 1), one)).otherwise(F.array().cast("array<struct<key:bigint,i:int,length:int>>"))
+    return F.when(length >= shortest, F.transform(F.sequence(F.lit(0), m - 1), one)).otherwise(F.array().cast("array<struct<key:bigint,i:int,length:int>>"))
 
 
-def _both(line: Column, m) -> Column:
+def _both(line: Column, m, shortest: int) -> Column:
     """Blocks of a line as one of its own length and as one character longer than
     another: two lines within one edit agree outside one block of the shorter's."""
     n = F.char_length(line)
-    return F.concat(_blocks(line, n, n, m(n)), _blocks(line, n, n - 1, m(n - 1)))
+    return F.concat(_blocks(line, n, n, m(n), shortest), _blocks(line, n, n - 1, m(n - 1), shortest))
 
 
-def _halves(lines: DataFrame) -> DataFrame:
+def _halves(lines: DataFrame, shortest: int) -> DataFrame:
     """(x, y, key): what :func:`_both` gives for two blocks, in plain expressions."""
-    sized = lines.withColumn("n", F.char_length("line")).where(F.col("n") >= SHORTEST)
+    sized = lines.withColumn("n", F.char_length("line")).where(F.col("n") >= shortest)
     line, n = F.col("line"), F.col("n")
 
     def of(length: Column) -> list[Column]:
@@ -56,7 +56,7 @@ def _halves(lines: DataFrame) -> DataFrame:
         return [F.xxhash64(length, F.lit(0), F.substring(line, n - length + half + 1, length - half)), F.xxhash64(length, F.lit(1), F.substring(line, F.lit(1), half))]
 
     own, less = of(n), of(n - 1)
-    keys = F.array(*own, *[F.when(n > SHORTEST, k) for k in less])
+    keys = F.array(*own, *[F.when(n > shortest, k) for k in less])
     return sized.select("x", "y", F.explode(keys).alias("key")).where("key is not null")
 
 
@@ -68,7 +68,7 @@ def _shared(keys: DataFrame) -> DataFrame:
     return keys.join(found, "key")
 
 
-def near_lines(lines: DataFrame) -> DataFrame:
+def near_lines(lines: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     """(x, y) of the lines that an earlier line within one edit supersedes, from
     ``lines`` (at, x, y, line).
 
@@ -81,11 +81,11 @@ def near_lines(lines: DataFrame) -> DataFrame:
     within it.
     """
     line = F.col("line")
-    some = _shared(_halves(lines)).select("x", "y").distinct()
+    some = _shared(_halves(lines, shortest)).select("x", "y").distinct()
     texts = lines.join(some, ["x", "y"]).groupBy("x", "y").agg(F.min("at").alias("first"), F.first("line").alias("line"))
     texts = staged(texts, "texts")
     root = lambda n: F.greatest(F.lit(2), F.ceil(F.sqrt(n)).cast("int"))
-    blocks = texts.select("x", "y", F.explode(_both(line, root)).alias("b")).select("x", "y", "b.*")
+    blocks = texts.select("x", "y", F.explode(_both(line, root, shortest)).alias("b")).select("x", "y", "b.*")
     blocks = staged(_shared(blocks).select("x", "y", "i", "length").distinct(), "blocks")
     held = texts.join(blocks, ["x", "y"]).withColumn("n", F.char_length("line"))
     own = F.col("n") == F.col("length")
@@ -111,22 +111,23 @@ def near_lines(lines: DataFrame) -> DataFrame:
     return checked.where(F.levenshtein("line", "other", 1) >= 0).select("x", "y").distinct()
 
 
-def duplicate_lines(docs: DataFrame) -> DataFrame:
+def duplicate_lines(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     """(doc_id, t, removed) of the documents that lose lines, t being a hash of the
     text and ``removed`` the sorted numbers, from 0, of the lines."""
     lines = _lines(docs.select("doc_id", "text"))
-    late = staged(near_lines(lines).withColumn("late", F.lit(True)), "late")
+    late = staged(near_lines(lines, shortest).withColumn("late", F.lit(True)), "late")
     first = lines.groupBy("x", "y").agg(F.min("at").alias("first"), F.count("*").alias("n"))
     gone = first.join(late, ["x", "y"], "left").where("n > 1 or late").select("x", "y", "first", F.coalesce("late", F.lit(False)).alias("late"))
     cut = lines.select("at", "x", "y").join(gone, ["x", "y"]).where("late or first < at")
     return cut.groupBy("at.doc_id", "at.t").agg(F.array_sort(F.collect_set("at.pos")).alias("removed"))
 
 
-def line_dedup(docs: DataFrame, keep_text: bool = True) -> DataFrame:
+@shielded
+def line_dedup(docs: DataFrame, keep_text: bool = True, shortest: int = SHORTEST) -> DataFrame:
     """``docs`` with n_lines, n_removed, removed and, unless ``keep_text`` is false,
     kept_text in place of the text.
 
-    A line (between line feeds) goes when an equal one, or one of SHORTEST
+    A line (between line feeds) goes when an equal one, or one of ``shortest``
     characters or more within one edit of it, stands earlier: in a document with
     a smaller id, or earlier in the same.  Lines are judged on the input.
 
@@ -138,7 +139,7 @@ def line_dedup(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     base = without(docs, "n_lines", "n_removed", "removed", "kept_text").withColumn("__t", F.xxhash64("text"))
     base = base.withColumn("n_lines", F.coalesce(F.regexp_count("text", F.lit("\n")) + 1, F.lit(0)).cast("long"))
     base = base if keep_text else base.drop("text")
-    lost = duplicate_lines(docs).select(F.col("doc_id").alias("__id"), F.col("t").alias("__x"), "removed")
+    lost = duplicate_lines(docs, shortest).select(F.col("doc_id").alias("__id"), F.col("t").alias("__x"), "removed")
     out = base.join(lost, base["doc_id"].eqNullSafe(lost["__id"]) & (base["__t"] == lost["__x"]), "left").drop("__t", "__id", "__x")
     out = out.withColumn("removed", F.coalesce("removed", F.array().cast("array<int>"))).withColumn("n_removed", F.size("removed").cast("long"))
     if keep_text:

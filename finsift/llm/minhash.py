@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, chunks, connected_components, discard, gram_hashes, lists, mix, spanning, staged, without, word_hashes
+from .common import WORD, chunks, connected_components, discard, gram_hashes, lists, mix, shielded, spanning, staged, without, word_hashes
 
 #: BANDS bands of ROWS samples: a pair of weighted similarity 0.8 meets in one with
 #: probability 0.9982, one of 0.5 with 0.54 and one of 0.1 with 0.0012.
@@ -416,6 +416,7 @@ def classes(docs: DataFrame, least: float = 0.8, n: int = 5, bands: int = BANDS,
     return nodes.join(comp, "node", "left").select("x", "y", F.coalesce("component", "node").alias("class_id"))
 
 
+@shielded
 def near_dedup(docs: DataFrame, least: float = 0.8, n: int = 5) -> DataFrame:
     """``docs`` with class_id (the least doc_id of the row's near-duplicate class)
     and kept (whether it is the row that stays).

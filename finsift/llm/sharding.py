@@ -6,11 +6,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, staged, without
+from .common import partitions, shielded, staged, without
 
 OUT = ("size", "text_crc32", "shard", "slot")
 
 
+@shielded
 def shard(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with size, text_crc32, shard and slot.
 
@@ -32,9 +33,11 @@ def shard(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     base = without(docs, *OUT).withColumn("size", F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1)
     base = base.withColumn("text_crc32", F.crc32(F.col(text_col).cast("binary")))
-    order = [F.col(id_col), F.col("size"), F.col("text_crc32"), F.col("__tie")]
+    order = [F.col(id_col), F.col("size"), F.col("text_crc32"), F.col("__tie"), F.col("__row")]
     plain = [c for c, t in base.dtypes if "map<" not in t and "variant" not in t]
-    base = base.withColumn("__tie", F.xxhash64(*plain))
+    # rows that are equal in all this are told apart by their place, so that however
+    # many there are they need not share a range; which comes first makes no difference
+    base = base.withColumn("__tie", F.xxhash64(*plain)).withColumn("__row", F.monotonically_increasing_id())
     base = base if keep_text else base.drop(text_col)
     # the ranges are written down, since a second evaluation could draw other bounds
     ranged = staged(base.repartitionByRange(partitions(spark), *order).withColumn("__part", F.spark_partition_id()), "ranges")
@@ -43,7 +46,7 @@ def shard(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col:
     first = _placed(ranged.select("__part", *order), n_shards, order).groupBy("shard").agg(F.min("__rank").alias("__first"))
     out = rows.join(F.broadcast(first), "shard")  # n_shards rows
     out = out.withColumn("slot", F.col("__rank") - F.col("__first"))
-    return out.select(*[c for c in base.columns if c != "__tie"], "shard", "slot")
+    return out.select(*[c for c in base.columns if c not in ("__tie", "__row")], "shard", "slot")
 
 
 def _placed(ranged: DataFrame, n_shards: int, order: list) -> DataFrame:

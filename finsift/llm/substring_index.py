@@ -12,12 +12,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, chunks, discard, gram_hashes, partitions, shielded, staged, without, word_hashes
+from .common import SPACE, chunks, clean, discard, gram_hashes, partitions, remove, shielded, stage_path, staged, without, word_hashes
 
 #: Words of a window.
 WINDOW = 13
 #: Bytes of text that are fingerprinted together, and for each slice of fingerprints.
-PIECE, SLICE = 8 << 20, 8 << 20
+PIECE, SLICE = 8 << 20, 4 << 20
 #: The id that stands for a missing one: later than all.
 LAST = np.iinfo(np.int64).max
 ROW = "piece long, doc_id long, x long, text string"
@@ -88,6 +88,9 @@ class FingerprintIndex:
     compacted into one of the next level, so a batch meets a number of runs that
     grows with the logarithm of the number of batches.
 
+    A run is a table bucketed by slice.  The largest is merged where it lies; the
+    batch, and the smaller runs with it, are moved to it.
+
     ``bits`` sets the number of slices; one slice of all that the index is to hold
     must fit a task.  Fingerprints have 64 bits; whoever removes anything verifies
     the words (:func:`verified`).
@@ -98,6 +101,22 @@ class FingerprintIndex:
 
     def __init__(self, spark: SparkSession, bits: int = 6, window: int = WINDOW):
         self.spark, self.bits, self.window, self.levels = spark, bits, window, []
+        self.buckets = partitions(spark)
+
+    def _write(self, rows: DataFrame) -> str:
+        """A run of rows that are already together by slice."""
+        path = stage_path(self.spark, "run")
+        name = path.rpartition("/")[2].replace("-", "_")
+        remove(self.spark, path)
+        rows.write.bucketBy(self.buckets, "slice").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+        return name
+
+    def _drop(self, *names: str) -> None:
+        for name in names:
+            path = self.spark.sql(f"describe formatted {name}").where("col_name = 'Location'").first()["data_type"]
+            self.spark.sql(f"drop table {name}")
+            remove(self.spark, path)
+        clean(self.spark)
 
     def _emitted(self, pieces: DataFrame) -> DataFrame:
         """(slice, piece, h, first): the distinct hashes of each piece, once each."""
@@ -138,14 +157,17 @@ class FingerprintIndex:
         without any are left out.  ``keep`` false makes no run of a batch that none
         will follow.
         """
-        sent = self._emitted(pieces).withColumn("old", F.lit(False))
-        for level in self.levels:
-            for run in level:
-                sent = sent.unionByName(run.select("slice", F.lit(None).cast("long").alias("piece"), "h", "first", F.lit(True).alias("old")))
-
-        def merge(t: pa.Table) -> pa.Table:
-            old = np.array(t["old"].to_pylist(), bool)
+        # levels hold one run each between batches: the last one's is the largest
+        runs = [name for level in self.levels for name in level]
+        sent = self._emitted(pieces)
+        for name in runs[:-1]:
+            sent = sent.unionByName(self.rows(name).select("slice", F.lit(None).cast("long").alias("piece"), "h", "first"))
+        last = self.rows(runs[-1]) if runs else self.spark.createDataFrame([], self.RUN)
+
+        def merge(t: pa.Table, large: pa.Table) -> pa.Table:
+            old = [x is None for x in t["piece"].to_pylist()]
             hs, firsts = [unpack(x) for x in t["h"].to_pylist()], [_unplain(x) for x in t["first"].to_pylist()]
+            history = [(hs[i], firsts[i]) for i in range(len(hs)) if old[i]] + [(unpack(h), _unplain(f)) for h, f in zip(large["h"].to_pylist(), large["first"].to_pylist(), strict=True)]
             own = [i for i in range(len(hs)) if not old[i]]
             out = []
             if own:
@@ -153,48 +175,54 @@ class FingerprintIndex:
                 if keep:
                     out.append((None, h, first))
                 best = first.copy()
-                for i in np.flatnonzero(old):
-                    at = np.minimum(np.searchsorted(hs[i], h), len(hs[i]) - 1)
-                    best = np.where(hs[i][at] == h, np.minimum(best, firsts[i][at]), best)
+                for x, f in history:
+                    at = np.minimum(np.searchsorted(x, h), len(x) - 1)
+                    best = np.where(x[at] == h, np.minimum(best, f[at]), best)
                 for i in own:
                     found = best[np.searchsorted(h, hs[i])]
                     more = found < firsts[i]
                     if more.any():
                         out.append((t["piece"][i].as_py(), hs[i][more], found[more]))
-            return pa.table({"slice": pa.array([t["slice"][0].as_py()] * len(out), pa.int64()), "piece": pa.array([x[0] for x in out], pa.int64()), "h": pa.array([pack(x[1]) for x in out], pa.binary()), "first": pa.array([_plain(x[2]) for x in out], pa.binary())})
+            number = t["slice"][0].as_py() if len(t) else None
+            return pa.table({"slice": pa.array([number] * len(out), pa.int64()), "piece": pa.array([x[0] for x in out], pa.int64()), "h": pa.array([pack(x[1]) for x in out], pa.binary()), "first": pa.array([_plain(x[2]) for x in out], pa.binary())})
 
-        both = staged(sent.groupBy("slice").applyInArrow(merge, "slice long, piece long, h binary, first binary"), "run")
-        out = use(both.where("piece is not null").select("piece", "h", "first"))
+        both = self._write(sent.groupBy("slice").cogroup(last.groupBy("slice")).applyInArrow(merge, "slice long, piece long, h binary, first binary"))
+        clean(self.spark)
+        out = use(self.spark.table(both).where("piece is not null").select("piece", "h", "first"))
         if not keep:
-            discard(both)
+            self._drop(both)
             return out
-        # the run keeps the file of both; compaction leaves the other rows behind
-        run = both.where("piece is null").select("slice", "h", "first")
-        run._finsift_path = both._finsift_path
-        self._push(run, 0)
+        # the run keeps the table of both; compaction leaves the other rows behind
+        self._push(both, 0)
         return out
 
-    def _push(self, run: DataFrame, level: int) -> None:
+    def _push(self, run: str, level: int) -> None:
         if len(self.levels) == level:
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) < self.FAN_IN:
             return
 
-        def merge(t: pa.Table) -> pa.Table:
-            h, first = _least(np.concatenate([unpack(x) for x in t["h"].to_pylist()]), np.concatenate([_unplain(x) for x in t["first"].to_pylist()]))
-            return pa.table({"slice": pa.array([t["slice"][0].as_py()], pa.int64()), "h": pa.array([pack(h)], pa.binary()), "first": pa.array([_plain(first)], pa.binary())})
+        def merge(t: pa.Table, other: pa.Table) -> pa.Table:
+            both = [t, other]
+            h, first = _least(np.concatenate([unpack(x) for y in both for x in y["h"].to_pylist()]), np.concatenate([_unplain(x) for y in both for x in y["first"].to_pylist()]))
+            number = next(y["slice"][0].as_py() for y in both if len(y))
+            return pa.table({"slice": pa.array([number], pa.int64()), "h": pa.array([pack(h)], pa.binary()), "first": pa.array([_plain(first)], pa.binary())})
 
+        # two runs of a level are merged where they lie
         runs, self.levels[level] = self.levels[level], []
-        every = runs[0]
-        for r in runs[1:]:
-            every = every.unionByName(r)
-        merged = staged(every.groupBy("slice").applyInArrow(merge, self.RUN), "run")
-        discard(*runs)
+        left, right = (self.rows(r).groupBy("slice") for r in runs)
+        merged = self._write(left.cogroup(right).applyInArrow(merge, self.RUN))
+        self._drop(*runs)
         self._push(merged, level + 1)
 
+    def rows(self, run: str) -> DataFrame:
+        """(slice, h, first) of a run."""
+        table = self.spark.table(run)
+        return (table.where("piece is null") if "piece" in table.columns else table).select("slice", "h", "first")
+
     def drop(self) -> None:
-        discard(*[run for level in self.levels for run in level])
+        self._drop(*[run for level in self.levels for run in level])
         self.levels = []
 
 

@@ -17,7 +17,7 @@ from .common import SPACE, chunks, clean, discard, gram_hashes, partitions, remo
 #: Words of a window.
 WINDOW = 13
 #: Bytes of text that are fingerprinted together, and for each slice of fingerprints.
-PIECE, SLICE = 8 << 20, 4 << 20
+PIECE, SLICE = 4 << 20, 4 << 20
 #: The id that stands for a missing one: later than all.
 LAST = np.iinfo(np.int64).max
 ROW = "piece long, doc_id long, x long, text string"

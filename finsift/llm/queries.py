@@ -82,7 +82,25 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_shard_bytes, op3_private_data, op4_toxicity, op5_line_dedup, op6_similar_vectors, op7_near_dedup, op8_substring_dedup, op9_benchmark_leaks, op10_token_counts)}
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import cluster_vectors
+
+    return cluster_vectors(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mix_sources, op2_shard_bytes, op3_private_data, op4_toxicity, op5_line_dedup, op6_similar_vectors, op7_near_dedup,
+        op8_substring_dedup, op9_benchmark_leaks, op10_token_counts, op12_collocations, op13_centroids,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
 ORACLE_SQL["op8_substring_dedup"] = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -121,3 +139,37 @@ p AS (SELECT *, sum(size) OVER (ORDER BY doc_id) AS e, sum(size) OVER () AS tota
 s AS (SELECT *, CAST(least(7, ((2 * e - size) * 8) // (2 * total)) AS INT) AS shard FROM p)
 SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INT) AS grown_shard FROM s
 """
+ORACLE_SQL["op12_collocations"] = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, m, w[i:i + m - 1] AS g FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, range(1, 4) s(m))),
+f AS MATERIALIZED (SELECT lang, m, array_to_string(g, ' ') AS p, g, count(*) AS f FROM g GROUP BY lang, m, g),
+cand AS MATERIALIZED (SELECT * FROM f WHERE m >= 2 AND f >= 10),
+cut AS MATERIALIZED (SELECT *, array_to_string(g[1:k], ' ') AS p1, array_to_string(g[k + 1:m], ' ') AS p2 FROM (SELECT *, unnest(range(1, m)) AS k FROM cand)),
+scored AS (SELECT c.lang, c.p AS phrase, c.f AS a, k, x.f AS l, y.f AS r, CAST((1000000::HUGEINT * c.f * c.f) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+    FROM cut c JOIN f x ON x.lang = c.lang AND x.p = p1 JOIN f y ON y.lang = c.lang AND y.p = p2),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+part AS (SELECT lang, array_to_string(g[i:i + j - 1], ' ') AS phrase, f FROM (SELECT lang, m, g, f, j, unnest(range(1, m - j + 2)) AS i FROM cand, range(2, 3) s(j) WHERE j < m)),
+longer AS (SELECT lang, phrase, max(f) AS longer FROM part GROUP BY lang, phrase),
+kept AS (SELECT b.* FROM best b LEFT JOIN longer USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept JOIN total USING (lang) QUALIFY rank <= 2000
+"""
+
+
+def _rounds(rounds: int = 10) -> str:
+    """The rounds of clustering, a pair of subqueries each."""
+    near = """a{i} AS MATERIALIZED (SELECT vec_id, e, k, d FROM (SELECT v.vec_id, v.e, k, list_sum(list_transform(range(1, 65), lambda j: (e[j] - c[j]) * (e[j] - c[j]))) AS d FROM v, c{i}) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, k) = 1)"""
+    moved = """c{j} AS MATERIALIZED (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY p) AS c FROM (SELECT k, p, CAST(sum(x) AS HUGEINT) AS s, count(*) AS n FROM (SELECT k, unnest(e) AS x, unnest(range(1, 65)) AS p FROM a{i}) GROUP BY k, p) GROUP BY k
+    UNION ALL SELECT k, c FROM c{i} WHERE k NOT IN (SELECT k FROM a{i}))"""
+    return ",\n".join([*(x for i in range(rounds) for x in (near.format(i=i), moved.format(i=i, j=i + 1))), near.format(i=rounds)])
+
+
+ORACLE_SQL["op13_centroids"] = f"""
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS HUGEINT)) AS e FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h) - 1 AS INT) AS k, e AS c FROM (SELECT sha256('3:' || vec_id) AS h, e FROM v ORDER BY h LIMIT 8)),
+{_rounds()}
+SELECT vec_id, k AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a10 JOIN c10 USING (k)
+"""

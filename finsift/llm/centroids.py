@@ -32,7 +32,7 @@ class Centroids:
         self.rows, self.scale = rows, scale
         self.largest = max((abs(c) for row in rows for c in row), default=0)
         if self.largest < EXACT:
-            self.c = np.array(rows, np.float64).reshape(len(rows), -1)
+            self.c = np.array(rows, np.float64)
             self.norm = np.array([sum(c * c for c in row) for row in rows], np.float64)
 
     def __getstate__(self):
@@ -130,11 +130,11 @@ def cluster_vectors(vectors: DataFrame, k: int = 8, rounds: int = 10, dims: int
     kept = staged(kept, "vectors")
     named = F.sha2(F.concat(F.lit(f"{salt}:"), F.col("id").cast("string")), 256)
     first = kept.orderBy(named.asc_nulls_last(), "v").limit(k).select(F.col("v").cast("array<double>").alias("v")).collect()
-    now = Centroids([[whole(x, scale) for x in row["v"]] for row in first], scale)
     schema = f"{id_col} {vectors.schema[id_col].dataType.simpleString()}, cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string, centroid array<decimal(38,0)>"
-    if not now.rows:
+    if not first:
         discard(kept)
         return vectors.sparkSession.createDataFrame([], schema)
+    now = Centroids([[whole(x, scale) for x in row["v"]] for row in first], scale)
     for _ in range(rounds):
         sums = _totals(kept, now, dims)
         new = [[s // n for s in parts] if n else row for (n, _, parts), row in zip(sums, now.rows, strict=True)]

@@ -82,6 +82,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import held_out, score, statistics, train
+
+    found = statistics(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    model = train(found, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return score(found, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .collocations import collocations
 
@@ -98,7 +106,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_shard_bytes, op3_private_data, op4_toxicity, op5_line_dedup, op6_similar_vectors, op7_near_dedup,
-        op8_substring_dedup, op9_benchmark_leaks, op10_token_counts, op12_collocations, op13_centroids,
+        op8_substring_dedup, op9_benchmark_leaks, op10_token_counts, op11_quality, op12_collocations, op13_centroids,
     )
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -719,9 +719,7 @@ def test_leaks_match_all_alignments(spark, monkeypatch):
     found = decontam.find_leaks(df, spark.createDataFrame([*zip(names, items, strict=True)], "item_id string, text string"))
     got = {(r["doc_id"], r["item_id"]): r["score"] for r in found.collect()}
     want = {(f"d{i}", names[k]): plain_align(q.split(), t.split()) for i, t in enumerate(texts) for k, q in enumerate(items)}
-    grams = lambda t: {tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)}
-    seeded = {(f"d{i}", names[k]) for i, t in enumerate(texts) for k, q in enumerate(items) if grams(t) & grams(q)}
-    want = {k: v for k, v in want.items() if v >= 0.5 and k in seeded}  # as stated: one 3-gram is needed
+    want = {k: v for k, v in want.items() if v >= 0.5}
     assert len(want) > 40 and got.keys() == want.keys() and all(got[k] == pytest.approx(v) for k, v in want.items())
     clean = decontam.decontaminate(df, spark.createDataFrame([*zip(names, items, strict=True)], "item_id string, text string"))
     assert {r["doc_id"] for r in clean.collect()} == {f"d{i}" for i in range(70)} - {d for d, _ in want}
@@ -744,6 +742,33 @@ def test_leaks_edited_alike_in_many_documents(spark):
     assert set(found) == set(want) and all(found[k] >= want[k] - 1e-9 for k in want)
 
 
+def test_common_phrases_cost_little(monkeypatch):
+    rng = random.Random(16)
+    phrase = "which of the following is the right answer"
+    items = [f"{phrase} {words(rng, 30, 9000)}".encode() for _ in range(4000)]
+    text = f"{words(rng, 300, 9000)} {phrase} {words(rng, 300, 9000)}".encode()
+    copy = f"{words(rng, 50, 9000)} {items[7].decode()} {phrase}".encode()
+    it, aligned = decontam.Items([*range(4000)], items, 0.5, 3), []
+    seen = np.zeros(len(it.grams), np.int64)
+    h = decontam.gram_hashes(*decontam.word_hashes([decontam.plain(t) for t in (text, copy)]), 2)[0]
+    np.add.at(seen, it.found(h)[1], 1)
+    it.choose(seen)
+    plain_align_ = decontam.align
+    monkeypatch.setattr(decontam, "align", lambda q, p: aligned.append(1) or plain_align_(q, p))
+    assert [m[:3] for m in decontam._matches(it, [text, copy])] == [(1, 7, 1.0)] and len(aligned) < 5
+
+
+def test_pairs_always_suffice():
+    # copies without a whole 3-gram, and with points on the limit
+    item = [f"w{i}" for i in range(20)]
+    spread = [x for i, w in enumerate(item) for x in ([w, "q"] if i % 2 else [w])][:29]
+    for copy in (spread, item[:10], item[5:15], [*item[:6], "z", *item[7:13]]):
+        it = decontam.Items([0], [" ".join(item).encode()], 0.5, 3)
+        want = plain_align(item, copy)
+        got = decontam._matches(it, [("a b " + " ".join(copy) + " c d").encode()])
+        assert [m[2] for m in got] == ([pytest.approx(want)] if want >= 0.5 else [])
+
+
 def test_decontamination_on_odd_and_empty_input(spark, odd, empty):
     bench = spark.createDataFrame([(1, "a b c d e f g"), (None, "null id here"), (1, "a b c d e f g")], "item_id long, text string")
     assert decontam.decontaminate(odd, bench).count() == 7

@@ -33,9 +33,25 @@ def middle(values: Column) -> Column:
     return F.when(n > 0, (low + high) / 2)
 
 
+def summed_up(values: Column) -> Column:
+    """Struct of median and mad (median absolute deviation, without a scale factor) of a
+    short array of doubles; each is computed once, however often its fields are read."""
+    once = lambda x, f: F.get(F.transform(F.array(x), f), 0)  # noqa: E731 - binds x for f
+
+    def of(sorted_: Column) -> Column:
+        n = F.size(sorted_)
+        mid = (F.get(sorted_, F.floor((n - 1) / 2).cast("int")) + F.get(sorted_, F.floor(n / 2).cast("int"))) / 2
+        return F.when(n > 0, mid)
+
+    def around(sorted_: Column) -> Column:
+        return once(of(sorted_), lambda m: once(F.array_sort(F.transform(sorted_, lambda v: F.abs(v - m))), lambda gaps: F.struct(m.alias("median"), of(gaps).alias("mad"))))
+
+    return once(F.array_sort(values), around)
+
+
 def spread(values: Column) -> Column:
     """Median absolute deviation of a short array, without a scale factor."""
-    return middle(F.transform(values, lambda v: F.abs(v - middle(values))))
+    return summed_up(values)["mad"]
 
 
 def fenced(raw: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from finsift.functions.columns import middle, spread
+from finsift.functions.columns import middle, summed_up  # noqa: F401 - middle is read by queries
 from finsift.operators.peers import FEWEST
 from finsift.sources import config
 
@@ -22,12 +22,16 @@ def deviations(indicators: DataFrame, values: DataFrame) -> DataFrame:
     no multiple, is marked zero_mad and counts as extreme.
     """
     out = indicators.select("stock_code", "year", "indicator", F.col("value").alias("actual")).join(values, ["stock_code", "year", "indicator"])
-    out = out.withColumn("median", middle(F.col("values"))).withColumn("mad", spread(F.col("values")))
-    apart = F.col("actual") - F.col("median")
-    out = out.withColumn("signed", F.when(F.col("mad") > 0, apart / F.col("mad")).when(apart == 0, F.lit(0.0))).withColumn("multiple", F.abs("signed"))
-    out = out.withColumn("zero_mad", (F.col("mad") == 0) & (apart != 0)).withColumn("above", apart > 0)
+
+    def of(m: Column) -> Column:
+        apart = F.col("actual") - m["median"]
+        return F.struct(m["median"].alias("median"), m["mad"].alias("mad"), F.when(m["mad"] > 0, apart / m["mad"]).when(apart == 0, F.lit(0.0)).alias("signed"), ((m["mad"] == 0) & (apart != 0)).alias("zero_mad"), (apart > 0).alias("above"))
+
+    # a struct behind a generator is computed once; plain columns would be inlined again wherever they are read
+    out = out.select("stock_code", "year", "indicator", "actual", "n_peers", F.explode(F.transform(F.array(summed_up(F.col("values"))), of)).alias("__d"))
+    out = out.select("stock_code", "year", "indicator", "actual", "__d.median", "__d.mad", "__d.signed", F.abs("__d.signed").alias("multiple"), "__d.zero_mad", "__d.above", "n_peers")
     out = out.withColumn("severity", F.when(F.col("zero_mad"), "extreme").otherwise(level(F.col("multiple"))))
-    return out.withColumn("low_confidence", F.col("n_peers") < FEWEST).drop("values")
+    return out.withColumn("low_confidence", F.col("n_peers") < FEWEST)
 
 
 def outliers(found: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from finsift.functions.columns import ratio
+from finsift.sources import config
 
 
 def _growth(name: str):
@@ -16,13 +17,12 @@ def _growth(name: str):
 
 
 def derive(wide: DataFrame) -> DataFrame:
-    """``wide`` with a column for each indicator; one that lacks a field is null."""
+    """``wide`` with a column for each indicator of ``config.RATIOS`` and ``GROWTHS``; one
+    that lacks a field is null."""
     have = set(wide.columns)
     c = lambda n: F.col(n) if n in have else F.lit(None).cast("decimal(38,4)")
-    out = wide.withColumn("存货周转率", ratio(c("Cost_Revenue"), c("Inventory"))).withColumn("应收账款周转率", ratio(c("Revenue_Total"), c("Receivables")))
-    out = out.withColumn("毛利率", ratio(c("Gross_Profit"), c("Revenue_Total"))).withColumn("净利率", ratio(c("Net_Profit"), c("Revenue_Total")))
-    out = out.withColumn("资产负债率", ratio(c("Total_Liabilities"), c("Total_Assets"))).withColumn("流动比率", ratio(c("Current_Assets"), c("Current_Liabilities")))
-    return out.withColumn("营业收入增长率", _growth("Revenue_Total")).withColumn("净利润增长率", _growth("Net_Profit"))
+    out = wide.withColumns({name: ratio(c(above), c(below)) for name, (above, below) in config.RATIOS.items()})
+    return out.withColumns({name: _growth(field) if field in have else F.lit(None).cast("double") for name, field in config.GROWTHS.items()})
 
 
 def long_form(derived: DataFrame, names: list[str]) -> DataFrame:

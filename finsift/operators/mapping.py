@@ -26,10 +26,17 @@ def with_amount(raw: DataFrame) -> DataFrame:
     return out.withColumn("value", (F.col("parsed") * F.col("factor")).cast(AMOUNT)).withColumn("reason", reason).drop("parsed", "factor")
 
 
-def map_names(raw: DataFrame) -> DataFrame:
-    """Rows with the standard name of their raw name; null where there is none."""
+def map_names(raw: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """Rows with the standard name of their raw name; null where there is none.  Learned
+    ``aliases`` (see :mod:`finsift.operators.naming`) count where the vocabulary has no
+    such name; they grow with the names met, so the engine picks their join."""
     names = F.broadcast(config.fields(raw.sparkSession))  # the vocabulary
-    return raw.withColumn("raw_name", F.trim("raw_name")).join(names, "raw_name", "left")
+    out = raw.withColumn("raw_name", F.trim("raw_name")).join(names, "raw_name", "left")
+    if aliases is None:
+        return out
+    learned = aliases.groupBy("raw_name").agg(F.max_by(F.struct("standard_name", "statement", "priority"), F.struct("confidence", "standard_name")).alias("__a"))
+    fields = ("standard_name", "statement", "priority")
+    return out.join(learned, "raw_name", "left").withColumns({c: F.coalesce(c, F.col(f"__a.{c}")) for c in fields}).drop("__a")
 
 
 def unmapped(raw: DataFrame) -> DataFrame:

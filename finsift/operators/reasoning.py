@@ -3,24 +3,24 @@ model."""
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from finsift.functions.columns import fenced
+from finsift.operators.gateway import ANSWER, Provider, ask, logged, well_formed
 from finsift.sources import prompts
 from finsift.sources.config import NO_EXPLANATION, NO_FACTS, OPINIONS
-from finsift.sources.work import staged
+from finsift.sources.work import staged, there
 
 EXPLANATION = "summary string, source_text string, page_number int, is_vague boolean"
 HYPOTHESES = "array<struct<hypothesis:string,reasoning:string,source:string>>"
 #: Phrases that explain nothing.
 VAGUE = ("综合影响", "多种因素", "市场环境", "诸多因素", "正常波动")
 OTHER, MOST_OTHER, MOST_CAUSES = "其他", 0.2, 4
+#: What a log row counts.
+USED = ("calls", "errors", "tries", "prompt_tokens", "answer_tokens")
 
 
 def without_opinions(facts: DataFrame, text: str = "text") -> DataFrame:
@@ -77,10 +77,10 @@ def lookup_calls(anomalies: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def hypothesis_calls(anomalies: DataFrame, context: DataFrame) -> DataFrame:
-    """The same for the second path, from ``context`` (stock_code, macro_facts,
-    industry_tags) alone."""
+    """The same for the second path, from ``context`` (stock_code, year if it has one,
+    macro_facts, industry_tags) alone."""
     values = {"indicator": F.col("indicator"), "deviation": F.col("multiple"), "macro_facts": F.col("macro_facts"), "industry_tags": F.col("industry_tags")}
-    return anomalies.join(context, "stock_code", "left").select("stock_code", "year", "indicator", "source", F.lit("d1_hypothesis").alias("prompt_name"), prompts.rendered("d1_hypothesis", values).alias("variables"))
+    return anomalies.join(context, [c for c in ("stock_code", "year") if c in context.columns], "left").select("stock_code", "year", "indicator", "source", F.lit("d1_hypothesis").alias("prompt_name"), prompts.rendered("d1_hypothesis", values).alias("variables"))
 
 
 def probability_calls(paths: DataFrame) -> DataFrame:
@@ -181,55 +181,12 @@ def cache_misses(calls: DataFrame, cache: DataFrame) -> DataFrame:
     return keyed.join(cache.select("cache_key"), "cache_key", "left_anti").dropDuplicates(["cache_key"])
 
 
-Provider = Callable[[str, str], str]
-ANSWER = "cache_key string, response string, error string, tries int, seconds double, prompt_tokens long, answer_tokens long"
-
-
-def _tokens(text: str) -> int:
-    """An estimate for the log: a token for four letters, one for each wide letter."""
-    wide = sum(ord(c) > 0x2E7F for c in text)
-    return wide + -(-(len(text) - wide) // 4)
-
-
-def ask(calls: DataFrame, provider: Callable[[], Provider], tries: int = 3, wait: float = 1.0, timeout: float = 60.0, check: Callable[[str, str], bool] | None = None) -> DataFrame:
-    """(cache_key, response, error, tries, seconds, and estimates of tokens) of calls, by a
-    provider that each partition makes once.
-
-    A call that fails, takes longer than ``timeout`` seconds or whose answer
-    ``check`` (prompt name, answer) rejects is asked again after ``wait`` seconds,
-    then twice as many; one that keeps failing gives its error.  Write the answers
-    to the cache before using them, since a task that is run again asks again.
-    """
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        answer = provider()
-        for pdf in parts:
-            rows = []
-            for key, name, variables in zip(pdf["cache_key"], pdf["prompt_name"], pdf["variables"], strict=True):
-                began, error, response, n = time.monotonic(), None, None, 0
-                for n in range(1, tries + 1):
-                    pool = ThreadPoolExecutor(1)
-                    try:
-                        response = pool.submit(answer, name, variables).result(timeout)
-                        error = None if check is None or check(name, response) else "ValueError: the answer has not the form asked for"
-                    except Exception as e:  # noqa: BLE001 - the provider's own errors
-                        error = f"{type(e).__name__}: {e}"
-                    pool.shutdown(wait=False)
-                    if error is None:
-                        break
-                    response = None
-                    if n < tries:
-                        time.sleep(wait * 2 ** (n - 1))
-                rows.append((key, response, error, n, time.monotonic() - began, _tokens(variables or ""), _tokens(response or "")))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in ANSWER.split(", ")])
-
-    return calls.select("cache_key", "prompt_name", "variables").mapInPandas(run, ANSWER)
-
-
-def answered(calls: DataFrame, provider: Callable[[], Provider], cache: str, only_cache: bool = False, **how) -> DataFrame:
+def answered(calls: DataFrame, provider: Callable[[], Provider], cache: str, only_cache: bool = False, strict: bool = False, **how) -> DataFrame:
     """``calls`` (.., prompt_name, variables) with their response, from the Parquet
-    folder ``cache``; what it lacks is asked and added first, unless ``only_cache``.
-    Only answers are kept, so an error is asked again next time."""
+    folder ``cache``; what it lacks is asked (:func:`gateway.ask`) and added first, unless
+    ``only_cache``.  Only answers are kept, with ``strict`` only such as have their prompt's
+    form, so others are asked again next time.  Each time a row of what was used is added
+    to the folder ``cache`` with ``_log`` to its name."""
     spark = calls.sparkSession
     schema = f"{ANSWER}, prompt_name string"
     keyed = calls.withColumn("cache_key", cache_key(F.col("prompt_name"), F.col("variables")))
@@ -237,13 +194,17 @@ def answered(calls: DataFrame, provider: Callable[[], Provider], cache: str, onl
     def stored() -> DataFrame:
         return spark.read.schema(schema).parquet(cache)
 
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache)
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+    if not there(spark, cache):
         spark.createDataFrame([], schema).write.parquet(cache)
     if not only_cache:
-        missing = cache_misses(calls, stored())
-        new = ask(missing, provider, **how).join(missing.select("cache_key", "prompt_name"), "cache_key")
-        new.where("error is null").select(*[c.split()[0] for c in schema.split(", ")]).write.mode("append").parquet(cache)
+        # written first, for a call that is computed twice is asked twice
+        missing = staged(cache_misses(calls, stored()).select("cache_key", "prompt_name", "variables"), "missing")
+        asked = staged(ask(missing, provider, **how), "asked")
+        new = asked.join(missing.select("cache_key", "prompt_name"), "cache_key").select(*[c.split()[0] for c in schema.split(", ")])
+        good = well_formed(F.col("prompt_name"), F.col("response")) if strict else F.lit(True)
+        new.where(F.col("error").isNull() & good).write.mode("append").parquet(cache)
+        used = logged(asked, lambda df: df.write.format("noop").mode("overwrite").save())
+        spark.createDataFrame([tuple(used[c] for c in USED)], ", ".join(f"{c} long" for c in USED)).withColumn("at", F.current_timestamp()).write.mode("append").parquet(f"{cache}_log")
     # a run that was cut short may have added an answer twice
     known = stored().groupBy("cache_key").agg(F.min("response").alias("response"))
     return keyed.join(known, "cache_key", "left").drop("cache_key")

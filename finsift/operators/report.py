@@ -20,14 +20,18 @@ def items(found: DataFrame, checks: DataFrame) -> DataFrame:
     return b.unionByName(c)
 
 
-def explained(rows: DataFrame, attribution: DataFrame, evidence: DataFrame) -> DataFrame:
-    """``rows`` of :func:`items` with their causes (cause, p; the likeliest first) and
-    what the report itself says (summary, page_number), null where nothing is known."""
+def explained(rows: DataFrame, attribution: DataFrame, evidence: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """``rows`` of :func:`items` with their causes (cause, p; the likeliest first), what the
+    report itself says (summary, page_number), and the company's own mean of the years
+    before from ``history`` (historical_mean); null where nothing is known."""
     key = ["stock_code", "year", "name"]
     ordered = F.array_sort(F.transform(F.map_entries("probabilities"), lambda e: F.struct((-e["value"]).alias("p"), e["key"].alias("cause"))))
     causes = attribution.select("stock_code", "year", F.col("indicator").alias("name"), "source", F.transform(ordered, lambda e: F.struct(e["cause"].alias("cause"), (-e["p"]).alias("p"))).alias("causes"))
     said = evidence.select("stock_code", "year", F.col("indicator").alias("name"), "summary", "page_number")
-    return rows.join(causes, [*key, "source"], "left").join(said, key, "left")
+    out = rows.join(causes, [*key, "source"], "left").join(said, key, "left")
+    if history is None:
+        return out.withColumn("historical_mean", F.lit(None).cast("double"))
+    return out.join(history.select("stock_code", "year", F.col("indicator").alias("name"), F.round("historical_mean", 6).alias("historical_mean")), key, "left")
 
 
 def points(impacts: DataFrame) -> DataFrame:
@@ -48,7 +52,7 @@ def too_long(rows: DataFrame, text: str, most: int = POINT) -> DataFrame:
 #: The report as JSON.
 REPORT = (
     "overall struct<final_score:double,tier:string,c_impact:double,bplus_impact:double,peer_comparison:array<struct<peer_code:string,similarity:double>>>, "
-    "core_anomalies array<struct<source:string,name:string,severity:string,value:double,probabilities:map<string,double>,summary:string,page_number:int>>, "
+    "core_anomalies array<struct<source:string,name:string,severity:string,value:double,probabilities:map<string,double>,summary:string,page_number:int,historical_mean:double>>, "
     "points struct<bull:array<string>,bear:array<string>>, message string"
 )
 
@@ -58,16 +62,16 @@ def assemble(scores: DataFrame, anomalies: DataFrame, side_points: DataFrame, pe
     the message of a blocked one.  Lists hold a company-year's own anomalies, of
     :func:`explained`, and its peers."""
     key = ["stock_code", "year"]
-    fields = ["source", "name", "severity", "value", "causes", "summary", "page_number"]
+    fields = ["source", "name", "severity", "value", "causes", "summary", "page_number", "historical_mean"]
     listed = anomalies.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("core_anomalies"))
     sides = side_points.groupBy(*key).agg(*[F.array_sort(F.collect_list(F.when(F.col("side") == s, F.col("point")))).alias(s) for s in ("bull", "bear")])
     beside = peers.groupBy("stock_code").agg(F.array_sort(F.collect_list(F.struct("rank", "peer_code", "similarity"))).alias("peers"))  # five
     full = scores.join(listed, key, "left").join(sides, key, "left").join(beside, "stock_code", "left")
-    one = lambda a: F.struct(*[a[f].alias(f) for f in fields[:4]], F.map_from_entries(a["causes"]).alias("probabilities"), a["summary"].alias("summary"), a["page_number"].alias("page_number"))
+    one = lambda a: F.struct(*[a[f].alias(f) for f in fields[:4]], F.map_from_entries(a["causes"]).alias("probabilities"), a["summary"].alias("summary"), a["page_number"].alias("page_number"), a["historical_mean"].alias("historical_mean"))
     text = F.array().cast("array<string>")
     body = F.struct(
         F.struct("final_score", "tier", "c_impact", "bplus_impact", F.coalesce(F.transform("peers", lambda p: F.struct(p["peer_code"].alias("peer_code"), p["similarity"].alias("similarity"))), F.array().cast("array<struct<peer_code:string,similarity:double>>")).alias("peer_comparison")).alias("overall"),
-        F.coalesce(F.transform("core_anomalies", one), F.array().cast("array<struct<source:string,name:string,severity:string,value:double,probabilities:map<string,double>,summary:string,page_number:int>>")).alias("core_anomalies"),
+        F.coalesce(F.transform("core_anomalies", one), F.array().cast("array<struct<source:string,name:string,severity:string,value:double,probabilities:map<string,double>,summary:string,page_number:int,historical_mean:double>>")).alias("core_anomalies"),
         F.struct(F.coalesce("bull", text).alias("bull"), F.coalesce("bear", text).alias("bear")).alias("points"),
     )
     done = full.select(*key, F.to_json(body).alias("report"))

@@ -80,15 +80,53 @@ def raw_cells(spark: SparkSession, d: str) -> DataFrame:
     """Recognised text: names by turn from the vocabulary, units by turn, negative
     amounts in brackets, an unreadable amount and an unknown unit now and then."""
     names = {"Revenue_Total": ("营业收入", "营业总收入", "营收 "), "Net_Profit": ("净利润", "归母净利润", "盈利"), "Total_Assets": ("资产总计", "总资产", "资产总计")}
-    w, n = staged(wide(spark, d).select("stock_code", "year", "number", *names), "wide"), F.col("number")
-    out = None
+    w, n = wide(spark, d), F.col("number")
+    cells = []
     for field, forms in names.items():
-        raw = F.when(n % 3 == 0, forms[0]).when(n % 3 == 1, forms[1]).otherwise(forms[2])
         value = F.col(field)
+        raw = F.when(n % 3 == 0, forms[0]).when(n % 3 == 1, forms[1]).otherwise(forms[2])
         text = F.when(n % 13 == 5, "—").when(value < 0, F.concat(F.lit("("), F.abs(value).cast("string"), F.lit(")"))).otherwise(F.concat(F.lit(" "), value.cast("string")))
-        rows = w.select("stock_code", "year", raw.alias("raw_name"), text.alias("text"), F.when(n % 4 == 0, "元").when(n % 4 == 1, "千元").when(n % 4 == 2, "万元").otherwise("美元").alias("table_unit"), F.when(n % 5 == 0, "元").alias("field_unit"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+        cells.append(F.struct(raw.alias("raw_name"), text.alias("text")))
+    units = [F.when(n % 4 == 0, "元").when(n % 4 == 1, "千元").when(n % 4 == 2, "万元").otherwise("美元").alias("table_unit"), F.when(n % 5 == 0, "元").alias("field_unit")]
+    return w.select("stock_code", "year", *units, F.inline(F.array(*cells))).select("stock_code", "year", "raw_name", "text", "table_unit", "field_unit")
+
+
+def grids(spark: SparkSession, d: str) -> DataFrame:
+    """Extracted documents with a balance sheet and an income statement as grids: opening
+    balances before closing ones or after, notes between, units above the table, in a
+    name or with the document, an unreadable amount now and then."""
+    n, c = F.col("number"), F.col
+    cents = lambda x: F.format_number(F.abs(x).cast("decimal(30,2)"), 2)
+    say = lambda x: F.when(x < 0, F.concat(F.lit("("), cents(x), F.lit(")"))).otherwise(cents(x))
+    end, begin, note = F.when(n % 2 == 0, "期末余额").otherwise(" 期末数"), F.lit("期初余额"), F.lit("附注")
+
+    def row(name, first, second):
+        ordered = F.when(n % 3 == 0, F.array(name, F.lit("七、1"), say(first), say(second)))
+        return ordered.otherwise(F.array(name, say(second), F.lit("注"), say(first)))
+
+    head = F.when(n % 3 == 0, F.array(F.lit("项目"), note, end, begin)).otherwise(F.array(F.lit("项目"), begin, note, end))
+    top = F.array(F.when(n % 5 == 0, "单位：千元 币种：人民币").otherwise("编制单位"))
+    broken = F.when(n % 13 == 5, F.array(F.lit("负债合计"), F.lit("—"), F.lit("—"), F.lit("—"))).otherwise(row(F.lit("负债合计"), c("Total_Liabilities"), c("Total_Assets")))
+    sheet = F.array(top, head, row(F.lit("资产总计"), c("Total_Assets"), c("Total_Liabilities")), broken, row(F.lit("一、未分配利润（元）"), c("Retained_End"), c("Retained_Begin")), F.array(F.lit("审计师：甲")))
+    flows = F.array(F.array(F.lit("项目"), F.concat(c("year").cast("string"), F.lit("年度")), F.concat((c("year") - 1).cast("string"), F.lit("年度"))), F.array(F.lit("净利润"), say(c("Net_Profit")), say(c("Revenue_Total"))), F.array(F.lit("利润分配"), say(c("Dividends")), F.lit("")))
+    grid = lambda i, title, rows: F.struct(F.lit(i).alias("table_id"), title.alias("title"), F.lit(None).cast("string").alias("unit"), F.lit(9).alias("page_number"), rows.alias("rows"))
+    title = F.when(n % 4 == 1, "母公司资产负债表").otherwise("合并资产负债表")
+    meta = F.create_map(F.lit("unit"), F.when(n % 7 == 3, "万元").otherwise("元"))
+    return wide(spark, d).select("stock_code", "year", meta.alias("metadata"), F.struct(c("industry").alias("industry_classification")).alias("company_overview"), F.array(grid(0, title, sheet), grid(1, F.lit("利润表"), flows)).alias("grids"))
+
+
+#: Names as reports write them: known ones edited, and others that are near them in letters only.
+VARIANTS = (
+    "营业 收入", "一、营业总收入", "营业总收人", "主营业务收入净额", "减：营业成本", "营业成本（元）", "归属母公司股东的净利润", "归属于母公司股东净利润", "扣非后净利润", "净利润率",
+    "资产总計", "非流动资产合计", "流动资产合计", "流动负债小计", "负债合計", "股东权益合计额", "所有者权益总计", "货币资金余额", "经营活动产生的现金流量净額", "经营活动现金流入净额",
+    "销售商品、提供劳务收到现金", "应收帐款", "其他应收账款", "存货净额", "有息负责", "期未未分配利润", "期初未分配利润", "商誉", "研发费用", "利润分配表",
+)
+
+
+def named_cells(spark: SparkSession, d: str) -> DataFrame:
+    """A name of VARIANTS for each order."""
+    names = F.array(*[F.lit(v) for v in VARIANTS])
+    return table(spark, d, "orders").select("o_orderkey", F.get(names, (F.col("o_custkey") % len(VARIANTS)).cast("int")).alias("raw_name"))
 
 
 def companies(spark: SparkSession, d: str) -> DataFrame:

@@ -4,7 +4,7 @@ the operators but the domain tables."""
 
 from __future__ import annotations
 
-from finsift.plans.analog import INDICATORS
+from finsift.plans.analog import INDICATORS, VARIANTS
 from finsift.sources import config, prompts
 
 
@@ -100,6 +100,25 @@ dict AS {_values(_FIELD_ROWS, "raw_name, standard_name, statement, priority")},
 dl AS (SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS line, CAST(unnest(range(len(string_split(text, chr(10))))) AS INT) AS pos FROM documents WHERE text IS NOT NULL)
 """
 _BALANCE = "SELECT stock_code, year, CAST(Total_Assets AS DOUBLE) AS lhs, CAST(Total_Liabilities + Equity_Total AS DOUBLE) AS rhs, CAST(abs(Total_Assets - Total_Liabilities - Equity_Total) AS DOUBLE) AS diff, abs(Total_Assets - Total_Liabilities - Equity_Total) <= 1 AS ok FROM w"
+_GRID = """, x AS (SELECT *, stock_code || '_' || year AS doc, CASE WHEN n % 5 = 0 THEN '千元' WHEN n % 7 = 3 THEN '万元' ELSE '元' END AS u0, CASE WHEN n % 7 = 3 THEN '万元' ELSE '元' END AS u1,
+    CASE WHEN n % 4 = 1 THEN '母公司报表' ELSE '合并报表' END AS t0, CASE WHEN n % 3 = 0 THEN 2 ELSE 3 END AS ec, CASE WHEN n % 3 = 0 THEN 3 ELSE 1 END AS bc FROM w),
+fields AS (SELECT x.*, unnest([{'t': 0, 'r': 2, 'raw': '资产总计', 's': 'Total_Assets', 'u': u0, 'k': t0, 'a': Total_Assets, 'b': Total_Liabilities}, {'t': 0, 'r': 3, 'raw': '负债合计', 's': 'Total_Liabilities', 'u': u0, 'k': t0, 'a': Total_Liabilities, 'b': Total_Assets},
+    {'t': 0, 'r': 4, 'raw': '未分配利润', 's': 'Retained_End', 'u': '元', 'k': t0, 'a': Retained_End, 'b': Retained_Begin}, {'t': 1, 'r': 1, 'raw': '净利润', 's': 'Net_Profit', 'u': u1, 'k': '合并报表', 'a': Net_Profit, 'b': Revenue_Total},
+    {'t': 1, 'r': 2, 'raw': '利润分配', 's': 'Dividends', 'u': u1, 'k': '合并报表', 'a': Dividends, 'b': NULL}]) AS f FROM x),
+placed AS (SELECT stock_code, year, n, doc, f.t AS table_id, f.r AS row, f.raw AS raw_name, f.s AS standard_name, f.u AS unit, f.k AS report_type,
+    unnest([{'c': CASE WHEN f.t = 0 THEN ec ELSE 1 END, 'p': CASE WHEN f.t = 0 THEN 'end_balance' ELSE 'year' END, 'v': f.a}, {'c': CASE WHEN f.t = 0 THEN bc ELSE 2 END, 'p': CASE WHEN f.t = 0 THEN 'begin_balance' ELSE 'previous_year' END, 'v': f.b}]) AS p FROM fields),
+cell AS (SELECT * EXCLUDE p, p.c AS col, p.p AS role, CASE WHEN table_id = 0 AND row = 3 AND n % 13 = 5 THEN NULL ELSE round(CAST(p.v AS DECIMAL(38,4)), 2) END AS parsed FROM placed),
+gf AS (SELECT *, CAST(parsed * CASE unit WHEN '元' THEN 1 WHEN '千元' THEN 1000 ELSE 10000 END AS DECIMAL(38,4)) AS value FROM cell)"""
+_LETTERS = "".join(sorted({c for _, _, names in config.FIELDS for v in names for c in v}))
+_PLAIN = "".join(chr(c) for c in range(33, 127) if chr(c) not in "'\\")[: len(_LETTERS)]
+_MEANS = " AND ".join([*(f"(NOT contains(name, '{q}') OR contains(d.raw_name, '{q}'))" for q in config.QUALIFIERS), *(f"(NOT contains(d.raw_name, '{q}') OR contains(name, '{q}'))" for q in config.MARKERS)])
+# edits are counted in bytes there: each letter of the vocabulary becomes a byte of its own, any other one more
+_NEAR = rf""", oc AS (SELECT o_orderkey, {[*VARIANTS]}[o_custkey % {len(VARIANTS)} + 1] AS raw_name FROM orders),
+un AS (SELECT trim(raw_name) AS raw_name, count(*) AS n_rows FROM oc WHERE trim(raw_name) NOT IN (SELECT raw_name FROM dict) GROUP BY 1),
+cl AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw_name, '[ 　	]', '', 'g'), '^([一二三四五六七八九十]+、|[（(][一二三四五六七八九十]+[）)]|[0-9]+[、.])', ''), '^(其中|减|加)[:：]', ''), '[（(][^（()）]*[）)]$', '') AS name FROM un),
+al AS (SELECT c.raw_name, d.raw_name AS known, standard_name, statement, priority, round(1 - CAST(levenshtein(translate(regexp_replace(name, '[^{_LETTERS}]', '~', 'g'), '{_LETTERS}', '{_PLAIN}'), translate(d.raw_name, '{_LETTERS}', '{_PLAIN}')) AS DOUBLE) / greatest(length(name), length(d.raw_name)), 9) AS confidence FROM cl c, dict d WHERE {_MEANS}),
+tp AS (SELECT *, max(confidence) OVER (PARTITION BY raw_name) AS m FROM al WHERE confidence >= 0.666666667),
+su AS (SELECT * FROM tp WHERE confidence = m AND raw_name IN (SELECT raw_name FROM tp WHERE confidence = m GROUP BY 1 HAVING count(DISTINCT standard_name) = 1) QUALIFY row_number() OVER (PARTITION BY raw_name ORDER BY priority, known) = 1)"""
 _RD = "abs(Retained_End - Retained_Begin - Net_Profit + Dividends)"
 _RETAINED = f"SELECT stock_code, year, CAST(Retained_End AS DOUBLE) AS lhs, CAST(Retained_Begin + Net_Profit - Dividends AS DOUBLE) AS rhs, CAST({_RD} AS DOUBLE) AS diff, CASE WHEN {_RD} = 0 THEN true WHEN Retained_End = 0 THEN NULL ELSE CAST({_RD} AS DOUBLE) / abs(CAST(Retained_End AS DOUBLE)) <= 1e-3 END AS ok FROM w"
 _A = "stock_code, year, check_name, value, threshold, severity"
@@ -177,6 +196,23 @@ _SQL = {
     "pdf_names": "SELECT o_orderkey, lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS stock_code, CAST(year(o_orderdate) AS INT) AS year FROM orders",
     "unprocessed_files": "SELECT stock_code, year FROM w WHERE year % 2 <> 0",
     "benchmark_facts": "SELECT industry, year, indicator, count(*) AS n, min(round(value, 6)) AS least, max(round(value, 6)) AS most FROM ind GROUP BY ALL",
+    "header_roles": _GRID + " SELECT doc, table_id, row, col, role, raw_name, standard_name, unit, report_type FROM cell",
+    "grid_facts": _GRID + " SELECT stock_code, year, report_type, standard_name, role, CAST(value AS DOUBLE) AS value, CASE WHEN parsed IS NULL THEN 'text' END AS reason FROM gf WHERE role <> 'previous_year' OR standard_name <> 'Dividends'",
+    "grid_rollforward": _GRID + """, r AS (SELECT stock_code, year, max(CASE WHEN standard_name = 'Retained_End' AND role = 'end_balance' THEN value END) AS e, max(CASE WHEN standard_name = 'Retained_End' AND role = 'begin_balance' THEN value END) AS b,
+        max(CASE WHEN standard_name = 'Net_Profit' AND role = 'year' THEN value END) AS p, max(CASE WHEN standard_name = 'Dividends' AND role = 'year' THEN value END) AS v FROM gf GROUP BY ALL)
+        SELECT stock_code, year, CAST(e AS DOUBLE) AS lhs, CAST(b + p - v AS DOUBLE) AS rhs, CAST(abs(e - b - p + v) AS DOUBLE) AS diff, CASE WHEN e = b + p - v THEN true WHEN e = 0 THEN NULL ELSE CAST(abs(e - b - p + v) AS DOUBLE) / abs(CAST(e AS DOUBLE)) <= 1e-3 END AS ok FROM r""",
+    "alias_suggestions": _NEAR + " SELECT raw_name, n_rows, standard_name, known, round(confidence, 6) AS confidence FROM un LEFT JOIN su USING (raw_name)",
+    "alias_mapping": _NEAR + " SELECT o_orderkey, trim(oc.raw_name) AS raw_name, coalesce(dict.standard_name, su.standard_name) AS standard_name, coalesce(dict.statement, su.statement) AS statement FROM oc LEFT JOIN dict ON dict.raw_name = trim(oc.raw_name) LEFT JOIN su ON su.raw_name = trim(oc.raw_name) AND su.confidence >= 0.8",
+    "prompt_tagging": ", o AS (SELECT industry, dimension, list_sort(list(DISTINCT value)) AS v FROM tags GROUP BY ALL), l AS (SELECT industry, string_agg(chr(10) || dimension || ': ' || array_to_string(v, ', '), '' ORDER BY dimension) AS t FROM o GROUP BY 1) SELECT stock_code, 'Tag ' || stock_code || ' (' || CASE WHEN n % 2 = 0 THEN industry ELSE '' END || ') with one third-level industry and one listed option of each dimension:' || t || chr(10) || 'Answer JSON with hard_tag and soft_tags.' AS prompt FROM co JOIN l USING (industry)",
+    "answer_violations": """, e AS (SELECT event_id, event_type AS t, CAST(json_extract(props, '$.k') AS INT) AS k, event_id % 4 AS m, event_id % 5 AS z FROM events),
+        i AS (SELECT event_id, k, unnest(range(z + 1)) AS i FROM e WHERE event_id % 11 <> 0)
+        SELECT event_id, '$' AS path, 'json' AS fault FROM e WHERE event_id % 11 = 0
+        UNION ALL SELECT event_id, '$.event', 'enum' FROM e WHERE event_id % 11 <> 0 AND t NOT IN ('click', 'view', 'purchase', 'error')
+        UNION ALL SELECT event_id, '$.event', 'maxLength' FROM e WHERE event_id % 11 <> 0 AND length(t) > 5
+        UNION ALL SELECT event_id, '$.k', CASE m WHEN 1 THEN 'missing' ELSE 'type' END FROM e WHERE event_id % 11 <> 0 AND m IN (1, 2)
+        UNION ALL SELECT event_id, '$.k', CASE WHEN k < 10 THEN 'minimum' ELSE 'maximum' END FROM e WHERE event_id % 11 <> 0 AND m NOT IN (1, 2) AND (k < 10 OR k > 80)
+        UNION ALL SELECT event_id, '$.tags', 'maxItems' FROM e WHERE event_id % 11 <> 0 AND z >= 3
+        UNION ALL SELECT event_id, '$.tags[' || i || '].n', CASE WHEN i % 3 = 2 THEN 'missing' ELSE 'maximum' END FROM i WHERE i % 3 = 2 OR k + i > 50""",
     "config_tables": f"SELECT indicator, category, CAST(base_weight AS DOUBLE) AS base_weight, CASE WHEN direction = 'positive' THEN 1 ELSE -1 END AS sign, CAST(cap AS DOUBLE) AS cap FROM {_values(config.INDICATORS, 'indicator, category, base_weight, direction, cap')}",
 }
 ORACLE_SQL = {k: BASE + v for k, v in _SQL.items()}

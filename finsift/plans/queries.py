@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finsift.functions.columns import amount
-from finsift.operators import deviation, documents, indicators, logic_checks, mapping, peers, reasoning, report, scoring, validation
+from finsift.functions.schema import violations
+from finsift.operators import deviation, documents, guide, indicators, logic_checks, mapping, naming, peers, reasoning, report, scoring, validation
 from finsift.plans import analog, stages
 from finsift.plans.analog import INDICATORS, NAMES, table
 from finsift.sources import config, prompts, reports
@@ -193,6 +194,49 @@ def cell_fetch(s, d):
     return mapping.fetch_cells(cells, guide).select("doc", "row", "col", "role", "cell")
 
 
+def _period_facts(s, d):
+    cells = staged(guide.grid_cells(analog.grids(s, d)), "cells")
+    return guide.period_facts(cells, guide.header_guide(guide.headers(cells)))
+
+
+@query
+def header_roles(s, d):
+    """What the guide makes of the headers alone: columns and rows of known names."""
+    said = staged(guide.headers(guide.grid_cells(analog.grids(s, d))), "headers")
+    return guide.header_guide(said).where("standard_name is not null").select("doc", "table_id", "row", "col", "role", "raw_name", "standard_name", F.coalesce("field_unit", "table_unit").alias("unit"), "report_type")
+
+
+@query
+def grid_facts(s, d):
+    got = _period_facts(s, d)
+    return got.where("standard_name is not null").select(*KEY, "report_type", "standard_name", "role", F.col("value").cast("double").alias("value"), "reason")
+
+
+@query
+def grid_rollforward(s, d):
+    """Retained earnings from one table's opening and closing columns."""
+    facts = guide.statement_facts(_period_facts(s, d)).where("standard_name in ('Retained_Begin', 'Retained_End', 'Net_Profit', 'Dividends')")
+    names = ["Retained_Begin", "Retained_End", "Net_Profit", "Dividends"]
+    return _rounded(validation.retained(mapping.statements(facts.drop("report_type"), names)), "lhs", "rhs", "diff")
+
+
+@query
+def alias_suggestions(s, d):
+    """Names outside the vocabulary with what they stand for, how surely, and their rows."""
+    raw = analog.named_cells(s, d)
+    missing = mapping.unmapped(raw)
+    near = naming.suggestions(missing).select("raw_name", "standard_name", "known", F.round("confidence", 6).alias("confidence"))
+    return missing.join(near, "raw_name", "left").select("raw_name", "n_rows", "standard_name", "known", "confidence")
+
+
+@query
+def alias_mapping(s, d):
+    """The same names mapped through the aliases that are sure enough to be learned."""
+    raw = analog.named_cells(s, d)
+    learned = naming.suggestions(mapping.unmapped(raw), 0.8)
+    return mapping.map_names(raw, learned).select("o_orderkey", "raw_name", "standard_name", "statement")
+
+
 @query
 def balance_check(s, d):
     return _rounded(validation.balance(analog.wide(s, d)), "lhs", "rhs", "diff")
@@ -390,7 +434,7 @@ def evidence(s, d):
     n = F.col("s_suppkey")
     said = F.when(n % 3 == 0, "收入平稳。本期毛利率受多种因素影响。").otherwise("本期毛利率随产品结构变化。资产负债率因借款上升！")
     pages = table(s, d, "supplier").where("s_suppkey % 2 = 0").select(analog.code(n).alias("stock_code"), F.explode(F.sequence(F.lit(1990), F.lit(2010))).alias("year"), F.lit("管理层讨论").alias("title"), said.alias("content"), (n % 200).cast("int").alias("page_number"))
-    return reasoning.evidence(asked, pages, config.KEYWORDS)
+    return reasoning.evidence(asked, pages, config.keywords())
 
 
 @query
@@ -434,6 +478,39 @@ def prompt_render(s, d):
     return got.select(*KEY, "indicator", prompts.rendered("d1_hypothesis", values).alias("prompt"))
 
 
+@query
+def prompt_tagging(s, d):
+    """The tagging prompt of each company, with a line for each dimension of its industry."""
+    tags = analog.tags(s, d)
+    options = tags.groupBy("industry", "dimension").agg(F.array_sort(F.collect_set("value")).alias("options"))
+    listed = options.groupBy("industry").agg(F.array_sort(F.collect_list(F.struct(F.col("dimension").alias("name"), "options"))).alias("soft_tags"))
+    rows = analog.companies(s, d).join(listed, "industry")
+    values = {"company_name": F.col("stock_code"), "business_description": F.when(F.col("number") % 2 == 0, F.col("industry")), "soft_tags": F.col("soft_tags")}
+    return rows.select("stock_code", prompts.rendered("a1_tagging", values).alias("prompt"))
+
+
+#: What the events are checked against.
+EVENT = {
+    "type": "object",
+    "required": ["event", "k", "tags"],
+    "properties": {
+        "event": {"type": "string", "enum": ["click", "view", "purchase", "error"], "maxLength": 5},
+        "k": {"type": "integer", "minimum": 10, "maximum": 80},
+        "tags": {"type": "array", "maxItems": 3, "items": {"type": "object", "required": ["n"], "properties": {"n": {"type": "number", "maximum": 50}}}},
+    },
+}
+
+
+@query
+def answer_violations(s, d):
+    """Each way in which the events, as JSON, miss the form they should have."""
+    n, k = F.col("event_id"), F.get_json_object("props", "$.k")
+    tags = F.array_join(F.transform(F.sequence(F.lit(0), (n % 5).cast("int")), lambda i: F.concat(F.when(i % 3 == 2, '{"m": ').otherwise('{"n": '), (k.cast("int") + i).cast("string"), F.lit("}"))), ", ")
+    fields = F.concat_ws(", ", F.concat(F.lit('"event": "'), "event_type", F.lit('"')), F.when(n % 4 != 1, F.concat(F.lit('"k": '), F.when(n % 4 == 2, F.concat(F.lit('"'), k, F.lit('"'))).otherwise(k))), F.concat(F.lit('"tags": ['), tags, F.lit("]")))
+    raw = F.when(n % 11 == 0, F.concat(F.lit("{"), fields)).otherwise(F.concat(F.lit("{"), fields, F.lit("}")))
+    return table(s, d, "events").select("event_id", F.explode(violations(raw, EVENT)).alias("v")).select("event_id", "v.path", "v.fault")
+
+
 @query
 def llm_cache_misses(s, d):
     calls = table(s, d, "events").select(F.lit("d1_hypothesis").alias("prompt_name"), F.concat("event_type", F.lit(" "), (F.col("event_id") % 50).cast("string")).alias("variables"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from finsift.operators import mapping
 from finsift.sources.config import GROUP
-from finsift.sources.work import staged
+from finsift.sources.work import staged, there
 
 _TABLE = "array<map<string,string>>"
 #: An extracted document, as one JSON file each.
@@ -19,18 +19,14 @@ RAW_DOCUMENT = (
     f"financial_data struct<balance_sheet:{_TABLE},income_statement:{_TABLE},cashflow_statement:{_TABLE}>, "
     "management_discussion struct<sections:array<struct<title:string,content:string,page_number:int>>>, "
     "footnotes struct<items:array<struct<name:string,content:string,page_number:int>>>, "
-    "company_overview struct<business_description:string,industry_classification:string>"
+    "company_overview struct<business_description:string,industry_classification:string>, "
+    "grids array<struct<table_id:int,title:string,unit:string,page_number:int,rows:array<array<string>>>>"
 )
 #: Statements and where a document has them.
 TABLES = (("balance_sheet", "balance_sheet"), ("profit_loss", "income_statement"), ("cashflow", "cashflow_statement"))
 BENCHMARK = "stock_code string, industry string, year int, indicator string, value double"
 
 
-def there(spark: SparkSession, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-
-
 def named(path: Column) -> tuple[Column, Column]:
     """Stock code and year of a file named ``code_year``."""
     form = r"(\d{6})_(\d{4})[^/]*$"
@@ -72,7 +68,12 @@ def cells(docs: DataFrame) -> DataFrame:
     return out
 
 
-def facts_of(docs: DataFrame) -> DataFrame:
+def raw_names(docs: DataFrame) -> DataFrame:
+    """(raw_name) of the rows of the three tables."""
+    return cells(docs).where(~F.col("name").isin("unit", "report_type")).select(F.trim("name").alias("raw_name"))
+
+
+def facts_of(docs: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """(stock_code, company_name, industry, year, report_type, standard_name, value) of
     extracted documents, in yuan, one for each standard name, and why a cell gave none
     is in :func:`unreadable`.
@@ -80,19 +81,19 @@ def facts_of(docs: DataFrame) -> DataFrame:
     A row of a table may name its own unit and report type (unit, report_type);
     else the document's metadata do, else amounts are in yuan and consolidated.
     """
-    good = _amounts(docs).where("standard_name is not null and value is not null")
+    good = _amounts(docs, aliases).where("standard_name is not null and value is not null")
     best = mapping.preferred(good, ["stock_code", "year", "report_type"])
     return best.select("stock_code", "company_name", "industry", "year", "report_type", "standard_name", "value")
 
 
-def unreadable(docs: DataFrame) -> DataFrame:
+def unreadable(docs: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """(stock_code, year, statement, raw_name, text, reason) of the cells that give no
     fact: "name" outside the vocabulary, "text" that is no amount, unknown "unit"."""
     why = F.when(F.col("standard_name").isNull(), "name").otherwise(F.col("reason"))
-    return _amounts(docs).withColumn("reason", why).where("reason is not null").select("stock_code", "year", "statement", "raw_name", "text", "reason")
+    return _amounts(docs, aliases).withColumn("reason", why).where("reason is not null").select("stock_code", "year", "statement", "raw_name", "text", "reason")
 
 
-def _amounts(docs: DataFrame) -> DataFrame:
+def _amounts(docs: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     own = lambda k: F.try_element_at("metadata", F.lit(k))
     out = None
     for statement, field in TABLES:
@@ -100,7 +101,7 @@ def _amounts(docs: DataFrame) -> DataFrame:
         rows = rows.select("*", F.try_element_at("r", F.lit("unit")).alias("field_unit"), F.coalesce(F.try_element_at("r", F.lit("report_type")), "__type", F.lit(GROUP)).alias("report_type"))
         rows = rows.select(*[c for c in rows.columns if c not in ("r", "__type")], F.explode(F.map_filter("r", lambda k, v: ~k.isin("unit", "report_type"))).alias("raw_name", "text"))
         out = rows if out is None else out.unionByName(rows)
-    out = mapping.map_names(mapping.with_amount(out.withColumn("table_unit", F.coalesce("table_unit", F.lit("元")))).withColumnRenamed("statement", "__statement"))
+    out = mapping.map_names(mapping.with_amount(out.withColumn("table_unit", F.coalesce("table_unit", F.lit("元")))).withColumnRenamed("statement", "__statement"), aliases)
     # a name counts in its own statement only
     fits = F.col("statement") == F.col("__statement")
     return out.withColumn("standard_name", F.when(fits, F.col("standard_name"))).drop("statement").withColumnRenamed("__statement", "statement")

@@ -3,6 +3,7 @@ vocabulary, weights, thresholds, tags and prompts."""
 
 from __future__ import annotations
 
+import hashlib
 import json
 from pathlib import PurePosixPath
 
@@ -34,12 +35,24 @@ def _read(spark: SparkSession, folder: str) -> dict[str, object]:
 
 def use(spark: SparkSession, folder: str) -> None:
     """Take what a folder has of financial_fields, weights, thresholds, industry_tags
-    and prompts/*; what it lacks stays built in.  Settings hold for this program."""
+    and prompts/*; what it lacks stays built in.  Settings hold for this program.
+
+    An indicator that isn't built in says what it is made of: ``ratio: [above, below]`` or
+    ``growth: field``, by standard names; a field that isn't built in is one of
+    financial_fields.  Every stage reads both when it runs."""
     found = _read(spark, folder)
     if "financial_fields" in found:
         config.FIELDS = tuple((name, f["type"], tuple(f["chinese_variants"])) for name, f in found["financial_fields"]["fields"].items())
     if "weights" in found:
         config.INDICATORS = tuple((name, w["category"], float(w["base_weight"]), w["direction"], float(w["amplification_cap"])) for name, w in found["weights"]["weights"].items())
+        for name, w in found["weights"]["weights"].items():
+            if "ratio" in w:
+                config.RATIOS = config.RATIOS | {name: tuple(w["ratio"])}
+            if "growth" in w:
+                config.GROWTHS = config.GROWTHS | {name: w["growth"]}
+        formed = config.RATIOS.keys() | config.GROWTHS.keys()
+        if bare := [n for n in config.indicator_names() if n not in formed]:
+            raise ValueError(f"weights: {bare} need a ratio (two fields) or a growth (one)")
     if "thresholds" in found:
         b, c = found["thresholds"].get("bplus", {}), found["thresholds"].get("c_layer", {})
         for name, key in (("CASH_TO_PROFIT", "净现比"), ("CASH_TO_REVENUE", "收现比")):
@@ -59,3 +72,9 @@ def use(spark: SparkSession, folder: str) -> None:
     if sub.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(sub):
         for name, p in _read(spark, f"{folder}/prompts").items():
             prompts.TEMPLATES[p.get("name", name)] = "\n\n".join(m["content"].strip() for m in p["messages"])
+
+
+def fingerprint() -> str:
+    """A digest of all settings that results depend on."""
+    held = {n: getattr(config, n) for n in sorted(vars(config)) if n.isupper()}
+    return hashlib.sha256(json.dumps([held, prompts.TEMPLATES], ensure_ascii=False, sort_keys=True, default=list).encode()).hexdigest()

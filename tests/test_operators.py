@@ -295,7 +295,7 @@ def test_keywords_are_found_within_chinese(spark):
 def test_evidence_is_the_first_sentence_that_names_it(spark):
     rows = spark.createDataFrame([("a", 2024, "t", "无关。毛利率因多种因素下降！毛利率再降", 9), ("a", 2024, "t", "毛利率上升。", 12), ("b", 2024, "t", "毛利率", 1), ("a", 2023, "t", None, 1)], "stock_code string, year int, title string, content string, page_number int")
     asked = spark.createDataFrame([("a", 2024, "毛利率"), ("a", 2024, "净利率")], f"{KEY}, indicator string")
-    got = reasoning.evidence(asked, rows, config.KEYWORDS).collect()
+    got = reasoning.evidence(asked, rows, config.keywords()).collect()
     assert [(r["source_text"], r["page_number"], r["is_vague"]) for r in got] == [("毛利率因多种因素下降！", 9, True)]
 
 

@@ -15,11 +15,9 @@ from .common import WORD, chunks, connected_components, discard, gram_hashes, li
 #: BANDS bands of ROWS samples: a pair of weighted similarity 0.8 meets in one with
 #: probability 0.9982, one of 0.5 with 0.54 and one of 0.1 with 0.0012.
 BANDS, ROWS = 12, 4
-#: A shingle in fewer than this share of all documents weighs as one in that share.
-RAREST = 1e-3
-#: Shingles above that share, at most: with documents so long that there would be
-#: more, the share grows with the mean length of a document (never with their number).
-COMMON = 1 << 20
+#: A shingle in fewer than this share of all documents weighs as one in that share,
+#: whatever the corpus.
+RAREST = 1e-2
 #: Bytes of text that are counted together, and for each slice of shingles.
 PIECE, SLICE = 16 << 20, 4 << 20
 #: Random triples of the sampler; each sample draws from them by its own hash.
@@ -100,8 +98,8 @@ def _counted(texts: DataFrame, n: int, bits: int, choose) -> DataFrame:
 
 
 def _sums_over(counts: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles with sums of ``least`` or more, in order: 2 COMMON at most, by the
-    callers' bounds."""
+    """Shingles with sums of ``least`` or more, in order: a table bounded as
+    :func:`document_weights` says."""
 
     def total(t: pa.Table) -> pa.Table:
         h, n = (np.concatenate([np.frombuffer(v, d) for v in t[c].to_pylist()]) for c, d in (("h", np.uint64), ("n", np.int64)))
@@ -150,12 +148,13 @@ def document_weights(texts: DataFrame, n: int, rarest: float = RAREST) -> Weight
     its documents as the share of half the floor; what it leaves out adds up to
     less than half the floor over all blocks.  So the shingles with half the floor
     in sight hold all that reach it, and a second pass counts those exactly.
-    Documents hold COMMON * floor shingles at most, so COMMON of them reach the
-    floor and twice as many half of it: a bounded table, whatever the corpus.
+    A mean document of m distinct shingles lets m / ``rarest`` of them reach the floor
+    and twice as many half of it: 1.6 KB of table for each of its words at most, whatever
+    the number of documents.
     """
-    size = texts.agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum(F.col("copies") * F.octet_length("text")).alias("all"), F.sum(F.when(F.col("text").rlike(WORD), F.col("copies"))).alias("docs")).first()
+    size = texts.agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum(F.when(F.col("text").rlike(WORD), F.col("copies"))).alias("docs")).first()
     n_docs, bytes_ = size["docs"] or 0, max(1, size["bytes"] or 0)
-    floor = max(1.0, rarest * n_docs, (size["all"] or 0) / 2 / COMMON)
+    floor = max(1.0, rarest * n_docs)
     bits = int(np.clip(np.ceil(np.log2(bytes_ / SLICE)), 0, 12))
     first = _counted(texts, n, bits, lambda h, k, part: np.flatnonzero(k >= floor / 2 * part / bytes_))
     some, _ = _sums_over(first, floor / 2)

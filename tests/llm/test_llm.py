@@ -505,6 +505,18 @@ def test_document_frequencies_are_exact(spark, monkeypatch, rarest):
         assert sorted(times * weights(h)) == pytest.approx(sorted(want.values()))
 
 
+def test_long_documents_do_not_change_weights(spark):
+    rng = random.Random(11)
+    shared = words(rng, 20, 9000)
+
+    def corpus(size):  # every fifth document has the shared passage
+        return spark.createDataFrame([(i, 1, f"{words(rng, size, 9000)} {shared if i % 5 == 0 else ''}") for i in range(60)], "node long, copies long, text string")
+
+    _, h, _ = minhash.shingles([shared.encode()], 5)
+    short, long_ = (minhash.document_weights(corpus(n), 5)(h) for n in (10, 4000))
+    assert short == pytest.approx(long_) and 1 < short.max() < 2
+
+
 def test_blocks_find_all_links():
     rng = random.Random(23)
     base = words(rng, 120, 3000).split()

@@ -198,3 +198,109 @@ def test_the_log_counts_what_was_asked_and_strict_keeps_only_good_forms(spark, t
     assert used["prompt_tokens"] == 11 * 5 + gateway.estimated_tokens("3")
     reasoning.answered(calls, provider, cache, strict=True, tries=1).count()  # only the others are asked again
     assert sorted(r["calls"] for r in spark.read.parquet(f"{cache}_log").collect()) == [6, 12]
+
+
+def documents(spark, folder, n=8, grids=False):
+    from tests.test_sources import report_of
+
+    folder.mkdir(exist_ok=True)
+    for i in range(n):
+        told = report_of(i, 2024)
+        if grids and i == 1:
+            told["grids"] = GRID
+        (folder / f"{i:06d}_2024.json").write_text(json.dumps(told, ensure_ascii=False))
+    tags = spark.createDataFrame([(f"{i:06d}", "白酒", "t") for i in range(n)], "stock_code string, industry string, tag string")
+    return {"documents": reports.read_documents(spark, str(folder)), "tags": tags}
+
+
+def times(work):
+    return {p.parent.parent.name: sorted(x.stat().st_mtime_ns for x in p.parent.parent.glob("*/manifest.json")) for p in work.glob("*/*/manifest.json")}
+
+
+def test_changed_input_reruns_what_depends_on_it_and_nothing_else(spark, tmp_path, monkeypatch):
+    inputs, work = documents(spark, tmp_path / "in"), tmp_path / "work"
+    first = stages.run(spark, inputs, str(work))
+    before = times(work)
+    assert set(before) == set(stages.STAGES)
+    # the same again: nothing runs
+    for name in stages.STAGES:
+        monkeypatch.setitem(stages.STAGES, name, lambda f, how, name=name: pytest.fail(name))
+    again = stages.run(spark, documents(spark, tmp_path / "in"), str(work))
+    assert sorted(again["reports"].collect()) == sorted(first["reports"].collect()) and times(work) == before
+    monkeypatch.undo()
+    # facts of industries reach the context and what reasons from it; statements don't change
+    facts = spark.createDataFrame([("白酒", date(2024, 1, 1), "粮价上涨")], "industry string, published date, text string")
+    ran = []
+    for name, f in list(stages.STAGES.items()):
+        monkeypatch.setitem(stages.STAGES, name, lambda x, how, name=name, f=f: ran.append(name) or f(x, how))
+    stages.run(spark, inputs | {"macro_facts": facts}, str(work))
+    assert set(ran) == {"context", "reasoning", "scores", "reports"}
+    # a stage without its manifest was cut short: it runs again, and what it makes counts as it did
+    ran.clear()
+    (half,) = (work / "gate").glob("*/manifest.json")
+    half.unlink()
+    made = stages.run(spark, inputs, str(work))
+    assert ran == ["gate"] and sorted(made["reports"].collect()) == sorted(first["reports"].collect())
+    # other settings, another content
+    ran.clear()
+    monkeypatch.setattr(config, "ABNORMAL", 2.5)
+    stages.run(spark, inputs, str(work))
+    assert set(ran) == set(stages.STAGES)
+
+
+def test_own_indicators_and_fields_reach_scores_and_grids_reach_facts(spark, tmp_path, monkeypatch):
+    for name in ("INDICATORS", "FIELDS", "RATIOS", "GROWTHS"):
+        monkeypatch.setattr(config, name, getattr(config, name))
+    (tmp_path / "set").mkdir()
+    fields = {s: {"type": t, "chinese_variants": list(v)} for s, t, v in config.FIELDS} | {"Remarks": {"type": "balance_sheet", "chinese_variants": ["备注数"]}}
+    weights = {n: {"category": c, "base_weight": w, "direction": d, "amplification_cap": cap} for n, c, w, d, cap in config.INDICATORS}
+    weights["现金占比"] = {"category": "c", "base_weight": 2, "direction": "positive", "amplification_cap": 2}
+    (tmp_path / "set" / "financial_fields.json").write_text(json.dumps({"fields": fields}, ensure_ascii=False))
+    (tmp_path / "set" / "weights.json").write_text(json.dumps({"weights": weights}))
+    with pytest.raises(ValueError, match="现金占比"):
+        settings.use(spark, str(tmp_path / "set"))
+    weights["现金占比"]["ratio"] = ["Monetary_Funds", "Total_Assets"]
+    (tmp_path / "set" / "weights.json").write_text(json.dumps({"weights": weights}))
+    settings.use(spark, str(tmp_path / "set"))
+    inputs = documents(spark, tmp_path / "in", grids=True)
+    made = stages.run(spark, inputs, str(tmp_path / "work"))
+    assert "Remarks" in made["group"].columns
+    found = {(r["stock_code"], r["indicator"]): r["value"] for r in made["indicators"].collect()}
+    assert found["000003", "现金占比"] == 0.4
+    facts = {r["standard_name"]: r["value"] for r in made["facts"].where(f"stock_code = '000001' and report_type = '{GROUP}'").collect()}
+    assert facts["Retained_Begin"] == 10 and facts["Retained_End"] == -20 and facts["Revenue_Total"] == Decimal(10_005_000)  # the grid before the list
+    assert {r["known"] for r in made["learned"].where("raw_name = '营业总收人'").collect()} == {"营业总收入"}
+
+
+def test_documents_to_reports_with_a_model(spark, tmp_path):
+    log = tmp_path / "log"
+
+    def provider():
+        def answer(name, text):
+            with log.open("a") as f:
+                f.write(f"{name}\n")
+            if name == "a0_macro_search":
+                return '["2024年 粮价上涨", "推荐买入"]'
+            if name == "b0_semantic_guide":
+                return "no JSON"
+            if name == "d1_lookup_notes":
+                return '{"summary": "原料涨价", "source_text": "t", "page_number": 3, "is_vague": false}' if "毛利率" in text else config.NO_EXPLANATION
+            if name == "d1_hypothesis":
+                return json.dumps([{"hypothesis": "行业特性" if "粮价上涨" in text and "白酒" in text else "无据", "reasoning": "r", "source": "s"}], ensure_ascii=False)
+            return '{"probabilities": {"原料涨价": 0.9, "其他": 0.1}}' if "原料涨价" in text else "no JSON"
+
+        return answer
+
+    inputs = documents(spark, tmp_path / "in", grids=True)
+    inputs["searches"] = spark.createDataFrame([("白酒", date(2024, 3, 1), "q", "r")], "industry string, published date, search_query string, search_results string")
+    how = stages.How(provider, str(tmp_path / "cache"), {"wait": 0.0, "tries": 1, "concurrency": 4})
+    made = stages.run(spark, inputs, str(tmp_path / "work"), how=how)
+    causes = {(r["stock_code"], r["indicator"]): r["probabilities"] for r in made["attribution"].collect()}
+    assert causes["000006", "毛利率"] == {"原料涨价": 0.9, "其他": 0.1}
+    assert {json.dumps(v, ensure_ascii=False) for (_, i), v in causes.items() if i == "存贷双高"} == {json.dumps({"行业特性": 1.0}, ensure_ascii=False)}
+    got = {r["stock_code"]: json.loads(r["report"]) for r in made["reports"].collect()}
+    assert got["000006"]["overall"]["final_score"] <= 100 and len(got) == 8
+    asked = log.read_text().split()
+    assert asked.count("a0_macro_search") == 1 and all(0 < asked.count(p) <= len(causes) for p in ("d1_hypothesis", "d1_lookup_notes"))  # equal questions once
+    stages.run(spark, inputs, str(tmp_path / "other"), how=how)  # other frames, the same answers: only what failed is asked again
+    assert log.read_text().split().count("d1_lookup_notes") == asked.count("d1_lookup_notes")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from collections.abc import Iterator
 from itertools import compress
@@ -94,22 +95,84 @@ class FingerprintIndex:
     ``bits`` sets the number of slices; one slice of all that the index is to hold
     must fit a task.  Fingerprints have 64 bits; whoever removes anything verifies
     the words (:func:`verified`).
+
+    With a ``path`` the index outlives the session: runs lie there, and a manifest, written
+    after each batch, says which count; :meth:`open` takes it up again, and what an
+    interrupted batch left is deleted then.  Runs are external tables of the database
+    DATABASE, which nothing else is in.
     """
 
     FAN_IN = 2
     RUN = "slice long, h binary, first binary"
-
-    def __init__(self, spark: SparkSession, bits: int = 6, window: int = WINDOW):
-        self.spark, self.bits, self.window, self.levels = spark, bits, window, []
-        self.buckets = partitions(spark)
+    DATABASE = "finsift_runs"
+
+    def __init__(self, spark: SparkSession, bits: int = 6, window: int = WINDOW, path: str | None = None):
+        self.spark, self.bits, self.window, self.path, self.levels = spark, bits, window, path and path.rstrip("/"), []
+        self.buckets, self.batches, self.gone = partitions(spark), 0, []
+        spark.sql(f"create database if not exists {self.DATABASE}")
+        if path and self._listed():
+            raise ValueError(f"{path} isn't empty: open it")
+        if path:
+            self._save()
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> FingerprintIndex:
+        """The index at ``path`` as its last whole batch left it."""
+        self = cls.__new__(cls)
+        self.spark, self.path, self.gone = spark, path.rstrip("/"), []
+        spark.sql(f"create database if not exists {cls.DATABASE}")
+        listed = self._listed()
+        newest = max((n for n in listed if n.startswith("manifest-")), default=None)
+        if newest is None:
+            raise ValueError(f"{path} holds no index")
+        held = json.loads(spark.read.text(f"{self.path}/{newest}", wholetext=True).first()["value"])
+        self.bits, self.window, self.buckets, self.batches, self.levels = (held[k] for k in ("bits", "window", "buckets", "batches", "levels"))
+        runs = {run for level in self.levels for run in level}
+        for name in listed:
+            if name.startswith("run_") and f"{cls.DATABASE}.{name}" not in runs:
+                spark.sql(f"drop table if exists {cls.DATABASE}.{name}")
+                remove(spark, f"{self.path}/{name}")
+            elif name.startswith("manifest-") and name != newest or name.startswith("_"):
+                remove(spark, f"{self.path}/{name}")
+        for run in runs:
+            if not spark.catalog.tableExists(run):
+                at = f"{self.path}/{run.rpartition('.')[2]}"
+                told = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spark.read.parquet(at).schema)
+                spark.sql(f"create table {run} ({told}) using parquet clustered by (slice) into {self.buckets} buckets location '{at}'")
+        return self
+
+    def _files(self, path: str):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
+
+    def _listed(self) -> list[str]:
+        fs, where = self._files(self.path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
+
+    def _save(self) -> None:
+        """Write the manifest in one step; only then delete the runs that were merged."""
+        if self.path:
+            old = [n for n in self._listed() if n.startswith("manifest-")]
+            text = json.dumps({k: getattr(self, k) for k in ("bits", "window", "buckets", "batches", "levels")})
+            fs, temporary = self._files(f"{self.path}/_manifest")
+            out = fs.create(temporary, True)
+            out.write(bytearray(text.encode()))
+            out.close()
+            number = 1 + max((int(n[9:-5]) for n in old), default=0)
+            fs.rename(temporary, self._files(f"{self.path}/manifest-{number:09d}.json")[1])
+            for n in old:
+                remove(self.spark, f"{self.path}/{n}")
+        gone, self.gone = self.gone, []
+        self._drop(*gone)
 
     def _write(self, rows: DataFrame) -> str:
         """A run of rows that are already together by slice."""
-        path = stage_path(self.spark, "run")
-        name = path.rpartition("/")[2].replace("-", "_")
-        remove(self.spark, path)
-        rows.write.bucketBy(self.buckets, "slice").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
-        return name
+        name = f"run_{uuid.uuid4().hex}"
+        path = f"{self.path}/{name}" if self.path else stage_path(self.spark, "run")
+        if not self.path:
+            remove(self.spark, path)
+        rows.write.bucketBy(self.buckets, "slice").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(f"{self.DATABASE}.{name}")
+        return f"{self.DATABASE}.{name}"
 
     def _drop(self, *names: str) -> None:
         for name in names:
@@ -194,6 +257,8 @@ class FingerprintIndex:
             return out
         # the run keeps the table of both; compaction leaves the other rows behind
         self._push(both, 0)
+        self.batches += 1
+        self._save()
         return out
 
     def _push(self, run: str, level: int) -> None:
@@ -213,7 +278,9 @@ class FingerprintIndex:
         runs, self.levels[level] = self.levels[level], []
         left, right = (self.rows(r).groupBy("slice") for r in runs)
         merged = self._write(left.cogroup(right).applyInArrow(merge, self.RUN))
-        self._drop(*runs)
+        self.gone += runs
+        if not self.path:  # nobody opens it again, so room is made at once
+            self._save()
         self._push(merged, level + 1)
 
     def rows(self, run: str) -> DataFrame:
@@ -222,8 +289,11 @@ class FingerprintIndex:
         return (table.where("piece is null") if "piece" in table.columns else table).select("slice", "h", "first")
 
     def drop(self) -> None:
-        self._drop(*[run for level in self.levels for run in level])
-        self.levels = []
+        """Delete all runs, and the folder of an index that has one."""
+        self._drop(*[run for level in self.levels for run in level], *self.gone)
+        self.levels, self.gone = [], []
+        if self.path:
+            remove(self.spark, self.path)
 
 
 def _claims(pieces: DataFrame, hits: DataFrame, window: int) -> DataFrame:
@@ -353,10 +423,12 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, batches: int = 3) ->
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     index = FingerprintIndex(spark, int(max(np.ceil(np.log2(max(1, size / SLICE))), np.log2(partitions(spark)), 0)), window)
     claims, parts = None, batches_by_id(rows, batches)
-    for k, part in enumerate(parts):
-        found = _found(index, rows.where(part), k < len(parts) - 1)
-        claims = found if claims is None else claims.unionByName(found)
-    index.drop()
+    try:
+        for k, part in enumerate(parts):
+            found = _found(index, rows.where(part), k < len(parts) - 1)
+            claims = found if claims is None else claims.unionByName(found)
+    finally:
+        index.drop()
     # all batches are verified in one pass over the texts
     lost = _cuts(claims, rows, window).select(F.col("doc_id").alias("__id"), F.col("x").alias("__y"), F.col("cut").alias("__cut"))
     joined = named.join(lost, named["doc_id"].eqNullSafe(lost["__id"]) & (named["__x"] == lost["__y"]), "left").drop("__x", "__id", "__y")

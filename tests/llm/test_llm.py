@@ -648,6 +648,46 @@ def test_batches_give_what_one_gives(spark):
         assert got == want
 
 
+def test_an_index_outlives_its_session(spark, tmp_path):
+    rng = random.Random(23)
+    stock = [words(rng, rng.randrange(13, 40), 60) for _ in range(6)]
+    texts = [" ".join(rng.choice([rng.choice(stock), words(rng, rng.randrange(1, 20), 60)]) for _ in range(rng.randrange(1, 6))) for _ in range(60)]
+    df, path = hashed(docs(spark, texts)).drop("y").repartition(3), str(tmp_path / "index")
+    database, cut = substring_index.FingerprintIndex.DATABASE, {}
+
+    def batch(index, k):
+        for r in substring_index.deduplicate(index, df.where(f"doc_id between {k * 20} and {k * 20 + 19}"), df.where(f"doc_id < {k * 20 + 20}")).collect():
+            cut[r["doc_id"]] = {p for c in r["cut"] for p in range(c["at"], c["at"] + c["n"] + 12)}
+
+    index = substring_index.FingerprintIndex(spark, bits=2, path=path)
+    batch(index, 0)
+    with pytest.raises(ValueError, match="open"):
+        substring_index.FingerprintIndex(spark, path=path)
+    for k in (1, 2):
+        # a session that was cut short in a batch, and one that knows none of the tables
+        index._write(spark.createDataFrame([], index.RUN))
+        (tmp_path / "index" / "_manifest").write_text("half")
+        spark.sql(f"drop database {database} cascade")
+        index = substring_index.FingerprintIndex.open(spark, path)
+        assert index.batches == k and len([p for p in (tmp_path / "index").iterdir() if p.name.startswith("run_")]) == sum(map(len, index.levels))
+        batch(index, k)
+    assert {i: [w for k, w in enumerate(t.split()) if k not in cut.get(i, ())] for i, t in enumerate(texts)} == plain_windows(list(enumerate(texts)), 13)
+    index.drop()
+    assert not (tmp_path / "index").exists() and not spark.sql(f"show tables in {database}").count() and not spark.sql("show tables").where("tableName like '%run_%'").count()
+    with pytest.raises(ValueError, match="no index"):
+        substring_index.FingerprintIndex.open(spark, path)
+
+
+def test_nothing_and_repeats_in_an_index(spark):
+    index = substring_index.FingerprintIndex(spark, bits=1)
+    text = words(random.Random(1), 20)
+    for k, rows in enumerate(([], [(1, text), (1, text), (None, text), (2, None)], [(3, text), (None, text)], [])):
+        df = hashed(spark.createDataFrame(rows, "doc_id long, text string")).drop("y")
+        got = [(r["doc_id"], [tuple(c) for c in r["cut"]]) for r in substring_index.deduplicate(index, df, spark.createDataFrame([(1, text), (3, text)], "doc_id long, text string")).collect()]
+        assert sorted(got, key=str) == [[], [(None, [(0, 8)])], [(3, [(0, 8)]), (None, [(0, 8)])], []][k]
+    index.drop()
+
+
 def test_false_claims_are_refuted(spark):
     a, b = " ".join(f"a{i}" for i in range(20)), " ".join(f"b{i}" for i in range(20))
     corpus = docs(spark, [a + " " + b, "x " + a + " y"])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from finsift.functions.columns import amount
+
 
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(doc, pos, line), lines numbered from 0."""
@@ -65,6 +67,55 @@ def tables(rows: DataFrame, in_table: Column, heads: Column | None = None) -> Da
     return marked.where("__in").select("doc", "pos", "line", "table_id")
 
 
+def kind_of(cell: Column) -> Column:
+    """Whether a cell is an amount (n), text (t) or empty (-)."""
+    return F.when(F.coalesce(F.trim(cell), F.lit("")) == "", "-").when(amount(cell).isNotNull(), "n").otherwise("t")
+
+
+def joined_tables(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc, page, pos, cells; cells null for a row of no table) of tables with
+    table_id, from 1 in a document: parts of a table on neighbouring pages are joined.
+
+    A part is a run of table rows on one page.  The first of a page goes on the last of the
+    page before if nothing but the page's end is between them and they agree: in the number
+    of columns (the most that a row has), in each column's kind (amounts or texts, where
+    both parts have some), and in the header, if the part begins with one (a row of texts
+    alone): it repeats the table's.  Other parts begin a table, so two tables that meet at
+    the end of a page stay apart.
+
+    Rows are compared by windows over documents and parts; a row's work is its own.
+    """
+    order = Window.partitionBy("doc").orderBy("pos")
+    marked = rows.withColumn("__in", F.col("cells").isNotNull())
+    before = F.coalesce(F.lag("__in").over(order), F.lit(False))
+    turned = F.lag("page").over(order) != F.col("page")
+    # a part that stands first on its page, right after a row of the page before
+    touches = before & (F.lag("page").over(order) == F.col("page") - 1)
+    begun = marked.withColumns({"__start": F.col("__in") & (~before | turned), "__touches": touches})
+    kinds = F.transform("cells", kind_of)
+    headed = F.col("__start") & F.exists(kinds, lambda k: k == "t") & ~F.exists(kinds, lambda k: k == "n")
+    parts_ = begun.withColumn("__part", F.sum(F.col("__start").cast("int")).over(order)).where("__in").withColumn("__headed", headed)
+
+    key = ["doc", "__part"]
+    title = F.array_join(F.transform("cells", lambda c: F.trim(F.coalesce(c, F.lit("")))), "|")
+    told = parts_.groupBy(*key).agg(F.max(F.size("cells")).alias("__width"), F.max(F.when(F.col("__headed"), title)).alias("__head"), F.max(F.col("__start") & F.col("__touches")).alias("__touches"))
+    # each column's kind, where all its cells that aren't empty are of one; the header's don't count
+    cells = parts_.where("not __headed").select(*key, F.posexplode("cells").alias("col", "cell")).withColumn("kind", kind_of(F.col("cell"))).where("kind <> '-'")
+    of = cells.groupBy(*key, "col").agg(F.min("kind").alias("low"), F.max("kind").alias("kind")).where("low = kind")
+    listed = of.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("col", "kind"))).alias("__kinds"))  # columns of a part
+    told = told.join(listed, key, "left")
+
+    along = Window.partitionBy("doc").orderBy("__part")
+    past = told.withColumns({f"{c}0": F.lag(c).over(along) for c in ("__width", "__kinds")})
+    # the header of the table that goes on: that of the last part which had one
+    past = past.withColumn("__head0", F.last("__head", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)))
+    unlike = F.exists(F.map_entries("__kinds"), lambda e: F.coalesce(F.try_element_at("__kinds0", e["key"]) != e["value"], F.lit(False)))
+    repeats = F.col("__head").isNull() | (F.col("__head") == F.col("__head0"))
+    goes_on = F.col("__touches") & (F.col("__width") == F.col("__width0")) & ~F.coalesce(unlike, F.lit(False)) & repeats
+    numbered = past.withColumn("table_id", F.sum((~F.coalesce(goes_on, F.lit(False))).cast("int")).over(along).cast("int"))
+    return parts_.join(numbered.select(*key, "table_id"), key).select("doc", "page", "pos", "cells", "table_id")
+
+
 def distinct_rows(rows: DataFrame) -> DataFrame:
     """Table rows without those that an earlier one of the table repeats."""
     return rows.groupBy("doc", "table_id", "line").agg(F.min("pos").alias("pos"))

@@ -4,6 +4,8 @@ the operators but the domain tables."""
 
 from __future__ import annotations
 
+import re
+
 from finsift.plans.analog import INDICATORS, VARIANTS
 from finsift.sources import config, prompts
 
@@ -177,6 +179,20 @@ _SQL = {
     "section_flatten": "SELECT conv_id AS doc, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS pos, role AS title, CAST(length(text) AS INT) AS size, CAST(turn AS INT) AS page_number FROM conversations",
     "chunk_forward_fill": "SELECT doc, pos, coalesce(last_value(CASE WHEN length(line) BETWEEN 1 AND 20 THEN line END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED PRECEDING), '') AS block FROM dl",
     "table_merge": f", t AS ({_TABLE.format("contains(line, '|')")}) SELECT doc, table_id, count(*) AS n_rows, min(pos) AS first_pos FROM t WHERE inn GROUP BY ALL",
+    "table_join": """, li AS (SELECT l_orderkey, l_linenumber, x.* FROM (SELECT l_orderkey, l_linenumber, min({'l_partkey': l_partkey, 'l_suppkey': l_suppkey, 'l_quantity': l_quantity, 'l_returnflag': l_returnflag, 'l_linestatus': l_linestatus}) AS x FROM lineitem GROUP BY 1, 2)),
+        r0 AS (SELECT l_orderkey AS doc, CAST((l_linenumber - 1) // 2 AS INT) AS page, CAST(l_linenumber AS INT) AS pos, l_partkey % 11 <> 0 AS inn, CASE WHEN l_returnflag = 'A' THEN l_linestatus ELSE CAST(CAST(trunc(l_quantity) AS INT) AS VARCHAR) END AS c,
+        l_suppkey % 5 = 0 AS wide, l_orderkey % 3 = 0 AND (l_linenumber - 1) % 2 = 0 AS hd, l_linenumber = 5 AS g FROM li),
+        r1 AS (SELECT doc, page, pos, inn, CASE WHEN hd THEN ['h', CASE WHEN g THEN 'g' ELSE 'h' END] WHEN wide THEN ['a', c, ''] ELSE ['a', c] END AS cells FROM r0),
+        r2 AS (SELECT *, list_transform(cells, lambda x: CASE WHEN x = '' THEN '-' WHEN regexp_full_match(x, '[0-9]+') THEN 'n' ELSE 't' END) AS kinds, coalesce(lag(inn) OVER o, false) AS before, lag(page) OVER o AS page0 FROM r1 WINDOW o AS (PARTITION BY doc ORDER BY pos)),
+        r3 AS (SELECT *, inn AND (NOT before OR page0 <> page) AS start, before AND page0 = page - 1 AS touches FROM r2),
+        r4 AS (SELECT *, sum(CAST(start AS INT)) OVER (PARTITION BY doc ORDER BY pos) AS part, start AND list_contains(kinds, 't') AND NOT list_contains(kinds, 'n') AS headed FROM r3),
+        r5 AS (SELECT * FROM r4 WHERE inn),
+        pt AS (SELECT doc, part, max(len(cells)) AS width, max(CASE WHEN headed THEN array_to_string(cells, '|') END) AS head, bool_or(start AND coalesce(touches, false)) AS touches FROM r5 GROUP BY ALL),
+        ck AS (SELECT doc, part, col, min(kind) AS kind FROM (SELECT doc, part, unnest(kinds) AS kind, unnest(range(len(kinds))) AS col FROM r5 WHERE NOT headed) WHERE kind <> '-' GROUP BY ALL HAVING min(kind) = max(kind)),
+        un AS (SELECT DISTINCT a.doc, a.part FROM ck a JOIN ck b ON a.doc = b.doc AND a.col = b.col AND b.part = a.part - 1 AND a.kind <> b.kind),
+        p2 AS (SELECT *, lag(width) OVER o AS width0, last_value(head IGNORE NULLS) OVER (PARTITION BY doc ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS head0 FROM pt WINDOW o AS (PARTITION BY doc ORDER BY part)),
+        p3 AS (SELECT p2.doc, p2.part, sum(CASE WHEN touches AND width = width0 AND un.part IS NULL AND (head IS NULL OR coalesce(head = head0, false)) THEN 0 ELSE 1 END) OVER (PARTITION BY p2.doc ORDER BY p2.part) AS table_id FROM p2 LEFT JOIN un ON un.doc = p2.doc AND un.part = p2.part)
+        SELECT doc, page, pos, CAST(table_id AS INT) AS table_id FROM r5 JOIN p3 USING (doc, part)""",
     "row_dedup": f", t AS ({_TABLE.format('length(line) > 0')}) SELECT doc, table_id, min(pos) AS pos FROM t WHERE inn GROUP BY doc, table_id, line",
     "text_cap": "SELECT doc, pos FROM dl WHERE length(line) > 50",
     "document_completeness": ", c AS (SELECT page_id AS doc, length(html) > 0 AS readable, contains(html, '<table') AS has_tables, contains(html, '<article') AS has_discussion, contains(html, '<footer') AS has_notes FROM pages) SELECT *, readable AND has_tables AND has_discussion AND has_notes AS complete FROM c",
@@ -216,3 +232,8 @@ _SQL = {
     "config_tables": f"SELECT indicator, category, CAST(base_weight AS DOUBLE) AS base_weight, CASE WHEN direction = 'positive' THEN 1 ELSE -1 END AS sign, CAST(cap AS DOUBLE) AS cap FROM {_values(config.INDICATORS, 'indicator, category, base_weight, direction, cap')}",
 }
 ORACLE_SQL = {k: BASE + v for k, v in _SQL.items()}
+# some company-years are others, and no cause is known
+_OTHER = BASE.replace("\nw AS (SELECT lpad(", "\nw0 AS (SELECT lpad(").replace(
+    "\ngood AS (", "\nw AS (SELECT * REPLACE (CAST(CASE WHEN n % 10 = 3 AND year = 1996 THEN Net_Profit * 2 ELSE Net_Profit END AS DECIMAL(38,4)) AS Net_Profit, CASE WHEN n % 10 = 3 AND year = 1996 THEN Operating_Cash_Flow - 1000 ELSE Operating_Cash_Flow END AS Operating_Cash_Flow) FROM w0),\ngood AS ("
+)
+ORACLE_SQL["rescored"] = re.sub(r"attr0 AS \(.*?FROM paths\),", "attr0 AS (SELECT stock_code, year, indicator, source, {'cause': '其他', 'p': 1.0::DOUBLE} AS e FROM paths0),", _OTHER, flags=re.S) + f"{_SCORED} SELECT * FROM scored"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from finsift.functions.columns import amount
 from finsift.functions.schema import violations
 from finsift.operators import deviation, documents, guide, indicators, logic_checks, mapping, naming, peers, reasoning, report, scoring, validation
-from finsift.plans import analog, stages
+from finsift.plans import analog, incremental, stages
 from finsift.plans.analog import INDICATORS, NAMES, table
 from finsift.sources import config, prompts, reports
 from finsift.sources.config import GROUP, PARENT
@@ -332,6 +332,27 @@ def final_score(s, d):
     return scoring.scores(f["good"], *_impacts(f))
 
 
+@query
+def rescored(s, d):
+    """Scores after some company-years have been changed, by scoring again only what the
+    change reaches."""
+    wide, key = staged(analog.wide(s, d), "wide"), ("stock_code", "industry", "year")
+    changed = (F.col("number") % 10 == 3) & (F.col("year") == 1996)
+
+    def facts(w):
+        long = w.unpivot(list(key), NAMES, "standard_name", "value").withColumn("report_type", F.lit(GROUP))
+        return long.unionByName(analog.parents(w).unpivot(list(key), ["Monetary_Funds"], "standard_name", "value").withColumn("report_type", F.lit(PARENT)))
+
+    tags = analog.tags(s, d)
+    old = {"facts": facts(wide), "tags": tags, "peers": staged(_peers(s, d), "peers")}
+    none = s.createDataFrame([], "industry string, published date, text string")
+    f = dict(old) | {"macro_facts": none}
+    for name in ("statements", "gate", "indicators", "deviation", "checks", "evidence", "context", "reasoning", "scores"):
+        f |= {k: staged(v, k) for k, v in stages.STAGES[name](f, stages.How()).items()}
+    other = wide.where(changed).withColumns({"Net_Profit": (F.col("Net_Profit") * 2).cast("decimal(38,4)"), "Operating_Cash_Flow": F.col("Operating_Cash_Flow") - 1000})
+    return incremental.rescore(f, facts(other))["scores"]
+
+
 @query
 def report_rows(s, d):
     f = _analysis(s, d)
@@ -378,6 +399,19 @@ def table_merge(s, d):
     return got.groupBy("doc", "table_id").agg(F.count("*").alias("n_rows"), F.min("pos").alias("first_pos"))
 
 
+@query
+def table_join(s, d):
+    """Orders as documents of two rows a page; some have amounts where others have texts, a
+    header of their own, or a row of no table."""
+    n, k = F.col("l_linenumber"), F.col("l_orderkey")
+    li = table(s, d, "lineitem").groupBy(k, n).agg(F.min(F.struct("l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")).alias("x")).select(k, n, "x.*")
+    cell = F.when(F.col("l_returnflag") == "A", F.col("l_linestatus")).otherwise(F.col("l_quantity").cast("int").cast("string"))
+    body = F.when(F.col("l_suppkey") % 5 == 0, F.array(F.lit("a"), cell, F.lit(""))).otherwise(F.array(F.lit("a"), cell))
+    cells = F.when((n - 1) % 2 == 0, F.when(k % 3 == 0, F.array(F.lit("h"), F.when(n == 5, "g").otherwise("h")))).otherwise(F.lit(None).cast("array<string>"))
+    rows = li.select(k.alias("doc"), F.floor((n - 1) / 2).cast("int").alias("page"), n.cast("int").alias("pos"), F.when(F.col("l_partkey") % 11 != 0, F.coalesce(cells, body)).alias("cells"))
+    return documents.joined_tables(rows).select("doc", "page", "pos", "table_id")
+
+
 @query
 def row_dedup(s, d):
     return documents.distinct_rows(documents.tables(_lines(s, d), F.length("line") > 0)).select("doc", "table_id", "pos")

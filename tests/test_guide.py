@@ -304,3 +304,54 @@ def test_documents_to_reports_with_a_model(spark, tmp_path):
     assert asked.count("a0_macro_search") == 1 and all(0 < asked.count(p) <= len(causes) for p in ("d1_hypothesis", "d1_lookup_notes"))  # equal questions once
     stages.run(spark, inputs, str(tmp_path / "other"), how=how)  # other frames, the same answers: only what failed is asked again
     assert log.read_text().split().count("d1_lookup_notes") == asked.count("d1_lookup_notes")
+
+
+def test_rescoring_equals_a_whole_run(spark, tmp_path):
+    from finsift.plans.incremental import reached, rescore
+
+    names = ["Revenue_Total", "Cost_Revenue", "Gross_Profit", "Net_Profit", "Total_Assets", "Total_Liabilities", "Equity_Total", "Monetary_Funds", "Operating_Cash_Flow", "Operating_Cash_Inflow", "Interest_Debt"]
+    schema = "stock_code string, industry string, year int, report_type string, standard_name string, value decimal(38,4)"
+
+    def facts(companies, years, add=0):
+        rows = []
+        for n in companies:
+            for y in years:
+                values = [100 + y % 7 + n, 50 + n + add, 50 - n, 20 - n - add, 100, 60, 40 + 5 * (add > 50), 40, 5, 30, 40]
+                rows += [(f"{n:06d}", "ab"[n % 2], y, GROUP, k, Decimal(v)) for k, v in zip(names, values, strict=True)]
+                rows += [(f"{n:06d}", "ab"[n % 2], y, PARENT, "Monetary_Funds", Decimal(n + add))]
+        return spark.createDataFrame(rows, schema)
+
+    tags = spark.createDataFrame([(f"{n:06d}", "ab"[n % 2], f"t{n % 3}") for n in range(24)], "stock_code string, industry string, tag string")
+    every = facts(range(24), range(2019, 2025))
+    old = {"tags": tags} | stages.run(spark, {"facts": every, "tags": tags}, str(tmp_path / "a"), skip=("reports",))
+    new = facts([3], [2021], 9).unionByName(facts([8], [2023], 60))  # the second fails the gate now
+    changed = new.select("stock_code", "year").distinct()
+    whole = every.join(changed, ["stock_code", "year"], "left_anti").unionByName(new)
+    want = stages.run(spark, {"facts": whole, "tags": tags}, str(tmp_path / "b"), skip=("reports",))
+    got = rescore(old, new)
+    for name in ("scores", "outliers", "anomalies", "blocked"):
+        assert sorted(got[name].collect(), key=str) == sorted(want[name].select(*got[name].columns).collect(), key=str), name
+    again = {tuple(r) for r in got["rescored"].collect()}
+    assert again == {tuple(r) for r in reached(changed, old["peers"]).collect()} and ("000003", 2022) in again and 2 < len(again) < 60
+    assert sorted(got["scores"].collect(), key=str) != sorted(old["scores"].collect(), key=str)
+
+
+def test_tables_that_meet_at_a_page_break_stay_apart(spark):
+    from finsift.operators import documents
+
+    h, g = ["项目", "期末"], ["名称", "数量"]
+    pages = [
+        (1, ["x", None, h, ["a", "1"], ["b", "2"]]), (2, [["c", "3"], ["d", "4"]]), (3, [h, ["e", "5"], None]),  # one table over three pages, its header again
+        (4, [g, ["f", "6"]]), (5, [h, ["g", "7"]]),  # another header, and the first one's again: two tables
+        (6, [["8", "甲"], ["9", "乙"]]), (7, [["k", "1", "2"]]), (8, [["l", "3", "4"]]), (10, [["m", "5", "6"]]), (11, [None, ["n", "7", "8"]]),
+    ]
+    rows, pos = [], 0
+    for page, lines in pages:
+        for line in lines:
+            rows.append((1, page, pos, line if isinstance(line, list) else None))
+            pos += 1
+    rows += [(2, 1, 0, ["a", "1"]), (2, 2, 1, ["", "2"]), (3, 1, 0, None), (4, 1, 0, [])]
+    got = documents.joined_tables(spark.createDataFrame(rows, "doc int, page int, pos int, cells array<string>"))
+    by = {(r["doc"], r["page"]): r["table_id"] for r in got.collect()}
+    assert [by[1, p] for p in (1, 2, 3, 4, 5, 6, 7, 8, 10, 11)] == [1, 1, 1, 2, 3, 4, 5, 5, 6, 7] and by[2, 1] == by[2, 2] == 1 and (3, 1) not in by
+    assert got.count() == len([r for r in rows if r[3] is not None])

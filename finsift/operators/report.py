@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from finsift.functions.columns import fenced
+from finsift.operators.gateway import well_formed
+from finsift.sources import prompts
+
 POINT = 50
 
 
@@ -45,6 +49,36 @@ def points(impacts: DataFrame) -> DataFrame:
     return impacts.withColumn("side", side).where("side is not null").select("stock_code", "year", "side", "name", text.alias("point"))
 
 
+def point_calls(scores: DataFrame, anomalies: DataFrame, peers: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """(stock_code, year, prompt_name, variables): a call for the wording of the points of
+    each scored company-year, from its anomalies (:func:`explained`) and its peers."""
+    key = ["stock_code", "year"]
+    cause = F.concat(F.get("causes", F.lit(0))["cause"], F.lit("("), F.round(F.get("causes", F.lit(0))["p"], 2).cast("string"), F.lit(")"))
+    page = F.concat(F.lit("p."), F.col("page_number").cast("string"))
+    line = F.concat_ws(" ", "source", "name", F.col("value").cast("string"), "severity", cause, page)
+    listed = anomalies.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("anomalies"))
+    beside = peers.groupBy("stock_code").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "peer_code"))), lambda p: p["peer_code"]), ", ").alias("peer_comparison"))  # five
+    rows = scores.join(listed, key, "left").join(beside, "stock_code", "left")
+    if names is not None:
+        rows = rows.join(names.groupBy("stock_code").agg(F.max("company_name").alias("company_name")), "stock_code", "left")
+    company = F.coalesce("company_name", "stock_code") if names is not None else F.col("stock_code")
+    values = {"company_name": company, "report_year": F.col("year"), "score": F.col("final_score"), "anomalies": F.col("anomalies"), "peer_comparison": F.col("peer_comparison")}
+    return rows.select(*key, F.lit("e2_report").alias("prompt_name"), prompts.rendered("e2_report", values).alias("variables"))
+
+
+def worded(answers: DataFrame, ruled: DataFrame) -> DataFrame:
+    """(stock_code, year, side, name, point): the points of answers (stock_code, year,
+    response) that have the form, of POINT characters and one line each, and those of
+    ``ruled`` (:func:`points`) where a company-year has no such answer.  A point's name is
+    its own text."""
+    key = ["stock_code", "year"]
+    read = answers.where(well_formed(F.lit("e2_report"), F.col("response"))).select(*key, F.from_json(fenced(F.col("response")), "bull array<string>, bear array<string>").alias("p"))
+    told = read.where(F.col("p.bull").isNotNull() & ~F.exists(F.concat("p.bull", "p.bear"), lambda x: F.contains(x, F.lit("\n"))))
+    of = lambda side: lambda x: F.struct(F.lit(side).alias("side"), x.alias("point"))
+    sides = told.select(*key, F.explode(F.concat(*[F.transform(f"p.{s}", of(s)) for s in ("bull", "bear")])).alias("x"))
+    return sides.select(*key, "x.side", F.col("x.point").alias("name"), "x.point").unionByName(ruled.join(told.select(*key).distinct(), key, "left_anti"))
+
+
 def too_long(rows: DataFrame, text: str, most: int = POINT) -> DataFrame:
     return rows.where((F.char_length(text) > most) | F.col(text).contains("\n"))
 

@@ -229,7 +229,7 @@ _SQL = {
         UNION ALL SELECT event_id, '$.k', CASE WHEN k < 10 THEN 'minimum' ELSE 'maximum' END FROM e WHERE event_id % 11 <> 0 AND m NOT IN (1, 2) AND (k < 10 OR k > 80)
         UNION ALL SELECT event_id, '$.tags', 'maxItems' FROM e WHERE event_id % 11 <> 0 AND z >= 3
         UNION ALL SELECT event_id, '$.tags[' || i || '].n', CASE WHEN i % 3 = 2 THEN 'missing' ELSE 'maximum' END FROM i WHERE i % 3 = 2 OR k + i > 50""",
-    "config_tables": f"SELECT indicator, category, CAST(base_weight AS DOUBLE) AS base_weight, CASE WHEN direction = 'positive' THEN 1 ELSE -1 END AS sign, CAST(cap AS DOUBLE) AS cap FROM {_values(config.INDICATORS, 'indicator, category, base_weight, direction, cap')}",
+    "config_tables": f", seen AS (SELECT indicator, count(*) AS n_values, count(DISTINCT stock_code) AS n_companies FROM ind GROUP BY 1) SELECT indicator, category, CAST(base_weight AS DOUBLE) AS base_weight, CASE WHEN direction = 'positive' THEN 1 ELSE -1 END AS sign, CAST(cap AS DOUBLE) AS cap, n_values, n_companies FROM {_values(config.INDICATORS, 'indicator, category, base_weight, direction, cap')} LEFT JOIN seen USING (indicator)",
 }
 ORACLE_SQL = {k: BASE + v for k, v in _SQL.items()}
 # some company-years are others, and no cause is known

@@ -573,4 +573,7 @@ def benchmark_facts(s, d):
 
 @query
 def config_tables(s, d):
-    return config.weights(s).join(F.broadcast(s.createDataFrame([("positive", 1), ("negative", -1)], "direction string, sign int")), "direction").select("indicator", "category", "base_weight", "sign", "cap")
+    """Each indicator's settings with the values that they weigh."""
+    seen = _indicators(s, d).groupBy("indicator").agg(F.count("*").alias("n_values"), F.countDistinct("stock_code").alias("n_companies"))
+    sign = F.when(F.col("direction") == "positive", 1).otherwise(-1).alias("sign")
+    return config.weights(s).join(seen, "indicator", "left").select("indicator", "category", "base_weight", sign, "cap", "n_values", "n_companies")

@@ -191,10 +191,14 @@ def named_impacts(c: DataFrame, b: DataFrame) -> DataFrame:
     return one(c, "indicator", "C").unionByName(one(b, "check_name", "B+"))
 
 
-@stage("reports", "scores", "outliers", "anomalies", "attribution", "evidence", "impacts", "peers", "blocked", "history")
+@stage("reports", "scores", "outliers", "anomalies", "attribution", "evidence", "impacts", "peers", "blocked", "history", "facts")
 def _reports(f: Frames, how: How) -> Frames:
     rows = report.explained(report.items(f["outliers"], f["anomalies"]), f["attribution"], f["evidence"], f["history"])
-    return {"reports": report.assemble(f["scores"], rows, report.points(f["impacts"]), f["peers"], f["blocked"])}
+    points = report.points(f["impacts"])
+    if how.provider:
+        asked = report.point_calls(f["scores"], rows, f["peers"], f.get("facts") if "company_name" in f["facts"].columns else None)
+        points = report.worded(reasoning.answered(asked, how.provider, how.cache, **{**how.options, "strict": True}), points)
+    return {"reports": report.assemble(f["scores"], rows, points, f["peers"], f["blocked"])}
 
 
 def content(df: DataFrame) -> str:

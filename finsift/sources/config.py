@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 # Standard fields, their statement and the names reports use, in order of preference.
@@ -86,6 +87,14 @@ BLOCKED = "【系统异常阻断：PDF数据源损坏或低劣造假，请人工
 GROUP, PARENT = "合并报表", "母公司报表"
 
 
+def listed(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table as part of the plan: joins know its size and need no Python."""
+    kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+    columns = [c.split() for c in schema.split(", ")]
+    values = [pa.array([r[i] for r in rows], kinds[kind]) for i, (_, kind) in enumerate(columns)]
+    return spark.createDataFrame(pa.table(values, names=[name for name, _ in columns]), schema)
+
+
 def indicator_names() -> list[str]:
     return [n[0] for n in INDICATORS]
 
@@ -102,24 +111,24 @@ def keywords() -> list[tuple[str, str]]:
 def fields(spark: SparkSession) -> DataFrame:
     """(raw_name, standard_name, statement, priority), one row for each name."""
     rows = [(v, f, s, i) for f, s, names in FIELDS for i, v in enumerate(names)]
-    return spark.createDataFrame(rows, "raw_name string, standard_name string, statement string, priority int")
+    return listed(spark, rows, "raw_name string, standard_name string, statement string, priority int")
 
 
 def weights(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(INDICATORS), "indicator string, category string, base_weight double, direction string, cap double")
+    return listed(spark, list(INDICATORS), "indicator string, category string, base_weight double, direction string, cap double")
 
 
 def units(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(UNITS), "unit string, factor int")
+    return listed(spark, list(UNITS), "unit string, factor int")
 
 
 def soft_tags(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(d, o) for d, options in SOFT_TAGS for o in options], "dimension string, value string")
+    return listed(spark, [(d, o) for d, options in SOFT_TAGS for o in options], "dimension string, value string")
 
 
 def tag_aliases(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(TAG_ALIASES), "alias string, value string")
+    return listed(spark, list(TAG_ALIASES), "alias string, value string")
 
 
 def causes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(CAUSES), "cause string, cause_weight double")
+    return listed(spark, list(CAUSES), "cause string, cause_weight double")

@@ -287,6 +287,9 @@ def test_documents_to_reports_with_a_model(spark, tmp_path):
                 return '{"summary": "原料涨价", "source_text": "t", "page_number": 3, "is_vague": false}' if "毛利率" in text else config.NO_EXPLANATION
             if name == "d1_hypothesis":
                 return json.dumps([{"hypothesis": "行业特性" if "粮价上涨" in text and "白酒" in text else "无据", "reasoning": "r", "source": "s"}], ensure_ascii=False)
+            if name == "e2_report":
+                bear = ["毛利率低于同行（来源：C）"] if " c6 " in f" {text} " else ["y" * 51]
+                return json.dumps({"bull": [], "bear": bear}, ensure_ascii=False)
             return '{"probabilities": {"原料涨价": 0.9, "其他": 0.1}}' if "原料涨价" in text else "no JSON"
 
         return answer
@@ -300,6 +303,7 @@ def test_documents_to_reports_with_a_model(spark, tmp_path):
     assert {json.dumps(v, ensure_ascii=False) for (_, i), v in causes.items() if i == "存贷双高"} == {json.dumps({"行业特性": 1.0}, ensure_ascii=False)}
     got = {r["stock_code"]: json.loads(r["report"]) for r in made["reports"].collect()}
     assert got["000006"]["overall"]["final_score"] <= 100 and len(got) == 8
+    assert got["000006"]["points"]["bear"] == ["毛利率低于同行（来源：C）"] and all("y" not in p for g in got.values() if "points" in g for p in g["points"]["bear"])
     asked = log.read_text().split()
     assert asked.count("a0_macro_search") == 1 and all(0 < asked.count(p) <= len(causes) for p in ("d1_hypothesis", "d1_lookup_notes"))  # equal questions once
     stages.run(spark, inputs, str(tmp_path / "other"), how=how)  # other frames, the same answers: only what failed is asked again

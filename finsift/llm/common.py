@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from finsift.sources.work import remove, shared_dir, stage_path, staged  # noqa: F401 - for the operators
 
@@ -59,6 +60,12 @@ def shielded(operator):
     return run
 
 
+def require_integers(df: DataFrame, name: str) -> None:
+    """Ids that are compared as numbers must be such: others raise a TypeError."""
+    if not isinstance(df.schema[name].dataType, IntegralType):
+        raise TypeError(f"{name} must be of an integer type, not {df.schema[name].dataType.simpleString()}")
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, shielded, staged, without
+from .common import connected_components, require_integers, shielded, staged, without
 
 #: Vectors that the lists and codes are fitted on, at most; every vector is indexed.
 #: There are sqrt(n / 50) lists but no more than half the sample, so for more than
@@ -173,8 +173,10 @@ def similar_vectors(vectors: DataFrame, least: float = 0.93, sample: int = SAMPL
     Rows with a null id, a null label, a null, empty or zero embedding or one
     that holds a null or non-finite component link with nothing, nor do
     embeddings of different lengths; labels may be of any simple type; rows with
-    equal ids count each; an empty table gives an empty one.  Columns that bear an output's name are replaced.
+    equal ids count each; an empty table gives an empty one.  Columns
+    that bear an output's name are replaced.  Ids that aren't integers raise a TypeError.
     """
+    require_integers(vectors, "vec_id")
     spark = vectors.sparkSession
     base = without(vectors, "n_links", "component_id", "kept").withColumn("__v", F.col("embedding").cast("array<double>"))
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("__v") > 0)

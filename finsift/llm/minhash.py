@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, chunks, connected_components, discard, gram_hashes, lists, mix, shielded, spanning, staged, without, word_hashes
+from .common import WORD, chunks, connected_components, discard, gram_hashes, lists, mix, require_integers, shielded, spanning, staged, without, word_hashes
 
 #: BANDS bands of ROWS samples: a pair of weighted similarity 0.8 meets in one with
 #: probability 0.9982, one of 0.5 with 0.54 and one of 0.1 with 0.0012.
@@ -429,8 +429,10 @@ def near_dedup(docs: DataFrame, least: float = 0.8, n: int = 5) -> DataFrame:
     with a null id take part by their text, and where a class has no id at all its
     class_id is null and the rows of one of its texts stay; rows with equal ids are
     one document and stay or go together; an empty table gives an empty one.
-    Columns of ``docs`` that bear an output's name are replaced.
+    Columns of ``docs`` that bear an output's name are replaced.  Ids that aren't integers
+    raise a TypeError.
     """
+    require_integers(docs, "doc_id")
     base = without(docs, "class_id", "kept")
     named = base.withColumn("__x", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("__y", F.xxhash64(F.lit(1), F.coalesce("text", F.lit(""))))
     keys = named.select("doc_id", "text", F.col("__x").alias("x"), F.col("__y").alias("y"))

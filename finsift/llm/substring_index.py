@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, chunks, clean, discard, gram_hashes, partitions, remove, shielded, stage_path, staged, without, word_hashes
+from .common import SPACE, chunks, clean, discard, gram_hashes, partitions, remove, require_integers, shielded, stage_path, staged, without, word_hashes
 
 #: Words of a window.
 WINDOW = 13
@@ -414,8 +414,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, batches: int = 3) ->
     A null or empty text has no words; a text shorter than a window keeps all;
     a null doc_id counts as later than any other, and rows with equal ids do not
     cut each other; an empty table gives an empty one.  Columns of ``docs`` that
-    bear an output's name are replaced.
+    bear an output's name are replaced.  Ids that aren't integers raise a TypeError.
     """
+    require_integers(docs, "doc_id")
     spark = docs.sparkSession
     base = without(docs, "n_words", "n_removed", "kept_text", "kept_sha256")
     named = base.withColumn("__x", F.xxhash64(F.coalesce("text", F.lit(""))))

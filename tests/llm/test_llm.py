@@ -688,6 +688,13 @@ def test_nothing_and_repeats_in_an_index(spark):
     index.drop()
 
 
+def test_ids_must_be_integers_where_they_are_compared(spark):
+    rows = spark.createDataFrame([("a", "text", [1.0], 1)], "doc_id string, text string, embedding array<double>, label int")
+    for run in (minhash.near_dedup, substring_index.substring_dedup, lambda df: embed_dedup.similar_vectors(df.withColumnRenamed("doc_id", "vec_id"))):
+        with pytest.raises(TypeError, match="integer"):
+            run(rows)
+
+
 def test_false_claims_are_refuted(spark):
     a, b = " ".join(f"a{i}" for i in range(20)), " ".join(f"b{i}" for i in range(20))
     corpus = docs(spark, [a + " " + b, "x " + a + " y"])

@@ -48,21 +48,29 @@ def role(text: Column, year: Column) -> Column:
     return F.coalesce(F.try_element_at(words, bare), by_date, F.when(bare.rlike("[%％]|比例|占比|同比|增减"), "percentage"))
 
 
-def _columns(said: DataFrame) -> DataFrame:
-    """(doc, table_id, header_row, col, role): the first row that names a period."""
-    found = said.withColumn("role", role(F.col("text"), F.col("year"))).where("role is not null")
-    first = Window.partitionBy(*KEY)
-    return found.withColumn("header_row", F.min("row").over(first)).where("row = header_row").select(*KEY, "header_row", "col", "role")
-
-
-def _about(said: DataFrame, columns: DataFrame) -> DataFrame:
-    """(doc, table_id, table_unit, report_type) of tables, by their title, the document
-    and the texts above the header."""
-    top = columns.groupBy(*KEY).agg(F.first("header_row").alias("header_row"))
+def _told(said: DataFrame) -> DataFrame:
+    """The cells of tables whose headers name a period, with __header, the first row that
+    does, __periods, its columns (col, role), table_unit and report_type, the last two by
+    the title, the document and the texts above the header.
+
+    One window over each table's headers: cells are dealt once and meet no join, so neither
+    tables nor cells are ever sent to the driver."""
+    table = Window.partitionBy(*KEY)
+    known = said.where("doc is not null and table_id is not null").select(*KEY, "year", "title", "unit", "row", "col", "text")
+    marked = known.withColumn("__role", role(F.col("text"), F.col("year")))
+    marked = marked.withColumn("__header", F.min(F.when(F.col("__role").isNotNull(), F.col("row"))).over(table)).where("__header is not null")
+    above = F.col("row") <= F.col("__header")
     stated = F.regexp_extract("text", f"单位[:：]?(?:人民币)?{_UNIT}", 1)
-    above = said.join(top, KEY).where("row <= header_row").withColumn("__said", F.when(stated != "", stated))
-    out = above.groupBy(*KEY).agg(F.min("__said").alias("__said"), F.min("unit").alias("unit"), F.max(F.coalesce(F.contains("title", F.lit("母公司")), F.lit(False)) | F.contains("text", F.lit("母公司"))).alias("__parent"))
-    return out.select(*KEY, F.coalesce("__said", "unit", F.lit("元")).alias("table_unit"), F.when(F.col("__parent"), PARENT).otherwise(GROUP).alias("report_type"))
+    parent = F.coalesce(F.contains("title", F.lit("母公司")), F.lit(False)) | F.contains("text", F.lit("母公司"))
+    told = {
+        "__periods": F.collect_list(F.when((F.col("row") == F.col("__header")) & F.col("__role").isNotNull(), F.struct("col", F.col("__role").alias("role")))),  # columns of a table
+        "__said": F.min(F.when(above & (stated != ""), stated)),
+        "__unit": F.min(F.when(above, F.col("unit"))),
+        "__parent": F.max(F.when(above, parent)),
+    }
+    out = marked.withColumns({n: c.over(table) for n, c in told.items()})
+    unit, kind = F.coalesce("__said", "__unit", F.lit("元")), F.when(F.col("__parent"), PARENT).otherwise(GROUP)
+    return out.select(*KEY, "row", "col", "text", "__header", "__periods", unit.alias("table_unit"), kind.alias("report_type"))
 
 
 def header_guide(said: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
@@ -74,14 +82,13 @@ def header_guide(said: DataFrame, aliases: DataFrame | None = None) -> DataFrame
     row is its name; a unit in brackets after it is the field's own.  Names without a
     standard one, in the vocabulary or ``aliases``, are given with null.
     """
-    columns = _columns(said)
-    top = columns.groupBy(*KEY).agg(F.first("header_row").alias("header_row"), F.collect_set("col").alias("__cols"))  # columns of a table
-    below = said.join(top, KEY).where((F.col("row") > F.col("header_row")) & ~F.array_contains("__cols", F.col("col")))
-    names = below.groupBy(*KEY, "row").agg(F.min(F.struct("col", "text")).alias("n")).select(*KEY, "row", F.col("n.text").alias("text"))
+    below = _told(said).where((F.col("row") > F.col("__header")) & ~F.array_contains("__periods.col", F.col("col")))
+    of_table = ["__periods", "table_unit", "report_type"]
+    names = below.groupBy(*KEY, "row").agg(F.min(F.struct("col", "text")).alias("n"), *[F.first(c).alias(c) for c in of_table]).select(*KEY, "row", F.col("n.text").alias("text"), *of_table)
     own = F.regexp_extract("text", f"[（(]{_UNIT}[）)]\\s*$", 1)
     names = names.withColumn("field_unit", F.when(own != "", own)).withColumn("raw_name", cleaned(F.col("text"))).drop("text")
     mapped = mapping.map_names(names, aliases)
-    return mapped.join(columns.drop("header_row"), KEY).join(_about(said, columns), KEY)
+    return mapped.select(*[c for c in mapped.columns if c != "__periods"], F.inline("__periods"))
 
 
 def guide_calls(said: DataFrame) -> DataFrame:

@@ -11,9 +11,9 @@ from finsift.sources import config
 
 def fetch_cells(cells: DataFrame, guide: DataFrame) -> DataFrame:
     """The cells that a header guide points at: equal document, table, row and
-    column (both from 0).  ``guide`` is as large as the documents are many, so the
-    engine picks the join."""
-    return cells.join(guide, ["doc", "table_id", "row", "col"])
+    column (both from 0).  ``guide`` is as large as the documents are many and its files
+    are many times smaller than its rows, so it is merged and never broadcast."""
+    return cells.join(guide.hint("merge"), ["doc", "table_id", "row", "col"])
 
 
 def with_amount(raw: DataFrame) -> DataFrame:

@@ -202,7 +202,7 @@ def _period_facts(s, d):
 @query
 def header_roles(s, d):
     """What the guide makes of the headers alone: columns and rows of known names."""
-    said = staged(guide.headers(guide.grid_cells(analog.grids(s, d))), "headers")
+    said = guide.headers(guide.grid_cells(analog.grids(s, d)))
     return guide.header_guide(said).where("standard_name is not null").select("doc", "table_id", "row", "col", "role", "raw_name", "standard_name", F.coalesce("field_unit", "table_unit").alias("unit"), "report_type")
 
 

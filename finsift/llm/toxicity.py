@@ -246,7 +246,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, mined: int =
     known = rows.count()
     if known > mined:
         rows = rows.where(F.pmod(F.xxhash64("x", "y"), F.lit(1 << 32)) < int((1 << 32) * mined / known))
-    marked = docs.select("doc_id", "text").where("text is not null").join(rows.select("doc_id", "toxic"), "doc_id")
+    # ``mined`` ids at most go to the texts; the other way round all texts would be shuffled
+    marked = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(rows.select("doc_id", "toxic")), "doc_id")
 
     def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -291,7 +292,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, mined: int =
             x = [features(t, chosen.value).tolist() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(x, pa.list_(pa.float64()))], names=["toxic", "f"])
 
-    some = docs.select("doc_id", "text").join(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", "toxic"), "doc_id")
+    some = docs.select("doc_id", "text").join(F.broadcast(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", "toxic")), "doc_id")
     fit = some.mapInArrow(numbers, "toxic int, f array<double>").collect()  # ``sample`` rows
     discard(counts, begun, rows)
     x, y = np.array([r["f"] for r in fit]), np.array([r["toxic"] for r in fit], float)

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from finsift.llm import toxicity
 from finsift.operators import guide, mapping
 
 
@@ -27,3 +28,24 @@ def test_a_guide_is_never_broadcast(spark):
     at = mapping.fetch_cells(cells.drop("title", "unit", "year"), guide.header_guide(guide.headers(cells)))
     assert "SortMergeJoin" in at._jdf.queryExecution().executedPlan().toString()
     assert {(r["doc"], r["role"], r["text"]) for r in at.select("doc", "role", F.col("text")).collect()} == {(d, k, v) for d in ("a_2024", "b_2024") for k, v in (("end_balance", "5"), ("begin_balance", "4"))}
+
+
+def test_texts_are_not_shuffled_to_their_labels(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"wort{i % 7} zzbad und so" if i % 4 == 0 else f"wort{i % 5} und so weiter") for i in range(80)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(80)], "doc_id long, toxic int")
+    plans, kind = [], type(docs)
+    ask = kind.mapInArrow
+
+    def asked(self, *args, **kwargs):
+        if "text" in self.columns:
+            plans.append(self._jdf.queryExecution().executedPlan().toString())
+        return ask(self, *args, **kwargs)
+
+    monkeypatch.setattr(kind, "mapInArrow", asked)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with labels that are many
+    try:
+        toxicity.train(docs, labels, sample=20)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert len(plans) == 2 and not any("SortMergeJoin" in p for p in plans)

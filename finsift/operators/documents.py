@@ -83,37 +83,42 @@ def joined_tables(rows: DataFrame) -> DataFrame:
     alone): it repeats the table's.  Other parts begin a table, so two tables that meet at
     the end of a page stay apart.
 
-    Rows are compared by windows over documents and parts; a row's work is its own.
+    Rows are dealt by document once, and sorted twice; parts are windows over them, and no
+    row is joined with what was made of it.
     """
     order = Window.partitionBy("doc").orderBy("pos")
-    marked = rows.withColumn("__in", F.col("cells").isNotNull())
+    # n, t or - for each cell, in one string: read once, compared often
+    marked = rows.where("doc is not null").withColumn("__kinds", F.array_join(F.transform("cells", kind_of), ""))
+    marked = marked.withColumn("__in", F.col("cells").isNotNull())
     before = F.coalesce(F.lag("__in").over(order), F.lit(False))
     turned = F.lag("page").over(order) != F.col("page")
     # a part that stands first on its page, right after a row of the page before
     touches = before & (F.lag("page").over(order) == F.col("page") - 1)
     begun = marked.withColumns({"__start": F.col("__in") & (~before | turned), "__touches": touches})
-    kinds = F.transform("cells", kind_of)
-    headed = F.col("__start") & F.exists(kinds, lambda k: k == "t") & ~F.exists(kinds, lambda k: k == "n")
+    headed = F.col("__start") & F.contains("__kinds", F.lit("t")) & ~F.contains("__kinds", F.lit("n"))
     parts_ = begun.withColumn("__part", F.sum(F.col("__start").cast("int")).over(order)).where("__in").withColumn("__headed", headed)
 
-    key = ["doc", "__part"]
+    # rows of a part differ little in their kinds; the header's don't count
+    whole = Window.partitionBy("doc", "__part").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    told = parts_.withColumns({"__width": F.max(F.size("cells")).over(whole), "__forms": F.collect_set(F.when(~F.col("__headed"), F.col("__kinds"))).over(whole)})
+
+    # a part's first row comes right after the last of the part before
+    along = Window.partitionBy("doc").orderBy("__part", "pos")
     title = F.array_join(F.transform("cells", lambda c: F.trim(F.coalesce(c, F.lit("")))), "|")
-    told = parts_.groupBy(*key).agg(F.max(F.size("cells")).alias("__width"), F.max(F.when(F.col("__headed"), title)).alias("__head"), F.max(F.col("__start") & F.col("__touches")).alias("__touches"))
-    # each column's kind, where all its cells that aren't empty are of one; the header's don't count
-    cells = parts_.where("not __headed").select(*key, F.posexplode("cells").alias("col", "cell")).withColumn("kind", kind_of(F.col("cell"))).where("kind <> '-'")
-    of = cells.groupBy(*key, "col").agg(F.min("kind").alias("low"), F.max("kind").alias("kind")).where("low = kind")
-    listed = of.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("col", "kind"))).alias("__kinds"))  # columns of a part
-    told = told.join(listed, key, "left")
-
-    along = Window.partitionBy("doc").orderBy("__part")
-    past = told.withColumns({f"{c}0": F.lag(c).over(along) for c in ("__width", "__kinds")})
+    past = told.withColumn("__head", F.when(F.col("__headed"), title))
+    past = past.withColumns({f"{c}0": F.lag(c).over(along) for c in ("__width", "__forms")})
     # the header of the table that goes on: that of the last part which had one
     past = past.withColumn("__head0", F.last("__head", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)))
-    unlike = F.exists(F.map_entries("__kinds"), lambda e: F.coalesce(F.try_element_at("__kinds0", e["key"]) != e["value"], F.lit(False)))
+    # a column's kind counts where all its cells that aren't empty are of one
+    has = lambda forms, col, kind: F.exists(forms, lambda k: F.substring(k, col, F.lit(1)) == kind)
+    only = lambda forms, col, kind, other: has(forms, col, kind) & ~has(forms, col, other)
+    differs = lambda c: (only("__forms", c, "n", "t") & only("__forms0", c, "t", "n")) | (only("__forms", c, "t", "n") & only("__forms0", c, "n", "t"))
+    unlike = F.when(F.col("__width") > 0, F.exists(F.sequence(F.lit(1), F.col("__width")), differs))
     repeats = F.col("__head").isNull() | (F.col("__head") == F.col("__head0"))
-    goes_on = F.col("__touches") & (F.col("__width") == F.col("__width0")) & ~F.coalesce(unlike, F.lit(False)) & repeats
-    numbered = past.withColumn("table_id", F.sum((~F.coalesce(goes_on, F.lit(False))).cast("int")).over(along).cast("int"))
-    return parts_.join(numbered.select(*key, "table_id"), key).select("doc", "page", "pos", "cells", "table_id")
+    goes_on = F.when(F.col("__start") & F.col("__touches") & (F.col("__width") == F.col("__width0")) & repeats, ~F.coalesce(unlike, F.lit(False)))
+    begins = F.col("__start") & ~F.coalesce(goes_on, F.lit(False))
+    numbered = past.withColumn("__begins", begins.cast("int")).withColumn("table_id", F.sum("__begins").over(along).cast("int"))
+    return numbered.select("doc", "page", "pos", "cells", "table_id")
 
 
 def distinct_rows(rows: DataFrame) -> DataFrame:

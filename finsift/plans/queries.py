@@ -404,7 +404,8 @@ def table_join(s, d):
     """Orders as documents of two rows a page; some have amounts where others have texts, a
     header of their own, or a row of no table."""
     n, k = F.col("l_linenumber"), F.col("l_orderkey")
-    li = table(s, d, "lineitem").groupBy(k, n).agg(F.min(F.struct("l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")).alias("x")).select(k, n, "x.*")
+    # dealt by order first: its lines then stay where they are for all that follows
+    li = table(s, d, "lineitem").repartition(k).groupBy(k, n).agg(F.min(F.struct("l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")).alias("x")).select(k, n, "x.*")
     cell = F.when(F.col("l_returnflag") == "A", F.col("l_linestatus")).otherwise(F.col("l_quantity").cast("int").cast("string"))
     body = F.when(F.col("l_suppkey") % 5 == 0, F.array(F.lit("a"), cell, F.lit(""))).otherwise(F.array(F.lit("a"), cell))
     cells = F.when((n - 1) % 2 == 0, F.when(k % 3 == 0, F.array(F.lit("h"), F.when(n == 5, "g").otherwise("h")))).otherwise(F.lit(None).cast("array<string>"))

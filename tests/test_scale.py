@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from finsift.llm import toxicity
-from finsift.operators import guide, mapping
+from finsift.operators import documents, guide, mapping
 
 
 def optimized(df):
@@ -49,3 +49,10 @@ def test_texts_are_not_shuffled_to_their_labels(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert len(plans) == 2 and not any("SortMergeJoin" in p for p in plans)
+
+
+def test_tables_are_joined_in_one_pass(spark):
+    rows = [(1, p, i, ["a", "1"]) for i, p in enumerate((0, 0, 1, 1, 2))] + [(1, 3, 5, ["a", "x"]), (1, 3, 6, None), (None, 0, 0, ["a"])]
+    got = documents.joined_tables(spark.createDataFrame(rows, "doc int, page int, pos int, cells array<string>"))
+    assert "Join" not in optimized(got)  # joined with themselves, rows were made and sorted three times
+    assert sorted((r["pos"], r["table_id"]) for r in got.collect()) == [(0, 1), (1, 1), (2, 1), (3, 1), (4, 1), (5, 2)]

@@ -48,14 +48,16 @@ def rescore(old: Frames, facts: DataFrame, how: How | None = None) -> Frames:
     f: Frames = {n: old[n] for n in ("tags", "peers", "explanations", "sections", "macro_facts", "searches") if n in old}
     f["facts"] = staged(kept.unionByName(facts).join(needed, KEY, "left_semi"), "facts")
     f |= stages.STAGES["statements"](f, how)
-    f |= {k: staged(v, k) for k, v in stages.STAGES["gate"](f, how).items()}
+    f |= stages.STAGES["gate"](f, how)
+    f["good"] = staged(f["good"], "good")
     # rows of the years before have served for growth; their own may lack a year before
     ind = staged(indicators.long_form(indicators.derive(f["good"]), config.indicator_names()).join(with_peers, KEY, "left_semi"), "indicators")
     f["outliers"] = staged(deviation.outliers(deviation.deviations(ind.join(reach, KEY, "left_semi"), peers.peer_values(ind, f["peers"]))), "outliers")
     f["good"] = f["good"].join(reach, KEY, "left_semi")
     f["anomalies"] = staged(logic_checks.anomalies(f["good"], f["parent"]), "anomalies")
     for name in ("evidence", "context", "reasoning"):
-        f |= {k: staged(v, k) for k, v in stages.STAGES[name](f, how).items()}
+        # by rule, causes are read more than once, and the context not at all
+        f |= {k: staged(v, k) if how.provider or name == "reasoning" else v for k, v in stages.STAGES[name](f, how).items()}
     f |= stages.STAGES["scores"](f, how)
     f["blocked"] = f["blocked"].join(reach, KEY, "left_semi")
     out = {"rescored": reach}

@@ -348,7 +348,8 @@ def rescored(s, d):
     none = s.createDataFrame([], "industry string, published date, text string")
     f = dict(old) | {"macro_facts": none}
     for name in ("statements", "gate", "indicators", "deviation", "checks", "evidence", "context", "reasoning", "scores"):
-        f |= {k: staged(v, k) for k, v in stages.STAGES[name](f, stages.How()).items()}
+        # written is what several later steps read; what none reads is never made
+        f |= {k: staged(v, k) if k in ("good", "indicators", "outliers", "anomalies", "attribution") else v for k, v in stages.STAGES[name](f, stages.How()).items()}
     other = wide.where(changed).withColumns({"Net_Profit": (F.col("Net_Profit") * 2).cast("decimal(38,4)"), "Operating_Cash_Flow": F.col("Operating_Cash_Flow") - 1000})
     return incremental.rescore(f, facts(other))["scores"]
 

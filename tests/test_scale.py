@@ -1,9 +1,16 @@
 """Forms of plans that keep work and memory in proportion to the input."""
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from finsift.llm import toxicity
 from finsift.operators import documents, guide, mapping
+from finsift.plans import incremental, queries
+from finsift.sources import work
+
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def optimized(df):
@@ -56,3 +63,13 @@ def test_tables_are_joined_in_one_pass(spark):
     got = documents.joined_tables(spark.createDataFrame(rows, "doc int, page int, pos int, cells array<string>"))
     assert "Join" not in optimized(got)  # joined with themselves, rows were made and sorted three times
     assert sorted((r["pos"], r["table_id"]) for r in got.collect()) == [(0, 1), (1, 1), (2, 1), (3, 1), (4, 1), (5, 2)]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_rescoring_writes_only_what_is_read(spark, monkeypatch):
+    tags = []
+    for m in (queries, incremental):
+        monkeypatch.setattr(m, "staged", lambda df, tag: tags.append(tag) or work.staged(df, tag))
+    queries.QUERIES["rescored"](spark, DATA)
+    assert {"good", "outliers", "attribution"} <= set(tags)
+    assert not {"context", "blocked", "impacts", "evidence", "scores"} & set(tags)
